@@ -2,10 +2,362 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import operators as O
+from .functions.columns import log_ratio
+from .operators import arch, components, rules, sweep
+from .operators import vocabulary as V
+from .plans import ast
+from .plans import reference_sql as R
+from .plans.planner import Plan
+from .sources import bars as B
+from .sources import fixtures as X
+
+
+def rounded(c: Column | str) -> Column:
+    """To 6 digits, halves (and what is within 1e-9 below) upwards."""
+    return F.floor((F.col(c) if isinstance(c, str) else c) * 1e6 + 0.501).cast("double") / 1e6
+
+
+def _shown(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select("symbol", "ts", *(rounded(n).alias(n) for n in names))
+
+
+def _indicator(id: str) -> Callable:
+    spec = O.INDICATORS[id]
+    names = [f.lower() for f in spec.feeds]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _shown(O.with_feeds(B.event_bars(spark, sf_dir), list(spec.feeds), keep=("symbol", "ts")), names)
+
+    run.__doc__ = f"{id} on hourly bars of events."
+    return run
+
+
+def _steps(**steps: Callable[[Plan], str]) -> Callable:
+    """A query of planner steps, by column name."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        plan = Plan()
+        return _shown(plan.run(B.event_bars(spark, sf_dir), {n: make(plan) for n, make in steps.items()}, ("symbol", "ts")), list(steps))
+
+    return run
+
+
+def _tree(tree: dict) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _shown(ast.evaluate(B.event_bars(spark, sf_dir), tree), ["signal"])
+
+    return run
+
+
+def _component(id: str) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        name = id.replace(".", "_")
+        return _shown(components.with_components(B.event_bars(spark, sf_dir), [id]), [name])
+
+    return run
+
+
+def series(id: str) -> dict:
+    return {"kind": "transform", "id": id}
+
+
+def number(value: float) -> dict:
+    return {"kind": "literal", "id": f"{value:g}"}
+
+
+def binary(op: str, left: dict, right: dict) -> dict:
+    return {"kind": "binary_op", "op": op, "left": left, "right": right}
+
+
+def unary(op: str, left: dict) -> dict:
+    return {"kind": "unary_op", "op": op, "left": left}
+
+
+C, H, L, VOL = (series(x) for x in ("close", "high", "low", "volume"))
+TREES = {
+    "ema": binary("ema", C, number(5)), "sma": binary("sma", C, number(7)), "zscore": binary("zscore", C, number(10)), "lag": binary("lag", C, number(3)),
+    "returns": binary("returns", C, number(2)), "abs": unary("abs", binary("sub", C, series("open"))), "log": unary("log", C), "add": binary("add", H, L),
+    "sub": binary("sub", H, L), "mul": binary("mul", C, VOL), "div": binary("div", C, binary("sub", H, L)), "ratio": binary("ratio", H, L),
+    "planted": binary("zscore", binary("ema", C, number(3)), number(20)), "feed": binary("sub", {"kind": "indicator", "id": "IND_SMA"}, {"kind": "data_stream", "symbol": "BTCUSDT", "granularity": "1h"}),
+}
+_LAG = lambda x, n: f"coalesce({R.lag(x, n)}, first({x}) OVER {R.SERIES})"
+_Z = lambda x, n: f"coalesce(({x} - {R.avg(x, n)}) / CASE WHEN {R.full('stddev_pop', x, n)} = 0 THEN 1 ELSE {R.full('stddev_pop', x, n)} END, 0)"
+TREE_SQL = {
+    "ema": ([], R.ema("close", 5)), "sma": ([], R.avg("close", 7)), "zscore": ([], _Z("close", 10)), "lag": ([], _LAG("close", 3)),
+    "returns": ([{"b": _LAG("close", 2)}], "CASE WHEN b = 0 THEN -1 ELSE close / b - 1 END"), "abs": ([], "abs(close - open)"), "log": ([], "ln(greatest(close, 1e-12))"), "add": ([], "high + low"),
+    "sub": ([], "high - low"), "mul": ([], "close * volume"), "div": ([], R.div("close", "high - low")), "ratio": ([], R.div("high", "low")),
+    "planted": ([{"e": R.ema("close", 3)}], _Z("e", 20)), "feed": ([], f"{R.avg('close', 20)} - close"),
+}
+
+_abs_change = lambda p: p.expr(F.abs, p.change("close"), key="abs")
+PRIMITIVES: dict[str, tuple[dict, list, dict]] = {
+    "prim_shift": ({"shift3": lambda p: p.shift("close", 3), "lag3": lambda p: p.lag("close", 3)}, [], {"shift3": _LAG("close", 3), "lag3": R.lag("close", 3)}),
+    "prim_change": ({"change": lambda p: p.change("close")}, [], {"change": "d"}),
+    "prim_pct_change": ({"pct5": lambda p: p.pct_change("close", 5)}, [], {"pct5": R.pct(5)}),
+    "prim_log_ratio": ({"log_ratio": lambda p: p.expr(log_ratio, "high", "low", key="logret")}, [], {"log_ratio": R._log("high", "low")}),
+    "prim_rolling_sum": ({"s": lambda p: p.sum("volume", 12)}, [], {"s": R.full("sum", "volume", 12)}),
+    "prim_rolling_mean": ({"m": lambda p: p.mean("close", 12)}, [], {"m": R.avg("close", 12)}),
+    "prim_rolling_std": ({"s": lambda p: p.std("close", 12)}, [], {"s": R.full("stddev_pop", "close", 12)}),
+    "prim_rolling_max": ({"m": lambda p: p.high("high", 12)}, [], {"m": R.full("max", "high", 12)}),
+    "prim_rolling_min": ({"m": lambda p: p.low("low", 12)}, [], {"m": R.full("min", "low", 12)}),
+    "prim_mean_dev": ({"d": lambda p: p.mean_dev("close", 12)}, [{"m": R.avg("close", 12)}, {"a": "abs(close - m)"}], {"d": R.avg("a", 12)}),
+    "prim_wma": ({"w": lambda p: p.wma("close", 9), "w100": lambda p: p.wma("close", 100)}, [], {"w": R.wma("close", 9), "w100": R.wma("close", 100)}),
+    "prim_running": ({"top": lambda p: p.running("max", "high"), "bottom": lambda p: p.running("min", "low")}, [], {"top": f"max(high) OVER {R.SO_FAR}", "bottom": f"min(low) OVER {R.SO_FAR}"}),
+    "prim_true_range": ({"tr": lambda p: p.true_range()}, [], {"tr": "tr"}),
+    "prim_prices": ({"hl2": lambda p: O.momentum.hl2(p), "hlc3": lambda p: O.momentum.hlc3(p)}, [], {"hl2": "hl2", "hlc3": "tp"}),
+    "prim_stochastic_k": ({"k": lambda p: p.stochastic_k(9)}, [], {"k": f"100 * ({R.div('close - ' + R.full('min', 'low', 9), R.full('max', 'high', 9) + ' - ' + R.full('min', 'low', 9), '0.5')})"}),
+    "prim_rma": ({"rma": lambda p: p.rma("close", 9)}, [], {"rma": R.rma("close", 9)}),
+    "prim_scan_alphas": ({f"a{i}": (lambda p, a=a: p.scan("close", a)) for i, a in enumerate((1 / 14, 0.1, 0.5, 1.0))}, [], {f"a{i}": R.scan("close", repr(a)) for i, a in enumerate((1 / 14, 0.1, 0.5, 1.0))}),
+}
+
+_COMPONENT_SQL = {
+    "entry.ema_cross": ([{"x": f"{R.ema('close', 10)} - {R.ema('close', 30)}"}, {"b": R.lag("x")}], "CASE WHEN x > 0 AND b <= 0 THEN 1 WHEN x < 0 AND b >= 0 THEN -1 ELSE 0 END"),
+    "entry.vwap_band": ([{"v": f"sum(close * volume) OVER {R.SO_FAR} / sum(volume) OVER {R.SO_FAR}", "w": f"2 * {R.full('stddev_pop', 'close', 20)}"}], "CASE WHEN close > v + w THEN 1 WHEN close < v - w THEN -1 ELSE 0 END"),
+    "exit.atr_stop": ([], f"2 * {R.rma('tr', 14)}"),
+    "exit.time_exit": ([], "CASE WHEN rn >= 20 THEN 1 ELSE 0 END"),
+    "sizing.atr_scaled": ([{"a": R.rma("tr", 14)}, {"b": "avg(a) OVER (PARTITION BY symbol)"}], "CASE WHEN b <= 0 THEN 0.01 ELSE least(greatest(CASE WHEN a = 0 THEN 0.5 ELSE 0.01::DOUBLE * b / a END, 0.01), 0.5) END"),
+    "sizing.atr_scaled_causal": ([{"a": R.rma("tr", 14)}, {"b": f"avg(a) OVER {R.SO_FAR}"}], "CASE WHEN b <= 0 THEN 0.01 ELSE least(greatest(CASE WHEN a = 0 THEN 0.5 ELSE 0.01::DOUBLE * b / a END, 0.01), 0.5) END"),
+    "sizing.fractional": ([], "0.01"),
+}
+
+
+def bb_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars whose close is outside the Bollinger bands: windows only."""
+    out = O.with_feeds(B.event_bars(spark, sf_dir), ["IND_BB", "IND_BB_UPPER", "IND_BB_LOWER"])
+    signal = F.when(F.col("close") > F.col("ind_bb_upper"), 1.0).when(F.col("close") < F.col("ind_bb_lower"), -1.0).otherwise(0.0)
+    return out.select("symbol", "ts", "close", rounded("ind_bb_upper").alias("upper"), rounded("ind_bb_lower").alias("lower"), signal.alias("breakout"))
+
+
+def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.event_bars(spark, sf_dir)
+
+
+def bars_daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.order_bars(spark, sf_dir)
+
+
+def all_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All feeds at once: one shuffle by series after the bars, one grouped map."""
+    names = O.feed_ids()
+    return _shown(O.with_feeds(B.event_bars(spark, sf_dir), names, keep=("symbol", "ts")), [n.lower() for n in names])
+
+
+def tick_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of all three classes on every tick as a bar of its own."""
+    ticks = B.tick_bars(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", "value")
+    return O.with_feeds(ticks, ["IND_SMA", "IND_EMA", "IND_RSI", "IND_MACD", "IND_BB_UPPER", "IND_ATR", "IND_SUPERTREND", "IND_OBV"], keep=("symbol", "ts"))
+
+
+def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fixture's strategy texts say: feeds, timeframe, triggers."""
+    parts = X.texts(spark).withColumn("p", rules.split_entry_exit(F.col("text")))
+    return parts.select("id", F.array_join(rules.detect_indicators(F.col("text")), ",").alias("feeds"), rules.detect_timeframe(F.col("text"), "1d").alias("timeframe"), rules.entry_primitive(F.col("p.entry")).alias("entry"), rules.exit_primitive(F.col("p.exit")).alias("exit"))
+
+
+def _bounded(phrase: str) -> str:
+    """A DuckDB pattern for a whole phrase; its engine has no look-behind, so the boundary is consumed."""
+    import re
+
+    return "(^|[^a-z0-9])" + re.escape(phrase).replace("'", "''") + "s?($|[^a-z0-9])"
+
+
+def _text_sql() -> str:
+    firsts: dict[str, str] = {}
+    for phrase, feed in O.phrase_table():
+        firsts.setdefault(phrase, feed)
+    phrases = X.values([(i, p, f, _bounded(p)) for i, (p, f) in enumerate(firsts.items())])
+    trigger = lambda of, table, default: "CASE " + " ".join(f"WHEN regexp_matches(lower({of}), '{_bounded(p)}') THEN '{t}'" for p, t in table) + f" ELSE '{default}' END"
+    marker = V.EXIT_MARKER.replace("(?:", "(")
+    return f"""
+    WITH t(id, text) AS (VALUES {X.values(X.TEXTS)}), p(o, phrase, feed, pattern) AS (VALUES {phrases}),
+    h AS (SELECT id, o, phrase, feed FROM t JOIN p ON regexp_matches(lower(text), pattern)),
+    k AS (SELECT id, feed, min(o) AS o FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.id = h.id AND length(g.phrase) > length(h.phrase) AND contains(g.phrase, h.phrase)) GROUP BY 1, 2),
+    f AS (SELECT id, string_agg(feed, ',' ORDER BY o) AS feeds FROM k GROUP BY 1),
+    s AS (SELECT id, text, regexp_extract(text, '{marker}') AS m FROM t),
+    e AS (SELECT *, CASE WHEN m = '' THEN text ELSE left(text, strpos(text, m) - 1) END AS entry_text, CASE WHEN m = '' THEN '' ELSE substr(text, strpos(text, m)) END AS exit_text FROM s)
+    SELECT e.id, coalesce(feeds, '') AS feeds,
+      CASE WHEN regexp_matches(text, '{V.TIMEFRAME}') THEN regexp_extract(text, '{V.TIMEFRAME}', 1)::INT::VARCHAR || lower(left(regexp_extract(text, '{V.TIMEFRAME}', 2), 1)) ELSE '1d' END AS timeframe,
+      {trigger('entry_text', V.ENTRY_PHRASES, 'TRIGGER_CROSS_ABOVE')} AS entry, {trigger('exit_text', V.EXIT_PHRASES, 'TRIGGER_CROSS_BELOW')} AS exit
+    FROM e LEFT JOIN f ON e.id = f.id"""
+
+
+def document_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feasibility audit over all documents."""
+    done = rules.audit(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    a = F.col("audit")
+    return done.select("doc_id", "status", F.size(a["dependencies"]).cast("long").alias("n_dependencies"), F.array_join(a["models"], ",").alias("models"), F.array_join(a["hints"], ",").alias("hints"), F.size(a["mappings"]).cast("long").alias("n_mappings"))
+
+
+def text_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feasibility audit of the fixture's strategy texts."""
+    done, a = rules.audit(X.texts(spark)), F.col("audit")
+    return done.select("id", "status", F.size(a["dependencies"]).cast("long").alias("n_dependencies"), F.array_join(a["models"], ",").alias("models"), F.array_join(a["hints"], ",").alias("hints"), F.size(a["mappings"]).cast("long").alias("n_mappings"))
+
+
+def _audit_sql(source: str, id: str) -> str:
+    has = lambda term: f"contains(low, '{term}')"
+    total = lambda terms: " + ".join(f"{has(t)}::BIGINT" for t in terms)
+    any_of = lambda terms: "(" + " OR ".join(map(has, terms)) + ")"
+    named = lambda terms: "coalesce(array_to_string([" + ", ".join(f"CASE WHEN {has(t)} THEN '{t}' END" for t in terms) + "], ','), '')"
+    banks = [n for n, k in V.PROVIDERS.items() if k == "tradfi"]
+    weak = [c for c, (_, w) in V.ANALOGS.items() if w < 0.7]
+    return f"""
+    WITH d AS (SELECT {id}, lower(trim(coalesce(text, ''))) AS low FROM {source})
+    SELECT {id}, CASE WHEN {any_of(V.BLACK_BOX_MODELS)} OR ({any_of(banks)} AND NOT {any_of(V.ANALOGS)}) THEN 'REJECTED'
+        WHEN {any_of(V.COMPUTE_HINTS)} OR {any_of(banks)} OR {any_of(weak)} THEN 'REQUIRES_HITL' ELSE 'PASSED' END AS status,
+      {total([*V.PROVIDERS, *V.GRANULARITY_HINTS])} AS n_dependencies, {named(V.BLACK_BOX_MODELS)} AS models, {named(V.COMPUTE_HINTS)} AS hints, {total(V.ANALOGS)} AS n_mappings
+    FROM d"""
+
+
+def catalog_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.check_catalog(X.requirements(spark), X.catalog_seed(spark)).select("symbol", "required_granularity", "asset_class", "status", "proxy_source")
+
+
+def _seed_values() -> str:
+    return X.values([(c, s, g, deep, deep, year) for c, symbols, grains, deep, year in V.CATALOG_SEED for s in symbols for g in grains])
+
+
+def _catalog_sql() -> str:
+    return f"""
+    WITH r(asset_class, sym, g, book, flow, since) AS (VALUES {X.values(X.REQUIREMENTS)}), c(cls, s, gran, has_book, has_flow, y) AS (VALUES {_seed_values()}),
+    q AS (SELECT upper(sym) AS symbol, g, asset_class, book, flow, since FROM r),
+    j AS (SELECT q.*, (SELECT min(cls) FROM c WHERE s = symbol) AS cls, (SELECT count(*) FROM c WHERE s = symbol AND gran = '1m') AS minutes, e.y, e.has_book, e.has_flow FROM q LEFT JOIN c e ON e.s = symbol AND e.gran = g),
+    v AS (SELECT *, CASE WHEN cls IS NULL OR y IS NULL OR y > since THEN 'missing' WHEN book AND NOT has_book THEN CASE WHEN minutes > 0 THEN 'proxy' ELSE 'missing' END WHEN flow AND NOT has_flow THEN 'missing' ELSE 'available' END AS status FROM j)
+    SELECT symbol, g AS required_granularity, coalesce(cls, asset_class) AS asset_class, status, CASE WHEN status = 'proxy' THEN 'volume_delta:1m' END AS proxy_source FROM v"""
+
+
+def catalog_granularities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.granularities(X.catalog_seed(spark))
+
+
+ANCHORS = [("BTCUSDT", "5m"), ("BTCUSDT", "tick"), ("ADAUSDT", "1d"), ("QQQ", "1h")]
+
+
+def alternate_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.alternate_symbols(spark.createDataFrame(ANCHORS, "anchor string, timeframe string"), X.catalog_seed(spark))
+
+
+def _alternate_sql() -> str:
+    return f"""
+    WITH a(anchor, timeframe) AS (VALUES {X.values(ANCHORS)}), c(cls, s, gran, b, f, y) AS (VALUES {_seed_values()}),
+    w AS (SELECT a.*, (SELECT min(cls) FROM c WHERE s = anchor) AS own FROM a),
+    m AS (SELECT s, min(cls) AS cls, list(gran) AS grains FROM c GROUP BY s),
+    k AS (SELECT anchor, timeframe, m.s, row_number() OVER (PARTITION BY anchor, timeframe ORDER BY list_contains(grains, timeframe) DESC, (cls = coalesce(own, '')), m.s) AS n FROM w JOIN m ON m.s <> anchor)
+    SELECT anchor, timeframe, s AS alternate FROM k WHERE n = 1"""
+
+
+def math_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = X.maths(spark).select("id", rules.resolve_math(F.col("text")).alias("m"))
+    return m.where("m is not null").select("id", "m.resolved", F.size("m.symbols").cast("long").alias("n_symbols"))
+
+
+def table_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.validate_tables(X.cells(spark)).select("table_id", "status", "rows", "columns", F.size("errors").cast("long").alias("n_errors"))
+
+
+RISKS = [("a", ["PARAMETRIC_OVERFIT_RISK"]), ("a", ["HIGH_SESSION_SENSITIVITY", "PARAMETRIC_OVERFIT_RISK"]), ("b", []), ("c", ["LOW_LIQUIDITY_FRAGILITY", "EXECUTION_SLIPPAGE_HEAVY"])]
+
+
+def guard_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = spark.createDataFrame(RISKS, "spec string, tags array<string>").groupBy("spec").agg(F.collect_list("tags").alias("tags"))
+    return tags.select("spec", F.array_join(rules.risk_union(F.col("tags")), ",").alias("risks"), rules.guard_filter(F.col("tags")).alias("guard"))
+
+
+def _guard_sql() -> str:
+    flat = X.values([(s, t) for s, tags in RISKS for t in tags or [None]])
+    order = X.values([(i, t, V.GUARDS[t]) for i, t in enumerate(V.RISK_PRIORITY)])
+    return f"""
+    WITH r(spec, tag) AS (VALUES {flat}), p(o, tag, guard) AS (VALUES {order}), j AS (SELECT DISTINCT spec, r.tag, o, guard FROM r LEFT JOIN p ON r.tag = p.tag)
+    SELECT spec, coalesce(string_agg(tag, ',' ORDER BY o), '') AS risks, arg_min(guard, o) AS guard FROM j GROUP BY spec"""
+
+
+def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as chunks under their headings."""
+    return rules.chunk_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+
+
+def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep.grid(spark, components.CURATED[0])
+
+
+def ema_cross_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sweep.ema_cross_sweep(B.event_bars(spark, sf_dir), [5, 10, 20], [20, 30, 60])
+    return out.withColumn("mean_return", rounded("mean_return"))
+
+
+def _sweep_sql() -> str:
+    pairs = [(f, s) for f in (5, 10, 20) for s in (20, 30, 60) if f < s]
+    spans = sorted({n for p in pairs for n in p})
+    one = lambda f, s: f"SELECT symbol, ts, {f} AS fast, {s} AS slow, close, e{f} - e{s} AS x FROM x0"
+    base = R.query([{f"e{n}": R.ema("close", n) for n in spans}], {"x": "0"}).split(" SELECT symbol, ts, floor")[0]
+    return f"""{base}, u AS ({' UNION ALL '.join(one(f, s) for f, s in pairs)}),
+    g AS (SELECT *, lag(x) OVER o AS b, lead(close) OVER o AS nxt FROM u WINDOW o AS (PARTITION BY symbol, fast, slow ORDER BY ts)),
+    s AS (SELECT *, CASE WHEN x > 0 AND b <= 0 THEN 1 WHEN x < 0 AND b >= 0 THEN -1 END AS e FROM g),
+    h AS (SELECT *, coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY symbol, fast, slow ORDER BY ts), 0) * (nxt - close) / CASE WHEN close = 0 THEN 1 ELSE close END AS r FROM s)
+    SELECT symbol, fast::INT AS fast, slow::INT AS slow, count(*) AS bars, count(*) FILTER (e = 1) AS ups, count(*) FILTER (e = -1) AS downs, {R.rounded('avg(r)')} AS mean_return FROM h GROUP BY 1, 2, 3"""
+
+
+def garch_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arch.fit_arch(B.event_bars(spark, sf_dir), "garch", burn_in=100)
+
+
+FITS = [("garch", 1e-5, 0.08, 0.90, None, 2e-4, -0.02), ("gjr", 1e-5, 0.05, 0.85, 0.12, 2e-4, -0.02), ("egarch", -0.45, 0.12, -0.85, 0.15, 2e-4, -0.02)]
+
+
+def garch_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = spark.createDataFrame([(m, o, a, b, g, v, r, 252.0) for m, o, a, b, g, v, r in FITS], "model string, omega double, alpha double, beta double, gamma double, last_variance double, last_return double, annualise double")
+    return arch.forecast_arch(fits, 10).withColumn("volatility", rounded("volatility"))
+
+
+def _forecast_sql() -> str:
+    return f"""
+    WITH f(model, o, a, b, g, v, r) AS (VALUES {X.values(FITS)}), n AS (SELECT model, o::DOUBLE o, a::DOUBLE a, b::DOUBLE b, coalesce(g, 0)::DOUBLE g, v::DOUBLE v, r::DOUBLE r, unnest(range(0, 11))::INT AS step FROM f),
+    k AS (SELECT *, CASE WHEN model = 'gjr' THEN g ELSE 0 END AS j FROM n),
+    c AS (SELECT *, o + (a + CASE WHEN r < 0 THEN j ELSE 0 END) * r * r + b * v AS one, a + b + j / 2 AS decay, o / (1 - b) AS mu, o + b * ln(v) + a * r / sqrt(v) + g * (abs(r / sqrt(v)) - sqrt(2 / pi())) AS lone FROM k)
+    SELECT model, step, {R.rounded("sqrt(252 * CASE WHEN step = 0 THEN v WHEN model = 'egarch' THEN exp(mu + pow(b, step) * (lone - mu)) ELSE o / (1 - decay) + pow(decay, step - 1) * (one - o / (1 - decay)) END)")} AS volatility FROM c"""
+
+
+def deferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indicators that are left out, and why."""
+    return spark.createDataFrame(list(V.DEFERRED.items()), "id string, reason string")
+
+
+def phrase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrase table, in its order."""
+    return spark.createDataFrame([(i, p, f) for i, (p, f) in enumerate(O.phrase_table())], "ord int, phrase string, feed string")
+
+
+_PLAIN = (bb_breakout, bars_hourly, bars_daily_orders, all_feeds, tick_feeds, text_features, document_audit, text_audit, catalog_check, catalog_granularities, alternate_symbol, math_symbols, table_report, guard_filters, page_chunks, sweep_grid, ema_cross_sweep, garch_fit, garch_forecast, deferred, phrase_rows)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = {f.__name__: f for f in _PLAIN}
+    out |= {id.lower(): _indicator(id) for id in O.INDICATORS}
+    out |= {name: _steps(**steps) for name, (steps, _, _) in PRIMITIVES.items()}
+    out |= {f"ast_{name}": _tree(tree) for name, tree in TREES.items()}
+    return out | {id.replace(".", "_"): _component(id) for id in components.BUILDERS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {
+        "bb_breakout": R.query([{"m": R.avg("close", 20), "s": R.full("stddev_pop", "close", 20)}], {"upper": "m + 2 * s", "lower": "m - 2 * s"}).replace("SELECT symbol, ts, floor", "SELECT symbol, ts, close, CASE WHEN close > m + 2 * s THEN 1.0::DOUBLE WHEN close < m - 2 * s THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS breakout, floor"),
+        "bars_hourly": "WITH " + R.BARS.split(", l0 AS")[0] + " SELECT * FROM bars",
+        "bars_daily_orders": "SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS ts, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close, count(*)::DOUBLE AS volume FROM orders WHERE o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1, 2",
+        "text_features": _text_sql(), "document_audit": _audit_sql("documents", "doc_id"), "text_audit": _audit_sql(f"(VALUES {X.values(X.TEXTS)}) x(id, text)", "id"),
+        "catalog_check": _catalog_sql(), "catalog_granularities": f"SELECT DISTINCT gran AS granularity FROM (VALUES {_seed_values()}) c(cls, s, gran, b, f, y)", "alternate_symbol": _alternate_sql(),
+        "guard_filters": _guard_sql(), "ema_cross_sweep": _sweep_sql(), "garch_forecast": _forecast_sql(),
+        "sweep_grid": "SELECT (f * 6 + s)::BIGINT AS param_id, round(1 + f * 19.8, 6)::DOUBLE AS fast, round(2 + s * 59.6, 6)::DOUBLE AS slow FROM range(6) a(f), range(6) b(s)",
+        "deferred": f"SELECT * FROM (VALUES {X.values(list(V.DEFERRED.items()))}) d(id, reason)",
+        "math_symbols": f"""SELECT * FROM (VALUES {X.values([(1, "Let sigma (annualized volatility) less than or equal to 2 and alpha (excess return) plus or minus 1.", 4), (2, "Use sigma (annualized volatility) and " + chr(92) + "(y" + chr(92) + ") with beta (market sensitivity).", 3), (4, "$z$ only", 1), (5, "summation multiplied by delta (sensitivity / change)", 3)])}) m(id, resolved, n_symbols)""",
+        "table_report": "SELECT * FROM (VALUES ('fit', 'fit', 2, 3, 0), ('bad', 'parse-error', 4, 3, 5), ('orphan', 'orphan', 1, 2, 1)) t(table_id, status, rows, columns, n_errors)",
+    }
+    out |= {id.lower(): sql for id, sql in R.indicator_sql().items()}
+    out |= {name: R.query(layers, columns) for name, (_, layers, columns) in PRIMITIVES.items()}
+    out |= {f"ast_{name}": R.query(layers, {"signal": value}) for name, (layers, value) in TREE_SQL.items()}
+    return out | {id.replace(".", "_"): R.query(layers, {id.replace(".", "_"): value}) for id, (layers, value) in _COMPONENT_SQL.items()}

@@ -158,11 +158,10 @@ def kalman(close: np.ndarray, q: float, r: float, p0: float) -> tuple[np.ndarray
 
 
 def mcginley(close: np.ndarray, n: int) -> np.ndarray:
-    """md += (c - md) / (n (c / md)^4); where that denominator is 0 (or overflows) the line restarts at the price."""
+    """md += (c - md) / max(n (c / md)^4, 1): the floor keeps a step from passing the price.  A zero md restarts there."""
     out, md = np.empty(len(close)), math.nan
     for i, c in enumerate(close.tolist()):
-        scale = 0.0 if i == 0 or md == 0 or abs(c / md) > 1e60 else n * (c / md) ** 4
-        md = c if scale == 0 else md + (c - md) / scale
+        md = c if i == 0 or md == 0 else md + (c - md) / max(n * (c / md) ** 4, 1.0)
         out[i] = md
     return out
 
