@@ -7,6 +7,7 @@ sentences whose own probability is high are the offending ones.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,20 +39,37 @@ def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
             yield m.start(), m.end(), words
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 150, least: int = 3, l1: float = 2e-4) -> dict[str, float]:
-    """Weights by feature, the bias under ``""``; features in fewer than ``least`` documents are left out.
+#: A sentence without any evidence is this unlikely (log odds) at most, so that a text isn't toxic for being long.
+CALM = -12.0
 
-    Without both labels among the texts the weights are empty and the bias says how likely the one label is.
+
+def evidence(bags: list[list[set[str]]], labels: list[int], least: float) -> dict[str, int]:
+    """Features that documents of label 1 have more often than chance: by the log-likelihood ratio of their counts."""
+    by_label: tuple[Counter, Counter] = (Counter(), Counter())
+    for bag, y in zip(bags, labels):
+        by_label[y].update({f for words in bag for w in words for f in features(w)})
+    n, positive = len(labels), sum(labels)
+    share = positive / n
+    kept = []
+    for f, a in by_label[1].items():
+        b = by_label[0][f]
+        if a / (a + b) > share:
+            gain = 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0))
+            if gain >= least:
+                kept.append(f)
+    return {f: i for i, f in enumerate(sorted(kept))}
+
+
+def fit(texts: list[str], labels: list[int], rounds: int = 300, least: float = 16.0, l2: float = 3e-5) -> dict[str, float]:
+    """Weights by feature, the bias under ``""``; only features with evidence of at least ``least`` take part.
+
+    Without both labels among the texts the weights are empty and the bias says which label there is.
     """
     positive = sum(labels)
-    if not texts or not 0 < positive < len(labels):
-        return {"": 0.0 if not texts else (6.0 if positive else -6.0)}
+    if not 0 < positive < len(labels):
+        return {"": 6.0 if positive else CALM}
     bags = [[words for _, _, words in sentences(t)] for t in texts]
-    seen: Counter = Counter()
-    for bag in bags:
-        seen.update({f for words in bag for w in words for f in features(w)})
-    index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}
-    del seen
+    index = evidence(bags, labels, least)
     feature, sentence, owner = [], [], []
     for d, bag in enumerate(bags):
         for words in bag:
@@ -63,19 +81,18 @@ def fit(texts: list[str], labels: list[int], rounds: int = 150, least: int = 3,
     y, n, m = np.array(labels, float), len(labels), len(owner)
     # Each label weighs half in the loss.
     weight = np.where(y == 1, 0.5 / positive, 0.5 / (n - positive))
-    w, b = np.zeros(len(index)), -4.0
-    m1, m2, rate = np.zeros(len(index) + 1), np.zeros(len(index) + 1), 0.1
+    w, b = np.zeros(len(index)), CALM
+    m1, m2, rate = np.zeros(len(index) + 1), np.zeros(len(index) + 1), 0.15
     for t in range(1, rounds + 1):
         z = b + np.bincount(sentence, w[feature], minlength=m)
-        p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-9, 1 - 1e-9)
+        p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-12, 1 - 1e-9)
         none = np.exp(np.clip(np.bincount(owner, np.log1p(-p), minlength=n), -700, -1e-12))
         # d log-likelihood / dz of a sentence: p q / (1 - q) in toxic documents, -p in the others.
         pull = weight[owner] * np.where(y[owner] == 1, p * (none / (1 - none))[owner], -p)
-        grad = np.r_[np.bincount(feature, pull[sentence], minlength=len(index)), pull.sum()]
+        grad = np.r_[np.bincount(feature, pull[sentence], minlength=len(index)) - l2 * w, pull.sum()]
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         step = rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-6)
-        w, b = w + step[:-1], b + step[-1]
-        w = np.sign(w) * np.maximum(np.abs(w) - l1 * rate, 0)
+        w, b = w + step[:-1], min(b + step[-1], CALM)
     return {"": float(b)} | {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}
 
 
