@@ -28,36 +28,50 @@ from .common import cut, text_of, without
 FRONTIER = 2_000_000
 
 
-def fingerprint_bytes(data: bytes, width: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of a text's bytes; see add_fingerprints."""
+def fingerprints_of(data: bytes, width: int = 3, seed: int = 42, prints: int = 1, distinct: bool = False) -> list[int]:
+    """Signed 64-bit SimHashes of a text's bytes; see add_fingerprints."""
     import xxhash
 
     digest, words = xxhash.xxh64_digest, data.lower().split()
     if not words:
-        return 0
+        return [0] * prints
     if len(words) < width:
         words = [b" ".join(words)]
     elif width > 1:
         words = [b" ".join(x) for x in zip(*(words[i:] for i in range(width)))]
-    counts = np.zeros(64, np.int64)
+    if distinct:
+        words = list(dict.fromkeys(words))
+    counts = np.zeros((prints, 64), np.int64)
     for at in range(0, len(words), 65536):
-        part = words[at : at + 65536]
-        bits = np.unpackbits(np.frombuffer(b"".join([digest(w, seed) for w in part]), np.uint8).reshape(len(part), 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(words)).tobytes(), "big", signed=True)
+        part = np.frombuffer(b"".join([digest(w, seed) for w in words[at : at + 65536]]), ">u8")
+        for k in range(prints):
+            bits = np.unpackbits(remixed(part, k).view(np.uint8).reshape(-1, 8), axis=1)
+            counts[k] += bits.sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * c > len(words)).tobytes(), "big", signed=True) for c in counts]
 
 
-def add_fingerprints(df: DataFrame, text: str = "text", width: int = 3, seed: int = 42, out: str = "fp") -> DataFrame:
-    """Add the SimHash (long) of each text: A-Z lower-cased, shingles of ``width`` words with repeats, XXH64 of each.
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Big-endian hashes as they are for k = 0, else independent ones made of them (SplitMix64's finaliser)."""
+    if k == 0:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = hashes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).astype(">u8")
 
-    A bit is 1 if set in over half the hashes.  Fewer words than ``width``: one shingle of them all.  No words, or a
-    null text: 0.  A column named like ``out`` is replaced.
+
+def add_fingerprints(df: DataFrame, text: str = "text", width: int = 3, seed: int = 42, prints: int = 1, distinct: bool = False, out: str = "fps") -> DataFrame:
+    """Add the SimHashes (array of ``prints`` longs) of each text: A-Z lower-cased, shingles of ``width`` words, XXH64.
+
+    A bit is 1 if set in over half the hashes.  Repeats of a shingle count, unless ``distinct``.  Fewer words than
+    ``width``: one shingle of them all.  No words, or a null text: 0.  A column named like ``out`` is replaced.
     """
 
     def compute(data: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_bytes(x, width, seed) for x in data], dtype="int64")
+        return pd.Series([fingerprints_of(x, width, seed, prints, distinct) for x in data], dtype="object")
 
-    return without(df, out).withColumn(out, F.pandas_udf(compute, "long")(text_of(text).cast("binary")))
+    return without(df, out).withColumn(out, F.pandas_udf(compute, "array<long>")(text_of(text).cast("binary")))
 
 
 def blocks(max_distance: int) -> list[tuple[int, int]]:
@@ -193,25 +207,23 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, seeds: tuple[int, ...] = (42,), max_distance: int = 2) -> DataFrame:
-    """One row per input row: ``id``, ``fp`` (the first seed's fingerprint) and ``component_id``.
+def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, prints: int = 1, distinct: bool = False, max_distance: int = 2) -> DataFrame:
+    """One row per input row: ``id``, ``fp`` (the first fingerprint) and ``component_id``.
 
     Fingerprints within max_distance bits are linked, and component_id is the smallest id reachable over links, itself
-    included.  With several seeds, texts are linked where any seed's fingerprints are.  Equal fingerprints (ties,
-    repeated rows, all empty texts) are one node.  A row with a null id gets the component of its fingerprint (null if
-    no row with an id has that fingerprint).  An empty table gives no rows.
+    included.  With several ``prints`` per text, texts are linked where any of them are.  Equal fingerprints (ties,
+    repeated rows, all empty texts) are one node, and rows of one id are one document.  A row with a null id gets the
+    component of its fingerprint (null if no row with an id has that fingerprint).  An empty table gives no rows.
     """
-    names = [f"fp{i}" for i in range(len(seeds))]
-    marked = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    for name, seed in zip(names, seeds):
-        marked = add_fingerprints(marked, "text", width, seed, name)
-    marked = cut(marked.select("id", *names))
+    marked = add_fingerprints(df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), "text", width, seed, prints, distinct)
+    names = [f"fp{k}" for k in range(prints)]
+    marked = cut(marked.select("id", *(F.get("fps", F.lit(k)).alias(n) for k, n in enumerate(names))))
     links, points = None, {}
     for name in names:
         points[name] = marked.groupBy(F.col(name).alias("fp")).agg(F.min("id").alias("id"))
         own = near_links(points[name].where("id is not null"), max_distance)
         links = own if links is None else links.unionByName(own)
-    for name in names[1:]:  # texts that one seed tells apart may share another seed's fingerprint
+    for name in names[1:]:  # texts that one fingerprint tells apart may share another
         pairs = marked.groupBy("fp0", name).agg(F.min("id").alias("id"))
         near = pairs.join(points["fp0"].select(F.col("fp").alias("fp0"), F.col("id").alias("u")), "fp0").join(points[name].select(F.col("fp").alias(name), F.col("id").alias("v")), name)
         links = links.unionByName(near.where("u <> v").select("u", "v"))
@@ -221,6 +233,10 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width: in
 
 
 def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of df whose id is the smallest of its near-duplicate group, all columns kept; a repeated row stays once."""
-    stay = near_groups(df, id, text, **how).select(F.col("component_id").alias("_stay")).distinct()
-    return df.join(stay, df[id] == F.col("_stay"), "left_semi").dropDuplicates([id, text])
+    """The rows of df whose id is the smallest of its near-duplicate group, all columns kept; a repeated row stays once.
+
+    Rows with a null id all stay: nothing tells which document they are.
+    """
+    stay = near_groups(df.where(F.col(id).isNotNull()), id, text, **how).select(F.col("component_id").alias("_stay")).distinct()
+    kept = df.join(stay, df[id] == F.col("_stay"), "left_semi").dropDuplicates([id, text])
+    return kept.unionByName(df.where(F.col(id).isNull()))
