@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from . import operators as O
 from .functions.columns import log_ratio
-from .operators import arch, components, rules, sweep
+from .operators import arch, components, rules, sweep, validation
 from .operators import vocabulary as V
-from .plans import ast
+from .plans import ast, formulation
 from .plans import reference_sql as R
 from .plans.planner import Plan
 from .sources import bars as B
@@ -333,7 +333,61 @@ def phrase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, p, f) for i, (p, f) in enumerate(O.phrase_table())], "ord int, phrase string, feed string")
 
 
-_PLAIN = (bb_breakout, bars_hourly, bars_daily_orders, all_feeds, tick_feeds, text_features, document_audit, text_audit, catalog_check, catalog_granularities, alternate_symbol, math_symbols, table_report, guard_filters, page_chunks, sweep_grid, ema_cross_sweep, garch_fit, garch_forecast, deferred, phrase_rows)
+PAPERS = [
+    ("p1", "Long when price crosses above the EMA on 15 minute bars; exit when it falls below.", "Trends persist.", "btcusdt", "1h", [["HIGH_SESSION_SENSITIVITY"], ["PARAMETRIC_OVERFIT_RISK"]]),
+    ("p2", "Band breakout of Bollinger Bands.", "", "ADAUSDT", "1d", []), ("p3", "VWAP reversion.", "", "QQQ", "1h", []),
+]
+
+
+def spec_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specifications compiled from three papers; the third one's anchor is not in the catalog."""
+    papers = spark.createDataFrame(PAPERS, "paper_id string, mechanism string, hypothesis string, symbol string, granularity string, tags array<array<string>>")
+    out = formulation.compile_specs(papers, X.catalog_seed(spark))
+    return out.select("paper_id", "tier", "target_asset", "timeframe", "entry_trigger_primitive", "exit_trigger_primitive", F.array_join("filter_primitives", ",").alias("filters"), F.array_join("indicators", ",").alias("indicators"), "mode", "origin", "secondary_signal")
+
+
+_SPEC_ROWS = [
+    ("p1", t, a, "15m", "TRIGGER_CROSS_ABOVE", "TRIGGER_CROSS_BELOW", f, "IND_EMA", m, o, x)
+    for t, a, f, m, o, x in (
+        ("TIER_0_LITERAL", "BTCUSDT", "", "static", "paper_literal", None), ("TIER_1_PARAMETRIC", "BTCUSDT", "FLT_TIME_OF_DAY", "static", "paper_literal_with_guard", None),
+        ("TIER_2_GENERALIZED", "ADAUSDT", "FLT_TIME_OF_DAY", "dynamic", "generalized_from:BTCUSDT", None), ("TIER_3_AUGMENTED", "BTCUSDT", "FLT_TIME_OF_DAY", "dynamic", "augmented_with_secondary_signal", "IND_AD"),
+    )
+] + [
+    ("p2", t, a, "1d", "TRIGGER_BAND_BREAKOUT", "TRIGGER_CROSS_BELOW", "", "IND_BB", m, o, x)
+    for t, a, m, o, x in (("TIER_0_LITERAL", "ADAUSDT", "static", "paper_literal", None), ("TIER_2_GENERALIZED", "BTCUSDT", "dynamic", "generalized_from:ADAUSDT", None), ("TIER_3_AUGMENTED", "ADAUSDT", "dynamic", "augmented_with_secondary_signal", "IND_AD"))
+]
+
+
+def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formulation.capabilities(spark).select("name", "type", "granularity", F.array_join("primitives", ",").alias("primitives"))
+
+
+def purged_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each part on each of ten paths over the hourly bars."""
+    out = validation.purged_folds(B.event_bars(spark, sf_dir), purge_days=1, embargo_days=0.5)
+    return out.groupBy("symbol", "path", "part").agg(F.count("*").alias("n"))
+
+
+_FOLDS_SQL = f"""WITH {R.BARS.split(', l0 AS')[0]}, f AS (SELECT symbol, epoch(ts) AS t, ntile(5) OVER (PARTITION BY symbol ORDER BY ts) AS k FROM bars),
+    e AS (SELECT symbol, k, min(t) AS lo, max(t) AS hi FROM f GROUP BY 1, 2), c AS (SELECT a, b, (row_number() OVER (ORDER BY a, b) - 1)::INT AS path FROM range(1, 6) x(a), range(1, 6) y(b) WHERE a < b),
+    j AS (SELECT f.symbol, path, k IN (a, b) AS test, (SELECT bool_or((t < lo AND t > lo - 86400) OR (t > hi AND t < hi + 43200)) FROM e WHERE e.symbol = f.symbol AND e.k IN (a, b)) AS near FROM f, c)
+    SELECT symbol, path, CASE WHEN test THEN 'test' WHEN near THEN 'dropped' ELSE 'train' END AS part, count(*) AS n FROM j GROUP BY 1, 2, 3"""
+
+
+def price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = validation.bands(B.event_bars(spark, sf_dir), ["symbol"], "close")
+    return out.select("symbol", *(rounded(p).alias(p) for p in ("p10", "p50", "p90")))
+
+
+def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.block_bootstrap(B.event_bars(spark, sf_dir), "close", samples=200)
+
+
+def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.thin(B.event_bars(spark, sf_dir), "close", 100)
+
+
+_PLAIN = (spec_matrix, capabilities, purged_folds, price_bands, bootstrap_means, thinned, bb_breakout, bars_hourly, bars_daily_orders, all_feeds, tick_feeds, text_features, document_audit, text_audit, catalog_check, catalog_granularities, alternate_symbol, math_symbols, table_report, guard_filters, page_chunks, sweep_grid, ema_cross_sweep, garch_fit, garch_forecast, deferred, phrase_rows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -351,6 +405,9 @@ def oracle_sql() -> dict[str, str]:
         "bars_daily_orders": "SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS ts, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close, count(*)::DOUBLE AS volume FROM orders WHERE o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1, 2",
         "text_features": _text_sql(), "document_audit": _audit_sql("documents", "doc_id"), "text_audit": _audit_sql(f"(VALUES {X.values(X.TEXTS)}) x(id, text)", "id"),
         "catalog_check": _catalog_sql(), "catalog_granularities": f"SELECT DISTINCT gran AS granularity FROM (VALUES {_seed_values()}) c(cls, s, gran, b, f, y)", "alternate_symbol": _alternate_sql(),
+        "spec_matrix": f"SELECT * FROM (VALUES {X.values(_SPEC_ROWS)}) s(paper_id, tier, target_asset, timeframe, entry_trigger_primitive, exit_trigger_primitive, filters, indicators, mode, origin, secondary_signal)",
+        "capabilities": f"SELECT * FROM (VALUES {X.values([(n, k, g, ','.join(p)) for n, k, g, p in formulation.CAPABILITIES])}) c(name, type, granularity, primitives)",
+        "purged_folds": _FOLDS_SQL, "price_bands": f"WITH {R.BARS.split(', l0 AS')[0]} SELECT symbol, {', '.join(f'{R.rounded(f'quantile_cont(close, {p})')} AS p{round(100 * p)}' for p in (0.1, 0.5, 0.9))} FROM bars GROUP BY 1",
         "guard_filters": _guard_sql(), "ema_cross_sweep": _sweep_sql(), "garch_forecast": _forecast_sql(),
         "sweep_grid": "SELECT (f * 6 + s)::BIGINT AS param_id, round(1 + f * 19.8, 6)::DOUBLE AS fast, round(2 + s * 59.6, 6)::DOUBLE AS slow FROM range(6) a(f), range(6) b(s)",
         "deferred": f"SELECT * FROM (VALUES {X.values(list(V.DEFERRED.items()))}) d(id, reason)",
