@@ -19,7 +19,7 @@ from .common import text_of, without
 
 #: Fixed formats, in the order in which they are tried.
 FORMATS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
     "date": r"(?<![\w/.-])(?:(?:19|20)\d\d([-/])\d\d\1\d\d|\d\d([./])\d\d\2(?:19|20)\d\d)(?![\w/-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
