@@ -40,3 +40,9 @@ def test_audit_and_answers():
 def test_capabilities(spark):
     assert B.capabilities(spark).where("granularity = 'unsupported'").count() == 3
     assert len(B.vocabulary()["indicators"]) == 83
+
+
+def test_export(spark, tmp_path):
+    papers = spark.createDataFrame([("r", "VWAP", None, "ADAUSDT", "1d", [])], "paper_id string, mechanism string, hypothesis string, symbol string, granularity string, tags array<array<string>>")
+    specs = B.compile_specs(papers, X.catalog_seed(spark))
+    assert B.export_specs(specs, str(tmp_path / "specs")).count() == 3

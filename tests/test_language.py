@@ -91,3 +91,15 @@ def test_grid(spark):
     assert rows.count() == 36 and rows.select("fast", "slow").distinct().count() == 36
     with pytest.raises(ValueError):
         sweep.grid(spark, C.CURATED[0], most=10)
+
+
+def test_synthesis(spark, tmp_path):
+    path = str(tmp_path / "m.json")
+    C.synthesize_component(spark, TREES["planted"], "entry.own", "entry", path)
+    C.generate_from_primitive(spark, "IND_RSI", "entry", path)
+    out = C.with_components(frame(spark, a=walk(60)), ["entry.own", "entry.ind_rsi", "exit.time_exit"], manifest=path)
+    assert np.isfinite(one(out, "a", "entry_own", "entry_ind_rsi", "exit_time_exit")).all()
+    for bad in (TREES["sma"], series("spread"), binary("lag", CLOSE, number(-1))):
+        with pytest.raises(ValueError):
+            C.synthesize_component(spark, bad, "entry.bad", "entry", path)
+    assert C.resolve("entry.bad", path) is None

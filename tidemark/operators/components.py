@@ -126,14 +126,37 @@ def _fractional(p: Plan, fraction: float = 0.01) -> str:
 BUILDERS = {"entry.ema_cross": _ema_cross, "entry.vwap_band": _vwap_band, "exit.atr_stop": _atr_stop, "exit.time_exit": _time_exit, "sizing.atr_scaled": _atr_scaled, "sizing.atr_scaled_causal": _atr_scaled_causal, "sizing.fractional": _fractional}
 
 
-def with_components(df: DataFrame, components: list[str | tuple[str, dict]], keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
+def synthesize_component(spark, tree: object, id: str, pillar: str, path: str, implements: tuple[str, ...] = ()) -> Component:
+    """Register a signal tree as a component of a manifest, once it is valid, resolvable, causal and finite on a check frame.
+
+    The tree is the component: nothing is generated, and an id that is there already keeps what it has.
+    """
+    from ..plans import ast
+
+    node = ast.validate(tree)
+    if missing := ast.unresolved(node):
+        raise ValueError(f"nothing is called {', '.join(missing)}")
+    if ahead := ast.look_ahead(node):
+        raise ValueError(f"looks ahead: {', '.join(ahead)}")
+    ast.self_check(spark, node)
+    own = Component(id, id.replace(".", " ").title(), pillar, tuple(implements), ast=node)
+    append_manifest(path, own)
+    return own
+
+
+def generate_from_primitive(spark, feed: str, pillar: str, path: str) -> Component:
+    """A component of one feed, named after it."""
+    return synthesize_component(spark, {"kind": "indicator", "id": feed}, f"{pillar}.{feed.lower()}", pillar, path, (feed,))
+
+
+def with_components(df: DataFrame, components: list[str | tuple[str, dict]], keys: tuple[str, ...] = ("symbol",), order: str = "ts", manifest: str | None = None) -> DataFrame:
     """df with a double column for each component, named by its id with _ for dots; all in one plan."""
     plan, out = Plan(keys, order), {}
     for c in components:
         id, params = (c, {}) if isinstance(c, str) else c
         if id in BUILDERS:
             out[id.replace(".", "_")] = BUILDERS[id](plan, **params)
-        elif (own := resolve(id)) is not None and own.ast:
+        elif (own := resolve(id, manifest)) is not None and own.ast:
             from ..plans.ast import plan_node, validate
 
             out[id.replace(".", "_")] = plan_node(plan, validate(own.ast), params)

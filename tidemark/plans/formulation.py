@@ -50,6 +50,19 @@ def compile_specs(papers: DataFrame, catalog: DataFrame) -> DataFrame:
     return known.select(*shared, F.explode(F.slice(rows, 1, MOST_SPECS)).alias("s")).select(*shared, "s.*")
 
 
+SPEC_KEYS = ("paper_id", "timeframe", "entry_trigger_primitive", "exit_trigger_primitive", "indicators", "risk_annotations", "tier", "target_asset", "filter_primitives", "mode", "origin", "secondary_signal")
+
+
+def export_specs(specs: DataFrame, path: str) -> DataFrame:
+    """Write specifications as JSON lines and read them back; raises if they are not what was written."""
+    rows = specs.select(*SPEC_KEYS)
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    back = rows.sparkSession.read.schema(rows.schema).json(path)
+    if not rows.exceptAll(back).isEmpty() or not back.exceptAll(rows).isEmpty():
+        raise ValueError(f"{path} does not read back as it was written")
+    return back
+
+
 def referenced(spec: dict) -> set[str]:
     """Every primitive that a specification names."""
     params = spec.get("parameters") or {}
