@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,16 +44,23 @@ def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
 CALM = -12.0
 
 
-def evidence(bags: list[list[set[str]]], labels: list[int], least: float) -> dict[str, int]:
-    """Features that documents of label 1 have more often than chance: by the log-likelihood ratio of their counts."""
-    by_label: tuple[Counter, Counter] = (Counter(), Counter())
-    for bag, y in zip(bags, labels):
-        by_label[y].update({f for words in bag for w in words for f in features(w)})
-    n, positive = len(labels), sum(labels)
-    share = positive / n
-    kept = []
-    for f, a in by_label[1].items():
-        b = by_label[0][f]
+def evidence(texts: list[str], labels: list[int], least: float) -> dict[str, int]:
+    """Features that documents of label 1 have more often than chance: by the log-likelihood ratio of their counts.
+
+    Only what three such documents share is kept at all, and the others are counted for that alone.
+    """
+    found: Counter = Counter()
+    for text, y in zip(texts, labels):
+        if y:
+            found.update(features_of(text))
+    found = Counter({f: a for f, a in found.items() if a >= 3})
+    other: Counter = Counter()
+    for text, y in zip(texts, labels):
+        if not y:
+            other.update(f for f in features_of(text) if f in found)
+    share, kept = sum(labels) / len(labels), []
+    for f, a in found.items():
+        b = other[f]
         if a / (a + b) > share:
             gain = 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0))
             if gain >= least:
@@ -60,6 +68,10 @@ def evidence(bags: list[list[set[str]]], labels: list[int], least: float) -> dic
     return {f: i for i, f in enumerate(sorted(kept))}
 
 
+def features_of(text: str) -> set[str]:
+    return {f for _, _, words in sentences(text) for w in words for f in features(w)}
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 300, least: float = 16.0, l2: float = 3e-5) -> dict[str, float]:
     """Weights by feature, the bias under ``""``; only features with evidence of at least ``least`` take part.
 
@@ -68,11 +80,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300, least: float = 1
     positive = sum(labels)
     if not 0 < positive < len(labels):
         return {"": 6.0 if positive else CALM}
-    bags = [[words for _, _, words in sentences(t)] for t in texts]
-    index = evidence(bags, labels, least)
-    feature, sentence, owner = [], [], []
-    for d, bag in enumerate(bags):
-        for words in bag:
+    index = evidence(texts, labels, least)
+    feature, sentence, owner = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for _, _, words in sentences(text):
             own = {index[f] for w in words for f in features(w) if f in index}
             feature.extend(own)
             sentence.extend([len(owner)] * len(own))
