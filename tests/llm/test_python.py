@@ -139,7 +139,7 @@ def test_trie_finds_every_link(spark, budget):
                 b ^= 1 << random.randrange(64)
             prints.add(b)
     points = dict(enumerate(sorted(prints)))
-    df = spark.createDataFrame([(i, p - 2**64 if p >= 2**63 else p) for i, p in points.items()], "id long, fp long")
+    df = spark.createDataFrame([(0, i, p - 2**64 if p >= 2**63 else p) for i, p in points.items()], "k int, id long, fp long")
     roots = dict(rows(simhash.components(simhash.near_links(df, budget)), "node", "root"))
     assert {i: roots.get(i, i) for i in points} == groups(points, budget)
 

@@ -152,17 +152,19 @@ def forest(n: int, left: np.ndarray, right: np.ndarray, parent: np.ndarray | Non
 
 def partition_links(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[pa.RecordBatch]:
     """The spanning forest (id, smaller id) of a partition's links; the partition holds whole keys."""
-    data = [(b.column("choice").to_numpy(), b.column("fp").to_numpy(zero_copy_only=False), b.column("id").to_numpy(zero_copy_only=False)) for b in batches]
+    data = [tuple(b.column(n).to_numpy(zero_copy_only=False) for n in ("k", "choice", "fp", "id")) for b in batches]
     if not data:
         return
-    choice, fp, ids = (np.concatenate(x) for x in zip(*data))
-    uids, node = np.unique(ids, return_inverse=True)  # an id stands for one fingerprint
-    parent = np.arange(len(uids))
-    for k, pair in enumerate(combinations(range(max_distance + 2), 2)):
-        mine = np.flatnonzero(choice == k)
+    k, choice, fp, ids = (np.concatenate(x) for x in zip(*data))
+    uids, node = np.unique(ids, return_inverse=True)
+    parent, pairs = np.arange(len(uids)), list(combinations(range(max_distance + 2), 2))
+    part = k.astype(np.int64) * len(pairs) + choice
+    order = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.diff(part[order])) + 1
+    for mine in np.split(order, edges):
         if len(mine) < 2:
             continue
-        words, key_bits = keys_first(fp[mine].view(np.uint64), pair, max_distance)
+        words, key_bits = keys_first(fp[mine].view(np.uint64), pairs[choice[mine[0]]], max_distance)
         words, at = np.unique(words, return_index=True)
         index = node[mine[at]]
         for i, j in trie_pairs(words, key_bits, max_distance):
@@ -172,17 +174,17 @@ def partition_links(batches: Iterator[pa.RecordBatch], max_distance: int) -> Ite
 
 
 def near_links(points: DataFrame, max_distance: int = 2) -> DataFrame:
-    """Links (u > v) between the ids of distinct fingerprints, as forests of what differs in at most max_distance bits.
+    """Links (u > v) between ids, as forests of what differs in at most max_distance bits.
 
-    points: ``fp`` (distinct longs) and ``id`` (distinct longs, not null).
+    points: ``k`` (which fingerprint of a text), ``fp`` and ``id``, distinct by (k, fp); ids are not null.
     """
     parts = blocks(max_distance)
     rows = []
-    for k, (i, j) in enumerate(combinations(range(len(parts)), 2)):
+    for c, (i, j) in enumerate(combinations(range(len(parts)), 2)):
         held = [F.shiftrightunsigned("fp", parts[x][0]).bitwiseAND(F.lit((1 << parts[x][1]) - 1)) for x in (i, j)]
-        rows.append(F.struct(F.lit(k).alias("choice"), F.shiftleft(held[0], parts[j][1]).bitwiseOR(held[1]).alias("key")))
-    dealt = points.select("fp", "id", F.explode(F.array(*rows)).alias("x")).select("x.choice", "x.key", "fp", "id")
-    return dealt.repartition("choice", "key").select("choice", "fp", "id").mapInArrow(lambda b: partition_links(b, max_distance), "u long, v long")
+        rows.append(F.struct(F.lit(c).alias("choice"), F.shiftleft(held[0], parts[j][1]).bitwiseOR(held[1]).alias("key")))
+    dealt = points.select("k", "fp", "id", F.explode(F.array(*rows)).alias("x")).select("k", "x.choice", "x.key", "fp", "id")
+    return dealt.repartition("k", "choice", "key").select("k", "choice", "fp", "id").mapInArrow(lambda b: partition_links(b, max_distance), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -215,21 +217,17 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width: in
     repeated rows, all empty texts) are one node, and rows of one id are one document.  A row with a null id gets the
     component of its fingerprint (null if no row with an id has that fingerprint).  An empty table gives no rows.
     """
-    marked = add_fingerprints(df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), "text", width, seed, prints, distinct)
-    names = [f"fp{k}" for k in range(prints)]
-    marked = cut(marked.select("id", *(F.get("fps", F.lit(k)).alias(n) for k, n in enumerate(names))))
-    links, points = None, {}
-    for name in names:
-        points[name] = marked.groupBy(F.col(name).alias("fp")).agg(F.min("id").alias("id"))
-        own = near_links(points[name].where("id is not null"), max_distance)
-        links = own if links is None else links.unionByName(own)
-    for name in names[1:]:  # texts that one fingerprint tells apart may share another
-        pairs = marked.groupBy("fp0", name).agg(F.min("id").alias("id"))
-        near = pairs.join(points["fp0"].select(F.col("fp").alias("fp0"), F.col("id").alias("u")), "fp0").join(points[name].select(F.col("fp").alias(name), F.col("id").alias("v")), name)
-        links = links.unionByName(near.where("u <> v").select("u", "v"))
+    marked = cut(add_fingerprints(df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), "text", width, seed, prints, distinct).select("id", "fps"))
+    alike = marked.groupBy("fps").agg(F.min("id").alias("id"))
+    each = alike.where("id is not null").select("id", F.posexplode("fps").alias("k", "fp"))
+    points = each.groupBy("k", "fp").agg(F.min("id").alias("id"))
+    links = near_links(points, max_distance)
+    if prints > 1:  # texts that one fingerprint tells apart may share another
+        shared = each.withColumnRenamed("id", "u").join(points.withColumnRenamed("id", "v"), ["k", "fp"]).where("u <> v")
+        links = links.unionByName(shared.select("u", "v"))
     roots = components(links)
-    named = points["fp0"].join(roots, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return marked.select("id", F.col("fp0").alias("fp")).join(named, "fp").select(F.col("id").alias(id), "fp", "component_id")
+    named = alike.join(roots, F.col("id") == F.col("node"), "left").select("fps", F.coalesce("root", "id").alias("component_id"))
+    return marked.join(named, "fps").select(F.col("id").alias(id), F.get("fps", F.lit(0)).alias("fp"), "component_id")
 
 
 def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
