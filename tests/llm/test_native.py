@@ -104,6 +104,13 @@ def test_mix_by_hand(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df).collect()))
 
 
+def test_mix_without_broadcasts(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    small = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", -1)
+    assert sorted(map(str, mixing.mix(docs).collect())) == small
+
+
 def test_mix_edges(spark, documents, empty):
     got = mixing.mix(documents)
     assert got.count() == documents.count() and all(r.taken <= 2 * r.size for r in got.collect())
@@ -166,3 +173,16 @@ def test_running_sums(spark):
     df = spark.range(1).select(F.array(*map(F.lit, range(1, 101))).alias("a"), F.array().cast("array<int>").alias("e"))
     a, e = df.select(secrets.running_sums(F.col("a")), secrets.running_sums(F.col("e"))).first()
     assert a == [i * (i + 1) // 2 for i in range(1, 101)] and e == []
+
+
+def test_endless_repeats(spark):
+    """Texts that would overflow the stack of a regular expression with a backtracking group loop."""
+    n = 100_000
+    long = ["a@b" + ".c" * n, "a1/" * n, "a_" * n + "1", "1." * n, "token=" * n, "[" + "\\" * n + "INST]", "1-" * n, "4111 " * n, "-" * n + "1"]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    assert pii.pseudonymise(df, "k").count() == len(long) and secrets.find_secrets(df).select(F.size("spans")).count() == len(long)
+    assert [r.n_replaced for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()][0] == 1
+    assert all(len(r.spans) < n for r in secrets.find_secrets(df).collect())
+    chats = df.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "text")
+    out = chat.format_chats(chats).select("conv_id", chat.loss_text(F.col("segments")).alias("t")).collect()
+    assert all(r.t == long[r.conv_id] for r in out)

@@ -28,7 +28,7 @@ CLASSES = (("[0-9a-f]+|[0-9A-F]+", 2.8), ("[A-Z0-9]+", 3.4), (".*", 3.75))
 #: Candidates that are no secrets: digits only, UUIDs, dates and times, paths of plain words, placeholders.
 ALLOW = (
     r"[0-9]+", r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"[0-9]{4}-[0-9]{2}-[0-9]{2}.*", r"(?:/?[a-z]+[0-9]{0,4}[/_-]){2,}[a-z]*[0-9]{0,4}/?", r"(?i).*(?:example|placeholder|xxxx|0000000).*",
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}.*", r"(?:/?[a-z]+[0-9]{0,4}[/_-]){2,}+[a-z]*[0-9]{0,4}/?", r"(?i).*(?:example|placeholder|xxxx|0000000).*",
 )
 _ONE = 1 << 32
 
@@ -55,6 +55,13 @@ def _starts(gaps: Column, matches: Column) -> Column:
     return F.zip_with(F.slice(gaps, 1, F.size(matches)), F.slice(before, 1, F.size(matches)), lambda g, m: F.length(g) + m)
 
 
+def _accepted(starts: Column, matches: Column, secret: Column, kind: int, least: int) -> Column:
+    """(start, kind, end) of the matches whose secret part is long enough."""
+    every = F.arrays_zip(starts.alias("at"), F.transform(matches, F.length).alias("n"), F.transform(secret, F.length).alias("g"))
+    span = lambda x: F.struct(x["at"].alias("start"), F.lit(kind).alias("kind"), (x["at"] + x["n"]).alias("end"))
+    return F.transform(F.filter(every, lambda x: x["g"] >= least), span)
+
+
 def _entropy(index: Column, bound: Column) -> Column:
     """(first, last): start of the first window whose entropy is enough and end of the last; first -1 if none is.
 
@@ -105,9 +112,7 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "spans", allow: t
     for number, k in enumerate(BASE):
         use, group, least = found[k]
         secret = F.regexp_extract_all("_t", F.lit(use), F.lit(group)) if group else F.col(f"_m_{k}")
-        spans = F.transform(F.arrays_zip(F.col(f"_a_{k}").alias("at"), F.transform(f"_m_{k}", F.length).alias("n"), F.transform(secret, F.length).alias("g")), lambda x, number=number: F.struct(x["at"].alias("start"), F.lit(number).alias("kind"), (x["at"] + x["n"]).alias("end"), x["g"].alias("g")))
-        spans = F.transform(F.filter(spans, lambda x, least=least: x["g"] >= least), lambda x: F.struct(x["start"], x["kind"], x["end"]))
-        parts.append(F.when(F.col(f"_m_{k}").isNotNull(), spans))
+        parts.append(F.when(F.col(f"_m_{k}").isNotNull(), _accepted(F.col(f"_a_{k}"), F.col(f"_m_{k}"), secret, number, least)))
     fits = lambda c, p: c.rlike(rf"\A(?:{p})\z")
     allowed = lambda c: F.expr("false") if not allow else _any(fits(c, p) for p in allow)
 
