@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import count_words, cut, text_of
 
 BINS = 4096
+#: Tables with a row per source are broadcast up to so many sources; beyond, joins shuffle and adaptive execution splits the hot source.
+FEW_SOURCES = 20_000
 RANDOM_BITS = 52
 
 
@@ -54,12 +56,15 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     sized = cut(df.select(F.col(id).alias("id"), F.col(source).alias("source"), count_words(text_of(text)).alias("size"), own.alias("own"), random_of(id, seed).alias("r")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("own")).alias("weighted"))
     plan = totals.join(allocate(totals.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "s2").drop("source_size"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    plan = cut(plan)
+    few = plan.count() <= FEW_SOURCES
+    side = lambda df: F.broadcast(df) if few else df
     u = (F.col("r") + 0.5) / float(1 << RANDOM_BITS)
     rate = F.when(F.col("weighted") > 0, F.col("target") / F.col("weighted")).otherwise(0.0)
     expected = F.least(F.lit(float(most)), F.col("rate") * F.col("own"))
     p = F.col("expected") - F.floor("expected")
     rank = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    ranked = sized.join(plan.withColumn("rate", rate).withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    ranked = sized.join(side(plan.withColumn("rate", rate).withColumnRenamed("source", "s2")), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     ranked = ranked.withColumn("expected", expected).withColumn("base", F.floor("expected").cast("long")).withColumn("p", p).withColumn("rank", rank)
     # 0 to 1, rising with the rank; documents without a fraction come last and get no more.
     ranked = ranked.withColumn("place", F.col("rank") / (1 + F.col("rank"))).withColumn("bin", F.floor(F.col("place") * BINS)).withColumn("bin2", F.floor((F.col("place") * BINS - F.col("bin")) * BINS))
@@ -74,14 +79,14 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
         """Per source the bin in which the running sum passes what is needed, and what is needed of it."""
         w = Window.partitionBy("source").orderBy(at)
         run = sums.withColumn("upto", F.sum("words").over(w))
-        short = run.join(need, F.col("source").eqNullSafe(F.col("s2"))).where(F.col("upto") > F.col("need"))
+        short = run.join(side(need), F.col("source").eqNullSafe(F.col("s2"))).where(F.col("upto") > F.col("need"))
         first = short.groupBy("source").agg(F.min(F.struct(at, "upto", "words", "need")).alias("x"))
         return first.select(F.col("source").alias("s2"), F.col(f"x.{at}").alias(f"cut_{at}"), (F.col("x.need") - F.col("x.upto") + F.col("x.words")).alias("need"))
 
     one = crossing(open_rows.groupBy(*key, "bin").agg(F.sum("size").alias("words")), need, "bin")
-    inside = open_rows.join(one.withColumnRenamed("s2", "s1").drop("need"), F.col("source").eqNullSafe(F.col("s1")) & (F.col("bin") == F.col("cut_bin"))).drop("s1", "cut_bin")
+    inside = open_rows.join(side(one.withColumnRenamed("s2", "s1").drop("need")), F.col("source").eqNullSafe(F.col("s1")) & (F.col("bin") == F.col("cut_bin"))).drop("s1", "cut_bin")
     two = crossing(inside.groupBy(*key, "bin2").agg(F.sum("size").alias("words")), one.select("s2", "need"), "bin2")
-    last = inside.join(two.withColumnRenamed("s2", "s1"), F.col("source").eqNullSafe(F.col("s1")) & (F.col("bin2") == F.col("cut_bin2")))
+    last = inside.join(side(two.withColumnRenamed("s2", "s1")), F.col("source").eqNullSafe(F.col("s1")) & (F.col("bin2") == F.col("cut_bin2")))
     # Equal rows are summed first; then the place in the order at which the words come nearest to what is needed.
     tied = last.groupBy("source", "rank", "r", "id", "size", "need").agg(F.sum("size").alias("words"))
     w = Window.partitionBy("source").orderBy("rank", "r", F.col("id").asc_nulls_first(), "size")
@@ -97,6 +102,6 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
         | (F.col("bin") < F.col("cut_bin"))
         | ((F.col("bin") == F.col("cut_bin")) & ((F.col("bin2") < F.col("cut_bin2")) | ((F.col("bin2") == F.col("cut_bin2")) & F.coalesce(here <= F.col("end"), F.lit(False)))))
     )
-    out = ranked.join(met, F.col("source").eqNullSafe(F.col("s0")))
+    out = ranked.join(side(met), F.col("source").eqNullSafe(F.col("s0")))
     copies = F.col("base") + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)
     return out.select(F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
