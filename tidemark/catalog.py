@@ -209,9 +209,9 @@ def _audit_sql(source: str, id: str) -> str:
     weak = [c for c, (_, w) in V.ANALOGS.items() if w < 0.7]
     return f"""
     WITH d AS (SELECT {id}, lower(trim(coalesce(text, ''))) AS low FROM {source})
-    SELECT {id}, CASE WHEN {any_of(V.BLACK_BOX_MODELS)} OR ({any_of(banks)} AND NOT {any_of(V.ANALOGS)}) THEN 'REJECTED'
+    SELECT {id}, CASE WHEN {any_of(V.OPAQUE_MODELS)} OR ({any_of(banks)} AND NOT {any_of(V.ANALOGS)}) THEN 'REJECTED'
         WHEN {any_of(V.COMPUTE_HINTS)} OR {any_of(banks)} OR {any_of(weak)} THEN 'REQUIRES_HITL' ELSE 'PASSED' END AS status,
-      {total([*V.PROVIDERS, *V.GRANULARITY_HINTS])} AS n_dependencies, {named(V.BLACK_BOX_MODELS)} AS models, {named(V.COMPUTE_HINTS)} AS hints, {total(V.ANALOGS)} AS n_mappings
+      {total([*V.PROVIDERS, *V.GRANULARITY_HINTS])} AS n_dependencies, {named(V.OPAQUE_MODELS)} AS models, {named(V.COMPUTE_HINTS)} AS hints, {total(V.ANALOGS)} AS n_mappings
     FROM d"""
 
 

@@ -155,7 +155,7 @@ def audit_text(text: Column, granularities: Column | None = None) -> Column:
     dependencies = F.array_compact(F.array(*(provider(n, k) for n, k in V.PROVIDERS.items()), *(wanted(h, g) for h, g in V.GRANULARITY_HINTS.items())))
     mentioned = lambda terms: F.array_compact(F.array(*(F.when(has(t), t) for t in terms)))
     mappings = F.array_compact(F.array(*(F.when(has(c), F.struct(F.lit(c).alias("tradfi"), F.lit(a).alias("crypto"), F.lit(w).alias("confidence"))) for c, (a, w) in V.ANALOGS.items())))
-    models, hints = mentioned(V.BLACK_BOX_MODELS), mentioned(V.COMPUTE_HINTS)
+    models, hints = mentioned(V.OPAQUE_MODELS), mentioned(V.COMPUTE_HINTS)
     some = lambda array, test: F.exists(array, test)
     return F.struct(
         dependencies.alias("dependencies"), models.alias("models"), hints.alias("hints"), mappings.alias("mappings"),
