@@ -66,6 +66,16 @@ def test_pii_keeps_formats_and_links(spark):
     assert all(other[i] != got[i].text for i in range(len(VALUES)))
 
 
+def test_pii_of_single_digit_addresses(spark):
+    """An address without two digits in a row is a value like any other, with the same pseudonym everywhere."""
+    texts = ["8.8.8.8", "ask 1.1.1.1, then 8.8.8.8", "8.8.8.8 on 1999-12-31", "version 1.2, 3.4"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r) for r in pii.pseudonymise(df, "k").orderBy("doc_id").select("text", "n_replaced").collect()]
+    new = got[0][0]
+    assert [n for _, n in got] == [1, 2, 2, 0] and new != "8.8.8.8" and new in got[1][0] and new in got[2][0]
+    assert "1.1.1.1" not in got[1][0] and got[3][0] == texts[3]
+
+
 def test_pii_is_a_permutation(spark):
     days = [f"{y}-{m:02d}-{d:02d}" for y in (1999, 2000) for m in range(1, 13) for d in range(1, 29)]
     ips = [f"10.1.{a}.{b}" for a in range(4) for b in range(100)]

@@ -28,7 +28,7 @@ FORMATS = {
 }
 ANY = "|".join(FORMATS.values())
 #: Any text that has a value has one of these; a quick look.
-HINT = r"[0-9][0-9]|@"
+HINT = r"[0-9]\.?[0-9]|@"
 ROUNDS = 8
 DAYS = (319, 229)  # 319 * 229 days from 1900-01-01 to 2099-12-31
 
