@@ -295,6 +295,18 @@ def test_fingerprint_edges(spark, documents, empty):
     assert alone == [(1.0,)]
 
 
+def test_every_text_with_tokens_has_an_anchor(spark):
+    """Texts of 5 and 6 tokens have few k-mers, and often none is a closed syncmer."""
+    texts = [" ".join(f"w{n}x{i}y{j}" for j in range(n)) for n in (4, 5, 6, 7) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in syncmers.add_anchors(syncmers.add_anchors(df, "text", "a"), "text", "b", positions=True).collect():
+        assert r.a and None not in r.a and [x.hash for x in r.b] == r.a
+        assert slow_sketch(r.text) in ([], sorted(set(r.a), reverse=True))
+    got = rows(syncmers.fingerprint_edits(df), "fingerprint", "near_next", "near_edited")
+    assert len({f for f, _, _ in got}) == len(texts) and all(f for f, _, _ in got) and {n for _, n, _ in got} == {0.0}
+    assert sum(slow_sketch(t) == [] for t in texts) > 20
+
+
 def test_anchors_do_not_depend_on_what_is_elsewhere(spark):
     random.seed(1)
     w = [f"w{random.randrange(99)}" for _ in range(200)]

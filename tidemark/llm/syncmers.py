@@ -28,10 +28,10 @@ def _anchor(h: Column, i: Column) -> Column:
 def add_anchors(df: DataFrame, text: str, out: str, positions: bool = False) -> DataFrame:
     """Add ``out``: the hashes of the text's anchors (array<long>), or with positions (pos, hash) structs.
 
-    pos is the number of the anchor's first token.  A text of 1 to K-1 tokens has one anchor, of all its tokens; a null
-    text, or one without tokens, has none.
+    pos is the number of the anchor's first token.  A text with tokens but without a closed syncmer (all of 1 to K-1
+    tokens, some of few more) has one anchor, of all its tokens; a null text, or one without tokens, has none.
     """
-    df = without(df, out, "_w", "_h") if out != text else df
+    df = without(df, out, "_w", "_h", "_a") if out != text else df
     keep = df.columns
     split = df.withColumn("_w", tokens(text_of(text)))
     hashed = split.withColumn("_h", F.transform(F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 1, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_w", i + 1))))
@@ -42,14 +42,15 @@ def add_anchors(df: DataFrame, text: str, out: str, positions: bool = False) ->
         many = F.filter(F.transform(index, lambda i: F.struct(i.alias("pos"), _anchor(F.col("_h"), i).alias("hash"))), lambda a: a["hash"].isNotNull())
         kind, few = "array<struct<pos:int,hash:bigint>>", F.transform(few, lambda x: F.struct(F.lit(0).alias("pos"), x.alias("hash")))
     else:
-        many, kind = F.transform(index, lambda i: _anchor(F.col("_h"), i)), "array<bigint>"
-    return hashed.select(*(F.col(f"`{c}`") for c in keep), F.when(last >= 0, many).otherwise(F.coalesce(few, F.array().cast(kind))).alias(out))
+        many, kind = F.array_compact(F.transform(index, lambda i: _anchor(F.col("_h"), i))), "array<bigint>"
+    found = hashed.withColumn("_a", F.when(last >= 0, many))
+    return found.select(*(F.col(f"`{c}`") for c in keep), F.when(F.size("_a") > 0, F.col("_a")).otherwise(F.coalesce(few, F.array().cast(kind))).alias(out))
 
 
 def add_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out`` (array<long>): the SKETCH largest distinct anchor hashes, largest first; none for an empty text."""
     anchors = add_anchors(df, text, "_anchors")
-    top = F.array_compact(F.slice(F.sort_array(F.array_distinct("_anchors"), asc=False), F.lit(1), F.lit(SKETCH)))
+    top = F.slice(F.sort_array(F.array_distinct("_anchors"), asc=False), F.lit(1), F.lit(SKETCH))
     return without(anchors, out).withColumn(out, top).drop("_anchors")
 
 
