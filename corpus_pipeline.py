@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, pii, simhash, toxicity
+from tidemark.llm import bpe, mixing, nearcopies, pii, toxicity
 from tidemark.llm.common import cut, table, text_of
 from tidemark.llm.queries import KEY, vocabulary
 
@@ -25,11 +25,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    On shingles of several words a changed word flips too many bits: at a similarity of 0.8 on five-word shingles the
-    fingerprints of three-word shingles differ in 5 bits on average.  Those of a text's distinct words differ in 3, so
-    six independent fingerprints of them with 3 bits allowed find 98% of such pairs (measured, see README).
+    Near copies have at least 0.8 of their five-word shingles in common; every link is checked on the shingle sets.
+    Candidates come from eight SimHashes of a text's distinct words with 4 bits allowed (see README for their recall).
     """
-    return simhash.keep_one(docs, width=1, prints=6, distinct=True, max_distance=3).select(*docs.columns)
+    return nearcopies.keep_one(docs).select(*docs.columns)
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ steps, joins and minima only, with a reliable checkpoint after each round.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -93,8 +93,11 @@ def keys_first(words: np.ndarray, choice: tuple[int, int], max_distance: int) ->
     return out, sum(all_blocks[i][1] for i in choice)
 
 
-def trie_pairs(words: np.ndarray, key_bits: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of sorted distinct words that agree on the top key_bits and differ in at most budget bits below."""
+def trie_pairs(words: np.ndarray, key_bits: int, budget: int, wanted: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of sorted distinct words that agree on the top key_bits and differ in at most budget bits below.
+
+    wanted(a_lo, a_hi, b_lo, b_hi), if given, says which pairs of ranges can hold a pair of interest; others are left.
+    """
     if len(words) < 2:
         return
     edges = np.flatnonzero(np.diff(words >> np.uint64(64 - key_bits))) + 1
@@ -125,6 +128,8 @@ def trie_pairs(words: np.ndarray, key_bits: int, budget: int) -> Iterator[tuple[
         for p, q, r, s, d, more in parts:
             ok = (p < q) & (r < s) & (d <= budget) & ~((p == r) & (q - p == 1))
             ok = ok if more is None else ok & more
+            if wanted is not None:
+                ok[ok] = wanted(*(x[ok] for x in (p, q, r, s)))
             kept.append(tuple(x[ok] for x in (p, q, r, s, d)))
         merged = [np.concatenate(x) for x in zip(*kept)]
         if len(merged[-1]):
