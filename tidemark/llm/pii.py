@@ -3,11 +3,20 @@
 A validated value is a number pair (left, right) in a domain given by its format; a keyed Feistel network P permutes the
 domain, and the pseudonym is P^-1(P(x) + 1): again a keyed permutation within the format, and one that leaves no value
 as it was.  Equal values get equal pseudonyms in every document.  Local parts of e-mail addresses go through the same
-network with halves of characters, each shifted within its class.
+network with halves of characters, each shifted within its class; a single letter or digit is a pair of its own domain.
 
-Kinds (all others stay): card numbers of 13 to 19 digits that pass the Luhn check (and the pseudonym does), North
-American phone numbers, social security numbers, IPv4 addresses, dates from 1900 to 2099 (yyyy-mm-dd, yyyy/mm/dd,
-dd.mm.yyyy, dd/mm/yyyy), e-mail addresses (the domain stays).
+Kinds (all others stay):
+
+* card numbers of 13 to 19 digits that pass the Luhn check (and the pseudonym does);
+* IBANs of the listed countries, compact or in groups of four, whose check digits are right (and the pseudonym's are);
+  country and letters stay;
+* phone numbers of ten digits: bare ones need an area code and an exchange that begin with 2 to 9, as the North American
+  plan has it; a country code with a plus sign before a bracketed area code marks a number as one whatever its digits.
+  Either sort is permuted within itself;
+* social security numbers, IPv4 addresses, dates from 1900 to 2099 (yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, dd/mm/yyyy);
+* e-mail addresses with a local part of at most 64 characters, after any leading punctuation (it and the domain stay).
+
+Every pattern reads a run of characters once, so time is linear in the text.
 """
 
 from __future__ import annotations
@@ -17,20 +26,42 @@ from pyspark.sql import functions as F
 
 from .common import text_of, without
 
+# Lengths of IBANs by country.
+IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT",
+}
+
+
+def _iban_pattern() -> str:
+    """Both ways of writing, by length, so that a word behind the number is not taken for a group of it."""
+    each = []
+    for size, lands in IBAN.items():
+        full, rest = divmod(size - 4, 4)
+        spaced = f"(?: [A-Z0-9]{{4}}){{{full}}}" + (f" [A-Z0-9]{{{rest}}}" if rest else "")
+        each.append(f"(?:{lands.replace(' ', '|')})\\d\\d(?:[A-Z0-9]{{{size - 4}}}|{spaced})")
+    return rf"(?<!\w)(?=[A-Z][A-Z]\d\d)(?:{'|'.join(each)})(?!\w)"
+
+
 #: Fixed formats, in the order in which they are tried.
 FORMATS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
+    "email": r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
     "date": r"(?<![\w/.-])(?:(?:19|20)\d\d([-/])\d\d\1\d\d|\d\d([./])\d\d\2(?:19|20)\d\d)(?![\w/-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+?\d{1,2}[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
     "card": r"(?<!\w)(?:\d{13,19}|\d{4}([ -])\d{4}\3\d{4}\3\d{4}|\d{4}([ -])\d{6}\4\d{5})(?!\w)",
+    "iban": _iban_pattern(),
 }
 ANY = "|".join(FORMATS.values())
 #: Any text that has a value has one of these; a quick look.
 HINT = r"[0-9]\.?[0-9]|@"
 ROUNDS = 8
 DAYS = (319, 229)  # 319 * 229 days from 1900-01-01 to 2099-12-31
+#: A phone number that says so itself.
+MARKED = r"\A\+\d{1,2}[ .-]\("
+#: Halves of phone numbers in the plan, and of all others: area code and exchange, then the last four digits.
+PLANNED, UNPLANNED = 800 * 800, 1_000_000 - 800 * 800
 
 
 def _digits(m: Column) -> Column:
@@ -38,7 +69,7 @@ def _digits(m: Column) -> Column:
 
 
 def _is(m: Column, kind: str) -> Column:
-    shape = {"email": "@", "ip": r"\A\d{1,3}(?:\.\d{1,3}){3}\z", "date": r"\A(?:\d{4}[-/]\d\d[-/]\d\d|\d\d[./]\d\d[./]\d{4})\z", "ssn": r"\A\d{3}-\d{2}-\d{4}\z", "card": r"\A(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})\z"}
+    shape = {"email": "@", "ip": r"\A\d{1,3}(?:\.\d{1,3}){3}\z", "date": r"\A(?:\d{4}[-/]\d\d[-/]\d\d|\d\d[./]\d\d[./]\d{4})\z", "ssn": r"\A\d{3}-\d{2}-\d{4}\z", "card": r"\A(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})\z", "iban": r"\A[A-Z]{2}"}
     return m.rlike(shape[kind])
 
 
@@ -49,6 +80,14 @@ def luhn_sum(digits: Column, odd: int) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
+def mod97(text: Column) -> Column:
+    """A string of digits and capital letters (A is 10) as a number, modulo 97."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    value = lambda c: F.instr(F.lit(letters), c) + 9
+    add = lambda a, c: F.when(F.instr(F.lit(letters), c) > 0, (a * 100 + value(c)) % 97).otherwise((a * 10 + c.cast("int")) % 97)
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), add)
+
+
 def _date(m: Column) -> Column:
     y4 = m.rlike(r"\A\d{4}")
     return F.try_to_date(F.when(y4, F.regexp_replace(m, "/", "-")).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))), "yyyy-MM-dd")
@@ -74,12 +113,21 @@ def domain(m: Column) -> Column:
     area, group, serial = F.substring(m, 1, 3).cast("int"), F.substring(m, 5, 2).cast("int"), F.substring(m, 8, 4).cast("int")
     valid_ssn = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     area_index = area - F.when(area > 666, 2).otherwise(1)
+    ten = F.right(d, F.lit(10))
+    first, exchange, last = F.substring(ten, 1, 3).cast("int"), F.substring(ten, 4, 3).cast("int"), F.substring(ten, 7, 4).cast("int")
+    planned = make(F.lit("phone"), F.lit(PLANNED), F.lit(10_000), (first - 200) * 800 + exchange - 200, last)
+    unplanned = make(F.lit("marked phone"), F.lit(UNPLANNED), F.lit(10_000), F.when(first < 200, first * 1000 + exchange).otherwise(200_000 + (first - 200) * 200 + exchange), last)
+    compact = F.replace(m, F.lit(" "))
+    bban = F.substr(compact, F.lit(5))
+    form = F.concat(F.lit("iban"), F.substring(m, 1, 2), F.regexp_replace(bban, r"\d", "9"))
+    valid_iban = (mod97(F.concat(bban, F.substring(compact, 1, 4))) == 1) & bban.rlike(r"\d\D*\d")
     return (
         F.when(_is(m, "ip"), F.when(valid_ip, make(F.lit("ip"), F.lit(65536), F.lit(65536), octet(0) * 256 + octet(1), octet(2) * 256 + octet(3))).otherwise(none))
         .when(_is(m, "date"), F.when(day.isNotNull(), make(F.lit("date"), F.lit(DAYS[0]), F.lit(DAYS[1]), F.floor(day / DAYS[1]), day % DAYS[1])).otherwise(none))
         .when(_is(m, "ssn"), F.when(valid_ssn, make(F.lit("ssn"), F.lit(898 * 99), F.lit(9999), area_index * 99 + group - 1, serial - 1)).otherwise(none))
         .when(_is(m, "card"), F.when(luhn_sum(d, 1) % 10 == 0, halves(F.concat(F.lit("card"), n.cast("string")), F.substr(d, F.lit(1), n - 1))).otherwise(none))
-        .otherwise(halves(F.lit("phone"), F.right(d, F.lit(10))))
+        .when(_is(m, "iban"), F.when(valid_iban, halves(form, _digits(bban))).otherwise(none))
+        .otherwise(F.when((first >= 200) & (exchange >= 200), planned).when(m.rlike(MARKED), unplanned).otherwise(none))
     )
 
 
@@ -120,9 +168,15 @@ def _written(m: Column, x: Column, p: Column) -> Column:
     date = F.when(m.rlike(r"\A\d{4}"), F.date_format(day, "yyyyMMdd")).otherwise(F.date_format(day, "ddMMyyyy"))
     area = F.floor(p["left"] / 99) + 1
     ssn = F.concat(pad(area + F.when(area >= 666, 1).otherwise(0), 3), pad(p["left"] % 99 + 1, 2), pad(p["right"] + 1, 4))
+    low, code = p["left"] - 200_000, F.floor(p["left"] / 800)
+    planned = F.concat(pad(code + 200, 3), pad(p["left"] % 800 + 200, 3))
+    unplanned = F.when(low < 0, pad(p["left"], 6)).otherwise(F.concat(pad(F.floor(low / 200) + 200, 3), pad(low % 200, 3)))
+    phone = F.concat(F.substr(d, F.lit(1), F.length(d) - 10), F.when(x["kind"] == "phone", planned).otherwise(unplanned), pad(p["right"], 4))
+    bban = _fill(F.substr(F.replace(m, F.lit(" ")), F.lit(5)), number)
+    iban = F.concat(pad(98 - mod97(F.concat(bban, F.substring(m, 1, 2), F.lit("00"))), 2), number)
     return (
         F.when(x["kind"] == "ip", ip).when(x["kind"] == "date", _fill(m, date)).when(x["kind"] == "ssn", _fill(m, ssn))
-        .when(x["kind"] == "phone", _fill(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), number)))
+        .when(x["kind"].endswith("phone"), _fill(m, phone)).when(x["kind"].startswith("iban"), _fill(m, iban))
         .otherwise(_fill(m, F.concat(number, check)))
     )
 
@@ -138,12 +192,26 @@ def _shift(c: Column, by: Column) -> Column:
     return out
 
 
+def _single(c: Column, key: str) -> Column:
+    """The pseudonym of a letter or digit that stands alone, within its class."""
+    out = c
+    for letters in _CLASSES:
+        at = F.instr(F.lit(letters), c) - 1
+        long = lambda v: v.cast("long")
+        x = F.struct(F.lit(f"single {letters[0]}").alias("kind"), F.lit(len(letters) // 2).cast("long").alias("a"), F.lit(2).cast("long").alias("b"), long(F.floor(at / 2)).alias("left"), long(at % 2).alias("right"))
+        # In an array of one, so that the permuted pair is made once.
+        new = F.get(F.transform(F.array(permute(x, key)), lambda p: F.substr(F.lit(letters), (p["left"] * 2 + p["right"] + 1).cast("int"), F.lit(1))), F.lit(0))  # noqa: B023
+        out = F.when(at >= 0, new).otherwise(out)
+    return out
+
+
 def email(m: Column, key: str) -> Column:
-    """The pseudonym of an address: its local part permuted among those of the same form."""
-    local = F.filter(F.split(F.substring_index(m, "@", 1), ""), lambda c: c != "")
-    half = F.ceil(F.size(local) / 2).cast("int")
+    """The pseudonym of an address: letters and digits of its local part permuted among those of the same form."""
+    local = F.substring_index(m, "@", 1)
+    plain = F.filter(F.split(local, ""), lambda c: c.rlike("[A-Za-z0-9]"))
+    half = F.ceil(F.size(plain) / 2).cast("int")
     pair = lambda left, right: F.struct(left.alias("left"), right.alias("right"))
-    start = pair(F.slice(local, F.lit(1), half), F.slice(local, half + 1, F.size(local)))
+    start = pair(F.slice(plain, F.lit(1), half), F.slice(plain, half + 1, F.size(plain)))
 
     def step(sign: int):
         def run(acc: Column, i: Column) -> Column:
@@ -154,8 +222,10 @@ def email(m: Column, key: str) -> Column:
         return run
 
     there = F.aggregate(F.sequence(F.lit(0), F.lit(5)), start, step(1), lambda p: pair(F.transform(p["left"], lambda c, j: F.when(j == 0, _shift(c, F.lit(1))).otherwise(c)), p["right"]))
-    back = F.aggregate(F.sequence(F.lit(5), F.lit(0), F.lit(-1)), there, step(-1), lambda p: F.array_join(F.concat(p["left"], p["right"]), ""))
-    return F.concat(back, F.lit("@"), F.substring_index(m, "@", -1))
+    back = F.aggregate(F.sequence(F.lit(5), F.lit(0), F.lit(-1)), there, step(-1), lambda p: F.concat(p["left"], p["right"]))
+    new = F.when(F.size(plain) == 1, F.transform(plain, lambda c: _single(c, key))).otherwise(back)
+    gaps = F.split(local, "[A-Za-z0-9]", -1)
+    return F.concat(F.array_join(F.zip_with(gaps, new, lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))), ""), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def pseudonymise(df: DataFrame, key: str, text: str = "text", count: str = "n_replaced") -> DataFrame:
@@ -163,7 +233,7 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", count: str = "n_re
 
     Everything outside the values stays as it was, and so does a text without any; a null text stays null with count
     0.  A value that isn't valid in its format stays.  Repeated rows and equal values get equal results; a column named
-    like ``count`` is replaced; the key is the only secret.
+    like ``count`` is replaced; ``key`` is the only secret and belongs in the session's configuration, not in a source.
     """
     df = without(df, count)
     names = df.columns

@@ -11,7 +11,12 @@ from . import ann, bpe, chat, mixing, pii, secrets, simhash, syncmers, toxicity,
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-KEY = "pseudonyms-1"
+#: Where the key of pseudonyms comes from; the default is for tests and demonstrations, whose results anybody may repeat.
+KEY_SETTING, DEMO_KEY = "spark.tidemark.pseudonym.key", "pseudonyms-1"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, DEMO_KEY)
 
 
 def vocabulary(name: str = VOCABULARY) -> tuple[bytes, str]:
@@ -53,7 +58,7 @@ FROM e GROUP BY conv_id
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by pseudonyms."""
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
