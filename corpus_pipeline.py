@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, nearcopies, pii, toxicity
 from tidemark.llm.common import cut, table, text_of
-from tidemark.llm.queries import KEY, vocabulary
+from tidemark.llm.queries import pseudonym_key, vocabulary
 
 #: Documents whose score is at least this are rejected.
 TOXIC = 0.7
@@ -33,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its personal data replaced by pseudonyms; n_chars follows the text."""
-    out = pii.pseudonymise(docs, KEY)
+    out = pii.pseudonymise(docs, pseudonym_key(spark))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length(text_of()).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
