@@ -234,21 +234,26 @@ def test_probes_come_by_score():
 # --- syncmers
 
 
-def slow_sketch(text: str) -> list[int]:
+def slow_anchors(text: str) -> list[tuple[int, int]]:
+    """(pos, hash) of the closed syncmers; one anchor of all tokens for a text that has none."""
     import re
 
     h64 = lambda *ps: signed(chain(ps))
     words = re.findall(rf"[^\x20\x09-\x0D]{{1,{syncmers.TOKEN}}}", text, re.S)
     if not words:
         return []
-    if len(words) < syncmers.K:
-        return [h64(" ".join(words))]
     h = [h64(a, b) for a, b in zip(words, words[1:])]
-    out = set()
-    for i in range(len(h) - 3):
-        if min(h[i : i + 4]) in (h[i], h[i + 3]):
-            out.add(h64(h[i], h[i + 2], h[i + 3]))
-    return sorted(out, reverse=True)[: syncmers.SKETCH]
+    out = [(i, h64(h[i], h[i + 2], h[i + 3])) for i in range(len(h) - 3) if min(h[i : i + 4]) in (h[i], h[i + 3])]
+    return out or [(0, h64(" ".join(words)))]
+
+
+def slow_likeness(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> float:
+    x, y = ({h: p for p, h in reversed(t)} for t in (a, b))
+    if not x and not y:
+        return 1.0
+    met = sorted((p, y[h] - p) for h, p in x.items() if h in y)
+    good = [i for i, (_, s) in enumerate(met) if len(met) == 1 or any(0 <= j < len(met) and abs(met[j][1] - s) <= syncmers.SLACK for j in (i - 1, i + 1))]
+    return 2 * len(good) / (len(x) + len(y))
 
 
 def signed(x: int) -> int:
@@ -264,20 +269,25 @@ def chain(parts) -> int:
 
 def test_fingerprints_by_hand(spark):
     docs = sorted(rows(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text"))
-    prints = {i: slow_sketch(t or "") for i, t in docs}
-    like = lambda a, b: 1.0 if not a and not b else len(set(a) & set(b) & set(sorted({*a, *b}, reverse=True)[:64])) / max(1, len({*a, *b}) if len({*a, *b}) < 64 else 64)
+    prints = {i: slow_anchors(t or "") for i, t in docs}
     after = dict(zip([i for i, _ in docs], [*docs[1:], docs[0]]))
-    text = lambda s: "".join(f"{x % 2**64:016x}" for x in s)
-    got = rows(queries.op9_syncmers(spark, SF), "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-    assert len(got) == len(docs)
     texts = dict(docs)
-    for i, n, sha, fp, efp, near, nxt in got:
+    full = {r.doc_id: r for r in syncmers.fingerprint_edits(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    got = rows(queries.op9_syncmers(spark, SF), "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_anchors")
+    assert len(got) == len(docs) and len({(tuple(prints[i]), f) for i, _, _, f, *_ in got}) == len({f for _, _, _, f, *_ in got})
+    near_edited, near_next = [], []
+    for i, n, sha, fp, efp, near, nxt, anchors in got:
         t, q = texts[i] or "", len(texts[i] or "") // 4
         edited = t[: len(t) - q] + (after[i][1] or "")[:q]
-        e = slow_sketch(edited)
-        assert (n, sha, fp, efp) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), text(prints[i]), text(e))
-        assert near == pytest.approx(like(prints[i], e)) and nxt == pytest.approx(like(prints[i], prints[after[i][0]]))
-    assert np.mean([g[5] for g in got]) > 0.4 > 0.1 > np.mean([g[6] for g in got])
+        e = slow_anchors(edited)
+        assert (n, sha, anchors) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), len(prints[i]))
+        assert ([tuple(a) for a in full[i].anchors], [tuple(a) for a in full[i].edited_anchors]) == (prints[i], e)
+        assert len(fp) == (32 if prints[i] else 0) and (fp == efp) == (prints[i] == e)
+        assert near == pytest.approx(slow_likeness(prints[i], e)) and nxt == pytest.approx(slow_likeness(prints[i], prints[after[i][0]]))
+        if len(prints[i]) >= 20 and prints[i] != prints[after[i][0]]:
+            near_edited.append(near)
+            near_next.append(nxt)
+    assert np.mean(np.array(near_edited) > 0.5) > 0.9 and np.median(near_edited) > 0.7 and np.mean(np.array(near_next) < 0.1) > 0.9
 
 
 @pytest.mark.parametrize("parts", [1, 2, 7, 40])
@@ -287,6 +297,18 @@ def test_next_document_over_any_ranges(spark, parts):
     assert got == {f"t{i}": f"t{(i + 1) % 25}" for i in range(25)}
 
 
+@pytest.mark.parametrize("parts", [1, 8, 30])
+def test_next_document_among_repeated_and_null_ids(spark, parts):
+    """A third of the rows share an id, a third have none: they are split by their texts' hashes, in one order."""
+    data = [(7, f"seven{i % 35}") for i in range(40)] + [(None, f"none{i}") for i in range(40)] + [(100 + i, f"own{i}") for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = [(r.doc_id, r.text, r.next_text) for r in syncmers.with_next(df, parts=parts).collect()]
+    key = lambda d: (d[0] is not None, d[0] or 0, xxhash.xxh64_intdigest(d[1].encode(), 42) >> 32, d[1])
+    order = sorted(data, key=key)
+    assert sorted(got, key=str) == sorted(((*d, order[(i + 1) % len(order)][1]) for i, d in enumerate(order)), key=str)
+    assert parts < 8 or syncmers.with_next(df, parts=parts).count() == len(data)
+
+
 def test_fingerprint_edges(spark, documents, empty):
     got = rows(syncmers.fingerprint_edits(documents), "doc_id", "fingerprint", "n_chars")
     assert len(got) == documents.count() and syncmers.fingerprint_edits(empty).count() == 0
@@ -300,11 +322,25 @@ def test_every_text_with_tokens_has_an_anchor(spark):
     texts = [" ".join(f"w{n}x{i}y{j}" for j in range(n)) for n in (4, 5, 6, 7) for i in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in syncmers.add_anchors(syncmers.add_anchors(df, "text", "a"), "text", "b", positions=True).collect():
-        assert r.a and None not in r.a and [x.hash for x in r.b] == r.a
-        assert slow_sketch(r.text) in ([], sorted(set(r.a), reverse=True))
+        assert r.a and None not in r.a and [x.hash for x in r.b] == r.a and [tuple(x) for x in r.b] == slow_anchors(r.text)
     got = rows(syncmers.fingerprint_edits(df), "fingerprint", "near_next", "near_edited")
     assert len({f for f, _, _ in got}) == len(texts) and all(f for f, _, _ in got) and {n for _, n, _ in got} == {0.0}
-    assert sum(slow_sketch(t) == [] for t in texts) > 20
+
+
+def test_likeness_by_position(spark):
+    """Moved passages match; equal anchors scattered over both texts do not."""
+    random.seed(3)
+    w = [f"w{i}" for i in range(400)]
+    scattered = w[:]
+    random.shuffle(scattered)
+    mixed = [x for i in range(0, 400, 5) for x in (*w[(i * 37) % 400 :][:5], f"new{i}")]
+    texts = [" ".join(w), " ".join(w[200:] + w[:200]), " ".join(w[:150] + [f"n{i}" for i in range(60)] + w[150:]), " ".join(scattered), " ".join(mixed), "long " * 5 + "x " * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with_anchors = syncmers.add_anchors(df, "text", "a", positions=True)
+    pairs = with_anchors.where("doc_id = 0").select(F.col("a").alias("x")).join(with_anchors.select("doc_id", "a"))
+    got = dict(rows(pairs.select("doc_id", syncmers.likeness(syncmers.firsts(F.col("x"), 0), syncmers.firsts(F.col("a"), 1)).alias("n")), "doc_id", "n"))
+    assert got == pytest.approx({i: slow_likeness(slow_anchors(texts[0]), slow_anchors(t)) for i, t in enumerate(texts)})
+    assert got[0] == 1 and got[1] > 0.95 and got[2] > 0.85 and got[3] == got[5] == 0 and got[4] < 0.1
 
 
 def test_anchors_do_not_depend_on_what_is_elsewhere(spark):

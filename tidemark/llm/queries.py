@@ -106,7 +106,7 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     done = syncmers.fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.size("anchors").cast("long").alias("n_anchors"))
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
