@@ -72,9 +72,46 @@ def test_cross_pairs_are_all_pairs(monkeypatch):
     sig, n = np.arange(len(fp)) * 7 - 300, np.array([random.choice([8, 9, 20]) for _ in fp])
     root = np.array([random.choice([1, 2, s]) for s in sig.tolist()])
     parts = len(list(combinations(blocks(4), 2)))
+    level = nearcopies.sketch_of(np.arange(1, 9, dtype=np.uint64) * np.uint64(77777777777))[1].tobytes()
     col = lambda x, kind: pa.array(np.tile(x, parts), kind)
-    batch = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(parts), len(fp)), pa.int32()), col(fp, pa.int64()), col(sig, pa.int64()), col(root ^ sig, pa.int64()), col(n, pa.int32())], names=["part", "fp", "sig", "root", "n"])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(parts), len(fp)), pa.int32()), col(fp, pa.int64()), col(sig, pa.int64()), col(root, pa.int64()), col(n, pa.int32()), pa.array([level] * (parts * len(fp)), pa.binary())], names=["part", "fp", "sig", "root", "n", "odd"])
     got = [p for b in nearcopies.cross_pairs(iter([batch]), 4) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
     bits = lambda i, j: int(np.bitwise_count(np.uint64(int(fp[i]) % 2**64) ^ np.uint64(int(fp[j]) % 2**64)))
     want = {(int(max(sig[i], sig[j])), int(min(sig[i], sig[j]))) for i, j in combinations(range(len(fp)), 2) if bits(i, j) <= 4 and root[i] != root[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j])}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_sketches_let_near_sets_pass():
+    """All pairs of similarity 0.8 and over are possible, nearly all below 0.6 are not, at any size."""
+    rng = np.random.default_rng(1)
+    for size in (5, 20, 150, 320, 900, 5000):
+        passed = {}
+        for share in (0.8, 0.85, 0.6):
+            n = 0
+            for _ in range(60):
+                common = rng.integers(0, 2**63, max(1, round(size * 2 * share / (1 + share))), dtype=np.uint64)
+                more = max(0, size - len(common))
+                a, b = (np.unique(np.r_[common, rng.integers(0, 2**63, more, dtype=np.uint64)]) for _ in range(2))
+                if share >= 0.8 and 5 * len(common) < 4 * (len(common) + 2 * more):
+                    b = common
+                apart = np.bitwise_count(nearcopies.sketch_of(a)[1].view(np.uint64) ^ nearcopies.sketch_of(b)[1].view(np.uint64)).sum()
+                if share < 0.8 or 5 * len(common) >= 4 * len(np.union1d(a, b)):
+                    n += bool(nearcopies.possible(np.array([len(a)]), np.array([len(b)]), apart)[0])
+                else:
+                    n += 1
+            passed[share] = n
+        assert passed[0.8] == passed[0.85] == 60 and (size < 150 or passed[0.6] < 10), (size, passed)
+
+
+def test_a_large_group_is_joined_by_few_checks(spark):
+    """Copies with up to six edits each: near the original or not, as brute force says; pairs grow with the group, not its square."""
+    random.seed(11)
+    base = [f"w{random.randrange(400)}" for _ in range(150)]
+    docs = [(0, " ".join(base)), *((i, edited(base, 1 + i % 6)) for i in range(1, 240))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = dict(rows(nearcopies.near_copies(df), "doc_id", "component_id"))
+    want = slow_groups(docs)
+    assert sum(got[i] != want[i] for i in want) <= 2 and sum(g == 0 for g in got.values()) > 100
+    marked = nearcopies.add_marks(df.withColumnRenamed("doc_id", "id"), 6).select("m.*")
+    pairs = nearcopies.dealt(marked, 4, "sig", "sim").mapInArrow(lambda b: nearcopies.hub_pairs(b, 4), "u long, v long").distinct().count()
+    assert pairs < 50 * len(docs)

@@ -1,8 +1,10 @@
 """Near copies by exact similarity: SimHash links are candidates, and each is checked on the shingle sets of both texts.
 
-Texts with the same set of shingles are one node.  A first pass checks a spanning forest of the candidates, so that a
-large group of copies is joined by few checks; a second one checks every candidate pair whose two nodes are not yet in
-one component.  So the components are those of all candidate pairs that are similar enough, whatever the groups' sizes.
+Texts with the same set of shingles are one node.  In a first pass every node meets the two most central nodes of
+those that it is linked to in a key, so a large group of copies is joined by a few checks a node: copies are near what
+they were made from, seldom near each other.  Sketches of the shingle sets tell which of these pairs to check.  A second pass takes the nodes around failed checks: it looks at
+all candidate pairs that are not in one component yet, and those whose sketches leave a similarity of NEAR possible are
+checked.  So the components are those of all candidate pairs that are similar enough, whatever the groups' sizes.
 """
 
 from __future__ import annotations
@@ -13,19 +15,21 @@ from itertools import chain, combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_of
-from .simhash import blocks, components, fingerprints_of, keys_first, near_links, trie_pairs
+from .simhash import blocks, components, fingerprints_of, forest, keys_first, remixed, spread_join, trie_pairs
 
 #: Two texts are near copies if the Jaccard similarity of their shingle sets is at least NEAR[0] / NEAR[1].
 NEAR = (4, 5)
 SHINGLE = 5
-#: How many of a text's fingerprints the first pass looks at; the second takes all.
-FIRST = 2
 #: Rows expanded at once.
 CHUNK = 1_000_000
+#: A sketch's bits, how many shingles it is made of at most (about), and how many standard deviations it may be off.
+SKETCH, SAMPLE, SIGMAS = 512, 300, 4.0
+#: Asked texts are found by a broadcast of their ids up to so many (some 50 bytes each), else by a shuffle of the texts.
+FEW_TEXTS = 100_000
 
 
 def shingles_of(data: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -43,17 +47,112 @@ def shingles_of(data: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
+def level_of(n: np.ndarray) -> np.ndarray:
+    """By what power of two the shingles of sets of n are thinned for their sketches."""
+    return np.ceil(np.log2(np.maximum(n, SAMPLE) / SAMPLE)).astype(np.int64)
+
+
+def sketch_of(shingles: np.ndarray) -> tuple[int, np.ndarray]:
+    """Two sketches of a shingle set: its SimHash (signed), and an odd sketch (parities of SKETCH bins) as longs."""
+    mixed = remixed(shingles, 1).astype(np.uint64)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(mixed), 65536):
+        ones += np.unpackbits(mixed[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    simhash = int.from_bytes(np.packbits(2 * ones > len(mixed)).tobytes(), "big", signed=True)
+    again = remixed(shingles, 2).astype(np.uint64)
+    level = int(level_of(np.array([len(shingles)]))[0])
+    if level:
+        again = again[(again >> np.uint64(64 - level)) == 0]
+    odd = np.bincount((again & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return simhash, np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def possible(size_a: np.ndarray, size_b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether odd sketches that differ in ``apart`` bits leave a similarity of NEAR possible, to SIGMAS deviations.
+
+    Sets of different levels cannot be told apart by their sketches and are always possible.
+    """
+    level = level_of(size_a)
+    keep = 0.5**level
+    most = (size_a + size_b) * (NEAR[1] - NEAR[0]) / (NEAR[1] + NEAR[0]) * keep
+    fade = np.exp(-2.0 * most / SKETCH)
+    mean = SKETCH / 2 * (1 - fade)
+    spread = SKETCH / 4 * (1 - fade * fade) - most * fade * fade + most * (1 - keep) * fade * fade
+    return (level != level_of(size_b)) | (apart <= mean + SIGMAS * np.sqrt(np.maximum(spread, 0)) + 1)
+
+
 def add_marks(df: DataFrame, prints: int) -> DataFrame:
-    """Add ``m``: fps (SimHashes of the distinct words), sig (hash of the shingle set, long) and n (its size)."""
+    """Add ``m``: fps (SimHashes of the distinct words), sig (hash of the shingle set), n (its size), sim and odd (see sketch_of)."""
 
     def compute(data: pd.Series) -> pd.DataFrame:
         import xxhash
 
         sets = [shingles_of(x) for x in data]
         sig = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"fps": [fingerprints_of(x, 1, 42, prints, True) for x in data], "sig": sig, "n": np.array([len(s) for s in sets], np.int64)})
+        sketches = [sketch_of(s) for s in sets]
+        return pd.DataFrame({"fps": [fingerprints_of(x, 1, 42, prints, True) for x in data], "sig": sig, "n": np.array([len(s) for s in sets], np.int32), "sim": np.array([x for x, _ in sketches], np.int64), "odd": [x for _, x in sketches]})
 
-    return df.withColumn("m", F.pandas_udf(compute, "fps array<long>, sig long, n long")(text_of().cast("binary")))
+    return df.withColumn("m", F.pandas_udf(compute, "fps array<long>, sig long, n int, sim long, odd array<long>")(text_of().cast("binary")))
+
+
+def groups_of(part: np.ndarray, fp: np.ndarray, max_distance: int) -> Iterator[tuple]:
+    """For each number of print and choice: (the choice, row numbers by word, distinct words, key bits, starts, counts)."""
+    choices = list(combinations(range(max_distance + 2), 2))
+    order = np.argsort(part, kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        own = choices[part[mine[0]] % len(choices)]
+        words, key_bits = keys_first(fp[mine].view(np.uint64), own, max_distance)
+        yield own, mine, words, key_bits
+
+
+def gathered(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray] | None:
+    data = [tuple(b.column(n).to_numpy(zero_copy_only=False) for n in names) for b in batches if b.num_rows]
+    return [np.concatenate(x) for x in zip(*data)] if data else None
+
+
+def hub_pairs(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (u > v) of a partition's nodes: each with the two most central ones of what it is linked to within a key.
+
+    part: number of the fingerprint and of the choice of blocks; sim: SimHash of the shingle set, whose majority over
+    the linked nodes is their centre.
+    """
+    data = gathered(batches, "part", "fp", "sig", "sim")
+    if data is None:
+        return
+    part, fp, sig, sim = data
+    out = []
+    for _, mine, words, key_bits in groups_of(part, fp, max_distance):
+        words, word = np.unique(words, return_inverse=True)
+        parent = np.arange(len(words))
+        for budget in sorted({min(1, max_distance), min(2, max_distance), max_distance}):
+
+            def wanted(a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray) -> np.ndarray:
+                """False where all words of both ranges are linked already."""
+                changes = np.r_[0, np.cumsum(np.diff(parent) != 0)]  # noqa: B023
+                return ~((changes[a_lo] == changes[a_hi - 1]) & (changes[b_lo] == changes[b_hi - 1]) & (parent[a_lo] == parent[b_lo]))  # noqa: B023
+
+            for i, j in trie_pairs(words, key_bits, budget, wanted):
+                parent = forest(len(words), i, j, parent)
+        root = parent[word]
+        many = np.bincount(root, minlength=len(words))[root] > 1
+        rows, root = mine[many], root[many]
+        if not len(rows):
+            continue
+        order = np.lexsort((sig[rows], root))
+        rows, root = rows[order], root[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(root) != 0])
+        counts = np.diff(np.r_[starts, len(rows)])
+        bits = np.unpackbits(sim[rows].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits.astype(np.int32), starts, axis=0)
+        centre = np.packbits(2 * ones > counts[:, None], axis=1).view(">u8").astype(np.uint64)[:, 0]
+        off = np.bitwise_count(sim[rows].view(np.uint64) ^ np.repeat(centre, counts))
+        best = np.lexsort((sig[rows], off, root))
+        for at in (0, 1):
+            hub = np.repeat(sig[rows[best[starts + at]]], counts)
+            out.append(np.stack([np.maximum(sig[rows], hub), np.minimum(sig[rows], hub)], axis=1)[sig[rows] != hub])
+    if out:
+        pairs = np.unique(np.concatenate(out), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
 def runs(weights: np.ndarray) -> Iterator[slice]:
@@ -72,21 +171,18 @@ def spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def cross_pairs(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[pa.RecordBatch]:
-    """All pairs (u > v) of a partition's nodes within max_distance bits, in two components and of sizes that can be near.
+    """All pairs (u > v) of a partition's nodes within max_distance bits, in two components, that sizes and sketches let be near.
 
-    part: number of the fingerprint and of the choice of blocks; root: the component, XORed with sig.
+    part: number of the fingerprint and of the choice of blocks; root: the component; odd: the odd sketch, as bytes.
     """
-    data = [tuple(b.column(n).to_numpy(zero_copy_only=False) for n in ("part", "fp", "sig", "root", "n")) for b in batches]
-    if not data:
+    data = gathered(batches, "part", "fp", "sig", "root", "n", "odd")
+    if data is None:
         return
-    part, fp, sig, root, size = (np.concatenate(x) for x in zip(*data))
-    root, size = root ^ sig, size.astype(np.int64)
-    choices = list(combinations(range(max_distance + 2), 2))
+    part, fp, sig, root, size, odd = data
+    size = size.astype(np.int64)
+    sketch = np.frombuffer(b"".join(odd.tolist()), np.uint64).reshape(len(odd), -1)
     masks = [np.uint64(((1 << w) - 1) << low) for low, w in blocks(max_distance)]
-    order = np.argsort(part, kind="stable")
-    for mine in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-        own = choices[part[mine[0]] % len(choices)]
-        words, key_bits = keys_first(fp[mine].view(np.uint64), own, max_distance)
+    for own, mine, words, key_bits in groups_of(part, fp, max_distance):
         sort = np.lexsort((root[mine], words))
         mine = mine[sort]
         words, start, count = np.unique(words[sort], return_index=True, return_counts=True)
@@ -113,26 +209,56 @@ def cross_pairs(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterato
                     apart = (fp[left] ^ fp[right]).view(np.uint64)
                     for at in range(own[1]):
                         ok &= (at == own[0]) | ((apart & masks[at]) != 0)
-                    left, right = sig[left[ok]], sig[right[ok]]
+                    left, right = left[ok], right[ok]
+                    bits = np.bitwise_count(sketch[left] ^ sketch[right]).sum(axis=1)
+                    near = possible(size[left], size[right], bits)
+                    left, right = sig[left[near]], sig[right[near]]
                     if len(left):
                         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(left, right)), pa.array(np.minimum(left, right))], names=["u", "v"])
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) with ``may``: whether sizes and sketches leave it possible that they are near."""
+
+    def compute(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        x, y = x.to_numpy(np.int64), y.to_numpy(np.int64)
+        left, right = (np.frombuffer(b"".join(v.tolist()), np.uint64).reshape(len(v), -1) for v in (a, b))
+        return pd.Series((np.minimum(x, y) * NEAR[1] >= np.maximum(x, y) * NEAR[0]) & possible(x, y, np.bitwise_count(left ^ right).sum(axis=1)))
+
+    side = lambda c: nodes.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), packed(F.col("odd")).alias(f"odd_{c}"))
+    both = spread_join(spread_join(pairs, side("u"), "u", "v"), side("v"), "v", "u")
+    return both.select("u", "v", F.pandas_udf(compute, "boolean")("odd_u", "odd_v", "n_u", "n_v").alias("may"))
+
+
 def checked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose shingle sets are near.  nodes: sig, and id and th of a text (in texts) that has this set."""
+    """The pairs (u, v) with ``near``: whether their shingle sets are.  nodes: sig, and id and th of a text that has this set."""
 
     def compute(data: pd.Series) -> pd.Series:
         return pd.Series([shingles_of(x).view(np.int64) for x in data], dtype="object")
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(nodes.select("sig", "id", "th"), "sig")
-    found = texts.join(asked, ["id", "th"]).dropDuplicates(["sig"])
-    sets = cut(found.select("sig", F.pandas_udf(compute, "array<long>")(text_of().cast("binary")).alias("set")))
-    both = pairs.join(sets.select(F.col("sig").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("sig").alias("v"), F.col("set").alias("b")), "v")
+    asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(nodes.select("sig", "id", "th"), "sig"))
+    asked = F.broadcast(asked) if asked.count() <= FEW_TEXTS else asked
+    found = texts.join(asked, ["id", "th"])
+    sets = found.select("sig", F.pandas_udf(compute, "array<long>")(text_of().cast("binary")).alias("set"))
+    sets = cut(sets.groupBy("sig").agg(F.first("set").alias("set")))
+    both = spread_join(spread_join(pairs, sets.select(F.col("sig").alias("u"), F.col("set").alias("a")), "u", "v"), sets.select(F.col("sig").alias("v"), F.col("set").alias("b")), "v", "u")
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(common * NEAR[1] >= (F.size("a") + F.size("b") - common) * NEAR[0]).select("u", "v")
+    return both.select("u", "v", (common * NEAR[1] >= (F.size("a") + F.size("b") - common) * NEAR[0]).alias("near"))
+
+
+def dealt(nodes: DataFrame, max_distance: int, *columns: Column | str) -> DataFrame:
+    """A row for each fingerprint and choice of blocks of a node, (part, fp, *columns), keys together in a partition."""
+    parts, rows = blocks(max_distance), []
+    for i, j in combinations(range(len(parts)), 2):
+        held = [F.shiftrightunsigned("fp", parts[x][0]).bitwiseAND(F.lit((1 << parts[x][1]) - 1)) for x in (i, j)]
+        rows.append(F.shiftleft(held[0], parts[j][1]).bitwiseOR(held[1]))
+    prints = nodes.select("*", F.posexplode("fps").alias("k", "fp"))
+    every = prints.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))).alias("choice"))
+    key = F.coalesce(*(F.when(F.col("part") % len(rows) == c, row) for c, row in enumerate(rows)))
+    return every.select((F.col("k") * len(rows) + F.col("choice")).alias("part"), "fp", *columns).repartition("part", key)
 
 
-def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", prints: int = 8, max_distance: int = 4) -> DataFrame:
+def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", prints: int = 6, max_distance: int = 4) -> DataFrame:
     """(id, component_id) for each distinct id that is not null: component_id is the smallest id of its near copies.
 
     Candidates are texts with fingerprints of their distinct words within max_distance bits (any of ``prints``); a link
@@ -141,39 +267,44 @@ def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", prints: i
     texts = df.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     texts = texts.withColumn("th", F.xxhash64(text_of()))
     marked = cut(add_marks(texts, prints).select("id", "th", "m.*"))
-    nodes = cut(marked.groupBy("sig").agg(F.min(F.struct("id", "th")).alias("x"), F.min("fps").alias("fps"), F.min("n").alias("n")).select("sig", "x.id", "x.th", "fps", "n"))
-    each = nodes.select("sig", "n", F.posexplode("fps").alias("k", "fp"))
-
-    few = each.where(F.col("k") < FIRST)
-    points = few.groupBy("k", "fp").agg(F.min("sig").alias("id"))
-    shared = few.withColumnRenamed("sig", "u").join(points.withColumnRenamed("id", "v"), ["k", "fp"]).select("u", "v")
-    some = near_links(points, max_distance).unionByName(shared).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    first = cut(checked(cut(some.distinct()), texts, nodes))
-
-    roots = components(first)
-    placed = each.join(roots, F.col("sig") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sig").bitwiseXOR(F.col("sig")))
-    parts, rows = blocks(max_distance), []
-    for i, j in combinations(range(len(parts)), 2):
-        held = [F.shiftrightunsigned("fp", parts[x][0]).bitwiseAND(F.lit((1 << parts[x][1]) - 1)) for x in (i, j)]
-        rows.append(F.shiftleft(held[0], parts[j][1]).bitwiseOR(held[1]))
-    dealt = placed.select("k", "fp", "sig", "root", F.col("n").cast("int").alias("n"), F.posexplode(F.array(*rows)).alias("choice", "key"))
-    dealt = dealt.select((F.col("k") * len(rows) + F.col("choice")).alias("part"), "key", "fp", "sig", "root", "n").repartition("part", "key")
-    rest = dealt.select("part", "fp", "sig", "root", "n").mapInArrow(lambda b: cross_pairs(b, max_distance), "u long, v long")
-    second = checked(cut(rest.distinct()), texts, nodes)
+    nodes = cut(marked.groupBy("sig").agg(F.min(F.struct("id", "th")).alias("x"), *(F.first(c).alias(c) for c in ("fps", "n", "sim", "odd"))).select("sig", "x.id", "x.th", "fps", "n", "sim", "odd"))
+
+    central = dealt(nodes, max_distance, "sig", "sim").mapInArrow(lambda b: hub_pairs(b, max_distance), "u long, v long")
+    first = cut(plausible(central.distinct(), nodes))
+    told = cut(checked(first.where("may").select("u", "v"), texts, nodes))
+    links = told.where("near").select("u", "v")
+    apart = first.where("not may").select("u", "v").unionByName(told.where("not near").select("u", "v"))
+    if apart.isEmpty():
+        second = links.limit(0)
+    else:
+        # Two nodes that the first pass kept apart have a failed check between them: one is in it, the other next to it.
+        failed = cut(apart.select(F.explode(F.array("u", "v")).alias("sig")).distinct())
+        touched = [spread_join(first.select("u", "v"), failed.withColumnRenamed("sig", c), c, o) for c, o in (("u", "v"), ("v", "u"))]
+        around = touched[0].select("u", "v").unionByName(touched[1].select("u", "v")).select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+        placed = cut(nodes.join(around, "sig").join(components(links), F.col("sig") == F.col("node"), "left").select("sig", "fps", "n", F.coalesce("root", "sig").alias("root"), packed(F.col("odd")).alias("odd")))
+        rest = dealt(placed, max_distance, "sig", "root", "n", "odd").mapInArrow(lambda b: cross_pairs(b, max_distance), "u long, v long")
+        second = checked(cut(rest.distinct()), texts, nodes).where("near").select("u", "v")
 
     of_id = marked.groupBy("id").agg(F.min("sig").alias("v"))
-    one_id = marked.join(of_id, "id").where("sig <> v").select(F.col("sig").alias("u"), "v")
-    roots = components(first.unionByName(second).unionByName(one_id))
-    named = marked.select("id", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("id", F.coalesce("root", "sig").alias("root"))
+    one_id = marked.select("id", "sig").join(of_id, "id").where("sig <> v").select(F.col("sig").alias("u"), "v")
+    roots = components(links.unionByName(second).unionByName(one_id))
+    rooted = nodes.select("sig").join(roots, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("root", "sig").alias("root"))
+    named = cut(spread_join(marked.select("id", "sig"), rooted, "sig", "id").select("id", "root").distinct())
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    return named.join(least, "root").select(F.col("id").alias(id), "component_id").distinct()
+    return spread_join(named, least, "root", "id").select(F.col("id").alias(id), "component_id")
+
+
+def packed(longs: Column) -> Column:
+    """An array of longs as bytes, the lowest byte of each first."""
+    return F.unhex(F.array_join(F.transform(longs, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of df whose id is the smallest of its near copies, all columns kept; a repeated row stays once.
+    """The rows of df whose id is the smallest of its near copies, all columns kept.
 
-    Rows with a null id all stay: nothing tells which document they are.
+    A row that is repeated in every column stays once; rows of one id that differ somewhere all stay.  Rows with a null
+    id all stay: nothing tells which document they are.
     """
     stay = near_copies(df, id, text, **how).select(F.col("component_id").alias("_stay")).distinct()
-    kept = df.join(stay, df[id] == F.col("_stay"), "left_semi").dropDuplicates([id, text])
+    kept = df.join(stay, df[id] == F.col("_stay"), "left_semi").dropDuplicates()
     return kept.unionByName(df.where(F.col(id).isNull()))

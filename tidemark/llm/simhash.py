@@ -192,8 +192,17 @@ def near_links(points: DataFrame, max_distance: int = 2) -> DataFrame:
     return dealt.repartition("k", "choice", "key").select("k", "choice", "fp", "id").mapInArrow(lambda b: partition_links(b, max_distance), "u long, v long")
 
 
+def spread_join(big: DataFrame, small: DataFrame, on: str, by: str, ways: int = 16) -> DataFrame:
+    """big joined with small, which has one row per ``on`` at most; rows of big with one ``on`` go to ``ways`` tasks by ``by``."""
+    salted = big.withColumn("_way", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
+    return salted.join(small.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))), [on, "_way"]).drop("_way")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): the smallest id that each linked node reaches, by alternating large-star and small-star steps."""
+    """(node, root): the smallest id that each linked node reaches, by alternating large-star and small-star steps.
+
+    A hub's links are spread over several tasks where they meet its minimum.
+    """
     edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
     def mark(df: DataFrame) -> tuple:
@@ -203,7 +212,7 @@ def components(links: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = cut(small)
@@ -236,10 +245,10 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width: in
 
 
 def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of df whose id is the smallest of its near-duplicate group, all columns kept; a repeated row stays once.
+    """The rows of df whose id is the smallest of its near-duplicate group, all columns kept.
 
-    Rows with a null id all stay: nothing tells which document they are.
+    A row that is repeated in every column stays once; rows of one id that differ somewhere all stay.  Rows with a null id all stay: nothing tells which document they are.
     """
     stay = near_groups(df.where(F.col(id).isNotNull()), id, text, **how).select(F.col("component_id").alias("_stay")).distinct()
-    kept = df.join(stay, df[id] == F.col("_stay"), "left_semi").dropDuplicates([id, text])
+    kept = df.join(stay, df[id] == F.col("_stay"), "left_semi").dropDuplicates()
     return kept.unionByName(df.where(F.col(id).isNull()))
