@@ -213,22 +213,40 @@ def test_ann_edges(spark):
     assert ann.search(vectors(spark, []), F.lit(True)).count() == 0
 
 
+def test_ann_scales_and_clashing_names(spark):
+    """Components near the ends of double precision, and input columns named like the operator's own."""
+    pairs = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1.0, 1.0]), (3, [1e-200, 1e-201]), (4, [-1e300, 1e-300]), (5, [5e-324, 0.0])]
+    df = spark.createDataFrame([(i, v, "x", 1, 2, "y") for i, v in pairs], "vec_id long, embedding array<double>, query string, v int, id int, keys string")
+    got = rows(ann.search(df, F.col("vec_id") == 0), "query_id", "rank", "vec_id", "score")
+    assert [(r, i) for _, r, i, _ in sorted(got)] == [(1, 5), (2, 3), (3, 1), (4, 2), (5, 4)]
+    assert [s for *_, s in sorted(got)] == pytest.approx([1.0, 1 / 1.01**0.5, 0.5**0.5, 0.5**0.5, -1.0], abs=1e-15)
+
+
 def test_ann_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 16)
     rng = np.random.default_rng(2)
     hot = rng.normal(size=8)
     pairs = [(i, [float(x) for x in (hot + 1e-3 * rng.normal(size=8) if i % 2 else rng.normal(size=8))]) for i in range(200)]
-    got = rows(ann.search(vectors(spark, pairs), F.col("vec_id") % 5 == 0, probes=400), "query_id", "rank", "vec_id")
+    wide = ann.Plan(8, 6, 3.0, 400, 2, 7)
+    got = rows(ann.search(vectors(spark, pairs), F.col("vec_id") % 5 == 0, plan=wide), "query_id", "rank", "vec_id")
     exact = [(i, [float(np.float32(x)) for x in v]) for i, v in pairs]
     want = [t[:3] for t in brute(exact, range(0, 200, 5), 5)]
     assert len(got) == len(want) and len(set(got) & set(want)) >= 0.95 * len(want)
 
 
 def test_probes_come_by_score():
-    near = np.array([[0.1, 0.9], [0.3, 0.7], [0.6, 0.4]])
-    sets = ann.probe_sets(near, 30)
-    cost = [sum(near[j, (s + 1) // 2] ** 2 for j, s in p) for p in sets]
-    assert cost == sorted(cost) and sets[0] == [(0, -1)] and len({tuple(sorted(p)) for p in sets}) == len(sets) == 26
+    rng = np.random.default_rng(4)
+    for m in (3, 6, 12):
+        cell, inside = np.arange(m) * 10, rng.uniform(size=m)
+        probes = ann.probes_of(cell, inside, 60)
+        moves = probes - cell
+        cost = [sum((inside[j] if d < 0 else 1 - inside[j]) ** 2 for j, d in enumerate(row) if d) for row in moves]
+        assert cost == sorted(cost) and len({tuple(p) for p in probes}) == len(probes) and (np.abs(moves) <= 1).all()
+        assert len(probes) == (27 if m == 3 else 61) and np.abs(moves[1]).sum() == 1
+        from itertools import product
+
+        best = sorted(sum((inside[j] if d < 0 else 1 - inside[j]) ** 2 for j, d in enumerate(row) if d) for row in product((-1, 0, 1), repeat=m)) if m < 12 else cost
+        assert cost[:30] == pytest.approx(best[: len(cost)][:30], rel=0.25, abs=0.05)
 
 
 # --- syncmers
