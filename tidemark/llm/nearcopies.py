@@ -1,6 +1,6 @@
 """Near copies by exact similarity: SimHash links are candidates, and each is checked on the shingle sets of both texts.
 
-Texts with the same set of shingles are one node.  In a first pass every node meets the two most central nodes of
+Texts with the same set of shingles are one node.  In a first pass every node meets the most central node of
 those that it is linked to in a key, so a large group of copies is joined by a few checks a node: copies are near what
 they were made from, seldom near each other.  Sketches of the shingle sets tell which of these pairs to check.  A second pass takes the nodes around failed checks: it looks at
 all candidate pairs that are not in one component yet, and those whose sketches leave a similarity of NEAR possible are
@@ -111,7 +111,7 @@ def gathered(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]
 
 
 def hub_pairs(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (u > v) of a partition's nodes: each with the two most central ones of what it is linked to within a key.
+    """Pairs (u > v) of a partition's nodes: each with the most central one of what it is linked to within a key.
 
     part: number of the fingerprint and of the choice of blocks; sim: SimHash of the shingle set, whose majority over
     the linked nodes is their centre.
@@ -146,10 +146,8 @@ def hub_pairs(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[
         ones = np.add.reduceat(bits.astype(np.int32), starts, axis=0)
         centre = np.packbits(2 * ones > counts[:, None], axis=1).view(">u8").astype(np.uint64)[:, 0]
         off = np.bitwise_count(sim[rows].view(np.uint64) ^ np.repeat(centre, counts))
-        best = np.lexsort((sig[rows], off, root))
-        for at in (0, 1):
-            hub = np.repeat(sig[rows[best[starts + at]]], counts)
-            out.append(np.stack([np.maximum(sig[rows], hub), np.minimum(sig[rows], hub)], axis=1)[sig[rows] != hub])
+        hub = np.repeat(sig[rows[np.lexsort((sig[rows], off, root))[starts]]], counts)
+        out.append(np.stack([np.maximum(sig[rows], hub), np.minimum(sig[rows], hub)], axis=1)[sig[rows] != hub])
     if out:
         pairs = np.unique(np.concatenate(out), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
@@ -225,8 +223,9 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         left, right = (np.frombuffer(b"".join(v.tolist()), np.uint64).reshape(len(v), -1) for v in (a, b))
         return pd.Series((np.minimum(x, y) * NEAR[1] >= np.maximum(x, y) * NEAR[0]) & possible(x, y, np.bitwise_count(left ^ right).sum(axis=1)))
 
+    # A hub's pairs meet its sketch, and below its set, in skew joins: both sides come from a shuffle of their own.
     side = lambda c: nodes.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), packed(F.col("odd")).alias(f"odd_{c}"))
-    both = spread_join(spread_join(pairs, side("u"), "u", "v"), side("v"), "v", "u")
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
     return both.select("u", "v", F.pandas_udf(compute, "boolean")("odd_u", "odd_v", "n_u", "n_v").alias("may"))
 
 
@@ -241,7 +240,7 @@ def checked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
     found = texts.join(asked, ["id", "th"])
     sets = found.select("sig", F.pandas_udf(compute, "array<long>")(text_of().cast("binary")).alias("set"))
     sets = cut(sets.groupBy("sig").agg(F.first("set").alias("set")))
-    both = spread_join(spread_join(pairs, sets.select(F.col("sig").alias("u"), F.col("set").alias("a")), "u", "v"), sets.select(F.col("sig").alias("v"), F.col("set").alias("b")), "v", "u")
+    both = pairs.join(sets.select(F.col("sig").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("sig").alias("v"), F.col("set").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.select("u", "v", (common * NEAR[1] >= (F.size("a") + F.size("b") - common) * NEAR[0]).alias("near"))
 
@@ -288,10 +287,9 @@ def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", prints: i
     of_id = marked.groupBy("id").agg(F.min("sig").alias("v"))
     one_id = marked.select("id", "sig").join(of_id, "id").where("sig <> v").select(F.col("sig").alias("u"), "v")
     roots = components(links.unionByName(second).unionByName(one_id))
-    rooted = nodes.select("sig").join(roots, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("root", "sig").alias("root"))
-    named = cut(spread_join(marked.select("id", "sig"), rooted, "sig", "id").select("id", "root").distinct())
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    return spread_join(named, least, "root", "id").select(F.col("id").alias(id), "component_id")
+    named = cut(marked.select("id", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("id", F.coalesce("root", "sig").alias("root")).distinct())
+    least = cut(named.groupBy("root").agg(F.min("id").alias("component_id")))
+    return named.join(least, "root").select(F.col("id").alias(id), "component_id")
 
 
 def packed(longs: Column) -> Column:
