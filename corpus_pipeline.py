@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, nearcopies, pii, toxicity
-from tidemark.llm.common import cut, table, text_of
+from tidemark.llm.common import count_words, cut, table, text_of
 from tidemark.llm.queries import pseudonym_key, vocabulary
 
 #: Documents whose score is at least this are rejected.
@@ -26,7 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies: the one with the smallest id.
 
     Near copies have at least 0.8 of their five-word shingles in common; every link is checked on the shingle sets.
-    Candidates come from eight SimHashes of a text's distinct words with 4 bits allowed (see README for their recall).
+    Candidates come from six SimHashes of a text's distinct words with 4 bits allowed (see README for their recall).
     """
     return nearcopies.keep_one(docs).select(*docs.columns)
 
@@ -40,10 +40,14 @@ def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken (none, one or two times)."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The mix: each document as often as it is taken (none, one or two times).
+
+    How often follows from id, source and size, so rows of one id in two sources or of two sizes are told apart.
+    """
+    keys = {"doc_id": "_id", "source": "_source", "size": "_size"}
+    copies = mixing.mix(docs).groupBy(*(F.col(c).alias(k) for c, k in keys.items())).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (count_words(text_of()) == F.col("_size"))
+    return docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
