@@ -154,10 +154,20 @@ def tick_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.with_feeds(ticks, ["IND_SMA", "IND_EMA", "IND_RSI", "IND_MACD", "IND_BB_UPPER", "IND_ATR", "IND_SUPERTREND", "IND_OBV"], keep=("symbol", "ts"))
 
 
+def _features(texts: DataFrame, id: str) -> DataFrame:
+    parts = texts.withColumn("p", rules.split_entry_exit(F.col("text")))
+    return parts.select(id, F.array_join(rules.detect_indicators(F.col("text")), ",").alias("feeds"), rules.detect_timeframe(F.col("text"), "1d").alias("timeframe"), rules.entry_primitive(F.col("p.entry")).alias("entry"), rules.exit_primitive(F.col("p.exit")).alias("exit"))
+
+
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the fixture's strategy texts say: feeds, timeframe, triggers."""
-    parts = X.texts(spark).withColumn("p", rules.split_entry_exit(F.col("text")))
-    return parts.select("id", F.array_join(rules.detect_indicators(F.col("text")), ",").alias("feeds"), rules.detect_timeframe(F.col("text"), "1d").alias("timeframe"), rules.entry_primitive(F.col("p.entry")).alias("entry"), rules.exit_primitive(F.col("p.exit")).alias("exit"))
+    return _features(X.texts(spark), "id")
+
+
+def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents say, whole texts: feeds, timeframe, triggers."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _features(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
 
 
 def _bounded(phrase: str) -> str:
@@ -167,7 +177,7 @@ def _bounded(phrase: str) -> str:
     return "(^|[^a-z0-9])" + re.escape(phrase).replace("'", "''") + "s?($|[^a-z0-9])"
 
 
-def _text_sql() -> str:
+def _text_sql(source: str, id: str) -> str:
     firsts: dict[str, str] = {}
     for phrase, feed in O.phrase_table():
         firsts.setdefault(phrase, feed)
@@ -175,13 +185,13 @@ def _text_sql() -> str:
     trigger = lambda of, table, default: "CASE " + " ".join(f"WHEN regexp_matches(lower({of}), '{_bounded(p)}') THEN '{t}'" for p, t in table) + f" ELSE '{default}' END"
     marker = V.EXIT_MARKER.replace("(?:", "(")
     return f"""
-    WITH t(id, text) AS (VALUES {X.values(X.TEXTS)}), p(o, phrase, feed, pattern) AS (VALUES {phrases}),
-    h AS (SELECT id, o, phrase, feed FROM t JOIN p ON regexp_matches(lower(text), pattern)),
+    WITH t AS (SELECT {id} AS id, coalesce(text, '') AS text FROM {source}), p(o, phrase, feed, pattern) AS (VALUES {phrases}),
+    h AS (SELECT id, o, phrase, feed FROM t JOIN p ON contains(lower(text), phrase) AND regexp_matches(lower(text), pattern)),
     k AS (SELECT id, feed, min(o) AS o FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.id = h.id AND length(g.phrase) > length(h.phrase) AND contains(g.phrase, h.phrase)) GROUP BY 1, 2),
     f AS (SELECT id, string_agg(feed, ',' ORDER BY o) AS feeds FROM k GROUP BY 1),
     s AS (SELECT id, text, regexp_extract(text, '{marker}') AS m FROM t),
     e AS (SELECT *, CASE WHEN m = '' THEN text ELSE left(text, strpos(text, m) - 1) END AS entry_text, CASE WHEN m = '' THEN '' ELSE substr(text, strpos(text, m)) END AS exit_text FROM s)
-    SELECT e.id, coalesce(feeds, '') AS feeds,
+    SELECT e.id AS {id}, coalesce(feeds, '') AS feeds,
       CASE WHEN regexp_matches(text, '{V.TIMEFRAME}') THEN regexp_extract(text, '{V.TIMEFRAME}', 1)::INT::VARCHAR || lower(left(regexp_extract(text, '{V.TIMEFRAME}', 2), 1)) ELSE '1d' END AS timeframe,
       {trigger('entry_text', V.ENTRY_PHRASES, 'TRIGGER_CROSS_ABOVE')} AS entry, {trigger('exit_text', V.EXIT_PHRASES, 'TRIGGER_CROSS_BELOW')} AS exit
     FROM e LEFT JOIN f ON e.id = f.id"""
@@ -387,7 +397,7 @@ def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.thin(B.event_bars(spark, sf_dir), "close", 100)
 
 
-_PLAIN = (spec_matrix, capabilities, purged_folds, price_bands, bootstrap_means, thinned, bb_breakout, bars_hourly, bars_daily_orders, all_feeds, tick_feeds, text_features, document_audit, text_audit, catalog_check, catalog_granularities, alternate_symbol, math_symbols, table_report, guard_filters, page_chunks, sweep_grid, ema_cross_sweep, garch_fit, garch_forecast, deferred, phrase_rows)
+_PLAIN = (spec_matrix, capabilities, purged_folds, price_bands, bootstrap_means, thinned, bb_breakout, bars_hourly, bars_daily_orders, all_feeds, tick_feeds, text_features, document_features, document_audit, text_audit, catalog_check, catalog_granularities, alternate_symbol, math_symbols, table_report, guard_filters, page_chunks, sweep_grid, ema_cross_sweep, garch_fit, garch_forecast, deferred, phrase_rows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -403,7 +413,7 @@ def oracle_sql() -> dict[str, str]:
         "bb_breakout": R.query([{"m": R.avg("close", 20), "s": R.full("stddev_pop", "close", 20)}], {"upper": "m + 2 * s", "lower": "m - 2 * s"}).replace("SELECT symbol, ts, floor", "SELECT symbol, ts, close, CASE WHEN close > m + 2 * s THEN 1.0::DOUBLE WHEN close < m - 2 * s THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS breakout, floor"),
         "bars_hourly": "WITH " + R.BARS.split(", l0 AS")[0] + " SELECT * FROM bars",
         "bars_daily_orders": "SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS ts, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close, count(*)::DOUBLE AS volume FROM orders WHERE o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1, 2",
-        "text_features": _text_sql(), "document_audit": _audit_sql("documents", "doc_id"), "text_audit": _audit_sql(f"(VALUES {X.values(X.TEXTS)}) x(id, text)", "id"),
+        "text_features": _text_sql(f"(VALUES {X.values(X.TEXTS)}) x(id, text)", "id"), "document_features": _text_sql("documents", "doc_id"), "document_audit": _audit_sql("documents", "doc_id"), "text_audit": _audit_sql(f"(VALUES {X.values(X.TEXTS)}) x(id, text)", "id"),
         "catalog_check": _catalog_sql(), "catalog_granularities": f"SELECT DISTINCT gran AS granularity FROM (VALUES {_seed_values()}) c(cls, s, gran, b, f, y)", "alternate_symbol": _alternate_sql(),
         "spec_matrix": f"SELECT * FROM (VALUES {X.values(_SPEC_ROWS)}) s(paper_id, tier, target_asset, timeframe, entry_trigger_primitive, exit_trigger_primitive, filters, indicators, mode, origin, secondary_signal)",
         "capabilities": f"SELECT * FROM (VALUES {X.values([(n, k, g, ','.join(p)) for n, k, g, p in formulation.CAPABILITIES])}) c(name, type, granularity, primitives)",

@@ -1,7 +1,8 @@
 """Rules over text and metadata.
 
-Word lists are short and known when a query is planned, so each becomes literals in one projection over the texts: no
-join, no shuffle, and every regular expression is compiled once.  A plain ``contains`` goes before each of them.
+Word lists are short and known when a query is planned, so each is a literal array in one projection over the texts: no
+join, no shuffle.  A text is lower-cased once; ``contains`` picks the entries, and only those that are in the text meet a
+regular expression.
 """
 
 from __future__ import annotations
@@ -11,15 +12,23 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from . import vocabulary as V
 from .registry import feed_ids, phrase_table
 
 # --- phrases
 
 
-def phrase_in(lowered: Column, phrase: str) -> Column:
-    """Whether a phrase (or its plural) is in a lower-cased text, with no letter or digit at either side."""
-    return lowered.contains(phrase) & lowered.rlike(rf"(?<![a-z0-9]){re.escape(phrase)}s?(?![a-z0-9])")
+def terms_in(text: Column, terms) -> Column:
+    """Array of the terms that a text holds as plain substrings, in their order; case does not count in the text."""
+    every = F.array(*map(F.lit, terms))
+    return let(F.lower(text), lambda low: F.filter(every, lambda t: F.contains(low, t)))
+
+
+def phrases_in(text: Column, table) -> Column:
+    """Array of (phrase, value) of a table whose phrase (or its plural) a text holds, no letter or digit at either side."""
+    every = F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(v).alias("value"), F.lit(rf"(?<![a-z0-9]){re.escape(p)}s?(?![a-z0-9])").alias("pattern")) for p, v in table))
+    return let(F.lower(text), lambda low: F.filter(every, lambda e: F.contains(low, e["phrase"]) & F.rlike(low, e["pattern"])))
 
 
 def split_entry_exit(text: Column) -> Column:
@@ -30,8 +39,7 @@ def split_entry_exit(text: Column) -> Column:
 
 def first_trigger(text: Column, table: tuple[tuple[str, str], ...], default: str) -> Column:
     """The primitive of the first phrase of a table that is in the text."""
-    lowered = F.lower(text)
-    return F.coalesce(*(F.when(phrase_in(lowered, phrase), primitive) for phrase, primitive in table), F.lit(default))
+    return F.coalesce(F.get(phrases_in(text, table), F.lit(0))["value"], F.lit(default))
 
 
 def entry_primitive(text: Column) -> Column:
@@ -47,13 +55,12 @@ def detect_indicators(text: Column, table: list[tuple[str, str]] | None = None)
 
     A phrase inside another one that was already found does not count, nor does a second feed of the same phrase.
     """
-    lowered = F.lower(text)
     firsts: dict[str, str] = {}
     for phrase, feed in phrase_table() if table is None else table:
         firsts.setdefault(phrase, feed)  # a later feed of the same phrase is inside an earlier one
-    hits = F.array_compact(F.array(*(F.when(phrase_in(lowered, p), F.struct(F.lit(p).alias("p"), F.lit(f).alias("f"))) for p, f in firsts.items())))
-    outer = F.filter(hits, lambda h: ~F.exists(hits, lambda o: (F.length(o["p"]) > F.length(h["p"])) & o["p"].contains(h["p"])))
-    return F.array_distinct(F.transform(outer, lambda h: h["f"]))
+    longer = lambda o, h: (F.length(o["phrase"]) > F.length(h["phrase"])) & F.contains(o["phrase"], h["phrase"])
+    outer = let(phrases_in(text, firsts.items()), lambda hits: F.filter(hits, lambda h: ~F.exists(hits, lambda o: longer(o, h))))
+    return F.array_distinct(F.transform(outer, lambda h: h["value"]))
 
 
 def detect_timeframe(text: Column, fallback: Column | str) -> Column:
@@ -138,31 +145,39 @@ def audit_text(text: Column, granularities: Column | None = None) -> Column:
     granularities: array of the catalog's granularities; without them the platform's own table holds.  Terms count as
     plain substrings.
     """
-    low = F.lower(F.coalesce(text, F.lit("")))
-    has = lambda term: low.contains(term)
-    concept = F.coalesce(*(F.when(has(c), c) for c in V.ANALOGS), F.lit(None).cast("string"))
-    provider = lambda name, kind: F.when(has(name), F.struct(F.lit(name).alias("name"), (F.lit("satisfied") if kind == "crypto" else F.when(concept.isNotNull(), "partial").otherwise("missing")).alias("status")))
+    terms = dict.fromkeys([*V.PROVIDERS, *V.GRANULARITY_HINTS, *V.OPAQUE_MODELS, *V.COMPUTE_HINTS, *V.ANALOGS])
+    label = lambda *c: F.struct(*c)
 
-    def satisfied(label: str) -> Column:
-        platform = F.lit(label in V.PLATFORM_GRANULARITIES)
+    def satisfied(name: str) -> Column:
+        platform = F.lit(name in V.PLATFORM_GRANULARITIES)
         if granularities is None:
             return platform
-        sources = [g for g, labels in V.CATALOG_LABELS.items() if label in labels]
+        sources = [g for g, labels in V.CATALOG_LABELS.items() if name in labels]
         own = F.arrays_overlap(granularities, F.array(*map(F.lit, sources))) if sources else F.lit(False)
         return F.when(F.size(granularities) > 0, own).otherwise(platform)
 
-    wanted = lambda hint, label: F.when(has(hint), F.struct(F.lit(f"granularity:{label}").alias("name"), F.when(satisfied(label), "satisfied").otherwise("missing").alias("status")))
-    dependencies = F.array_compact(F.array(*(provider(n, k) for n, k in V.PROVIDERS.items()), *(wanted(h, g) for h, g in V.GRANULARITY_HINTS.items())))
-    mentioned = lambda terms: F.array_compact(F.array(*(F.when(has(t), t) for t in terms)))
-    mappings = F.array_compact(F.array(*(F.when(has(c), F.struct(F.lit(c).alias("tradfi"), F.lit(a).alias("crypto"), F.lit(w).alias("confidence"))) for c, (a, w) in V.ANALOGS.items())))
-    models, hints = mentioned(V.OPAQUE_MODELS), mentioned(V.COMPUTE_HINTS)
-    some = lambda array, test: F.exists(array, test)
-    return F.struct(
-        dependencies.alias("dependencies"), models.alias("models"), hints.alias("hints"), mappings.alias("mappings"),
-        verdict(some(dependencies, lambda d: d["status"] == "missing"), some(dependencies, lambda d: d["status"] == "partial")).alias("hard_dependencies"),
-        verdict(F.size(models) > 0, F.size(hints) > 0).alias("algorithmic_compute"),
-        verdict(F.lit(False), some(mappings, lambda m: m["confidence"] < 0.7)).alias("domain_mapping"),
-    )
+    def asked(found: Column) -> Column:
+        has = lambda term: F.array_contains(found, term)
+        listed = lambda terms: F.filter(F.array(*map(F.lit, terms)), lambda t: F.array_contains(found, t))
+        mapped = F.arrays_overlap(found, F.array(*map(F.lit, V.ANALOGS)))
+        provider = lambda name, kind: F.when(has(name), label(F.lit(name).alias("name"), (F.lit("satisfied") if kind == "crypto" else F.when(mapped, "partial").otherwise("missing")).alias("status")))
+        wanted = lambda hint, name: F.when(has(hint), label(F.lit(f"granularity:{name}").alias("name"), F.when(satisfied(name), "satisfied").otherwise("missing").alias("status")))
+        return label(
+            F.array_compact(F.array(*(provider(n, k) for n, k in V.PROVIDERS.items()), *(wanted(h, g) for h, g in V.GRANULARITY_HINTS.items()))).alias("dependencies"),
+            listed(V.OPAQUE_MODELS).alias("models"), listed(V.COMPUTE_HINTS).alias("hints"),
+            F.array_compact(F.array(*(F.when(has(c), label(F.lit(c).alias("tradfi"), F.lit(a).alias("crypto"), F.lit(w).alias("confidence"))) for c, (a, w) in V.ANALOGS.items()))).alias("mappings"),
+        )
+
+    def judged(x: Column) -> Column:
+        status = lambda value: F.exists(x["dependencies"], lambda d: d["status"] == value)
+        weak = F.exists(x["mappings"], lambda m: m["confidence"] < 0.7)
+        return label(
+            *(x[c].alias(c) for c in ("dependencies", "models", "hints", "mappings")), verdict(status("missing"), status("partial")).alias("hard_dependencies"),
+            verdict(F.size(x["models"]) > 0, F.size(x["hints"]) > 0).alias("algorithmic_compute"), verdict(F.lit(False), weak).alias("domain_mapping"),
+        )
+
+    # Named in turn, so that the optimiser copies none of them into the columns made of it.
+    return let(let(terms_in(F.coalesce(text, F.lit("")), terms), asked), judged)
 
 
 def verdict(rejected: Column, review: Column) -> Column:
