@@ -1,9 +1,7 @@
+from pyspark.sql import functions as F
 from tidemark.plans import formulation as B
 from tidemark.sources import fixtures as X
 
-SPEC = {"target_asset": "BTCUSDT", "timeframe": "1h", "entry_trigger_primitive": "TRIGGER_CROSS_ABOVE", "exit_trigger_primitive": "TRIGGER_CROSS_BELOW", "parameters": {"indicators": ["IND_EMA", "IND_NEW"], "sizing": {"component_id": "sizing.fractional", "params": {"fraction": 0.02}}}}
-
-
 def test_specs(spark):
     papers = spark.createDataFrame([("p", "Long when price crosses above the EMA on 15 minute bars; exit when it falls below.", "", "btcusdt", "1h", [["HIGH_SESSION_SENSITIVITY"]]), ("q", "x", "", "QQQ", "1h", []), ("r", "VWAP", None, "ADAUSDT", "1d", [])], "paper_id string, mechanism string, hypothesis string, symbol string, granularity string, tags array<array<string>>")
     got = {(r.paper_id, r.tier): r for r in B.compile_specs(papers, X.catalog_seed(spark)).collect()}
@@ -13,28 +11,38 @@ def test_specs(spark):
     assert got["p", B.TIERS[2]].target_asset == "ADAUSDT" and got["r", B.TIERS[3]].secondary_signal == "IND_AD"
 
 
-def test_variants_and_gates():
-    out = B.hydrate(SPEC)
-    assert [v["variant_id"] for v in out["variants"]] == ["V0", "V1"] and out["structural_errors"] == []
-    assert out["variants"][0]["entry"]["component_id"] == "entry.ema_cross" and out["variants"][0]["sizing"]["params"] == {"fraction": 0.02}
-    assert B.unbacked(SPEC) == ["IND_NEW"]
-    assert [e["type"] for e in B.structural_gate({**SPEC, "timeframe": "2h"}, out["variants"])] == ["bad_data", "unbacked_primitive"]
-    bare = B.hydrate({**SPEC, "parameters": {}})
-    assert {e["pillar"] for e in bare["structural_errors"]} == {"sizing"}
-
-
-def test_audit_and_answers():
-    variants = B.hydrate({**SPEC, "parameters": {}})["variants"][:1]
-    variants[0]["exit"] = None
-    variants[0]["entry"]["params"] = {"fast": 30, "slow": 10}
-    del variants[0]["entry"]["grid"]["fast"]["lo"]
-    ahead = {"kind": "binary_op", "op": "lag", "left": {"kind": "transform", "id": "close"}, "right": {"kind": "literal", "id": "-1"}}
-    kinds = [f["type"] for f in B.audit_variants({"signal_ast": ahead}, variants)]
-    assert kinds == ["missing_exit", "no_sizing", "degenerate_window", "unbounded_param", "lookahead_bias"]
-    answers = {"0.exit": "exit.atr_stop", "0.sizing": "sizing.fractional", "0.entry.params.slow": 50}
-    fixed = B.apply_answers(variants, answers)
-    assert B.apply_answers(fixed, answers) == fixed and variants[0]["exit"] is None
-    assert [f["type"] for f in B.audit_variants({}, fixed)] == ["unbounded_param"]
+def specs(spark, *rows):
+    return spark.createDataFrame([r for r in rows], B.SPEC_FIELDS)
+
+
+AHEAD = '{"kind":"binary_op","op":"lag","left":{"kind":"transform","id":"IND_NEW"},"right":{"kind":"literal","id":"-1"}}'
+
+
+def test_variants(spark):
+    df = specs(spark, ("a", "BTCUSDT", "1h", "TRIGGER_BAND_BREAKOUT", None, "sizing.fractional", [], None, {}), ("b", "BTCUSDT", "1h", "TRIGGER_CROSS_ABOVE", "exit.time_exit", "sizing.none", None, None, None))
+    got = sorted(tuple(r) for r in B.spec_variants(df, B.component_rows(spark)).collect())
+    assert got == [("a", 0, "entry.vwap_band", "exit.atr_stop", "sizing.fractional"), ("a", 1, "entry.ema_cross", "exit.time_exit", "sizing.fractional"), ("b", 0, "entry.ema_cross", "exit.time_exit", None), ("b", 1, "entry.vwap_band", "exit.atr_stop", None)]
+    assert B.spec_variants(df, B.component_rows(spark).where("pillar = 'sizing'")).count() == 0
+
+
+def test_findings(spark):
+    components, grids = B.component_rows(spark), B.grid_rows(spark)
+    fine = ("fine", "BTCUSDT", "1h", "TRIGGER_CROSS_ABOVE", "exit.time_exit", "sizing.fractional", ["IND_EMA", "close"], None, None)
+    df = specs(spark, fine, ("bad", None, "2h", "TRIGGER_NONE", None, None, ["IND_NEW"], AHEAD, {"entry.fast": 60.0, "exit.bars": 500.0}))
+    broken = grids.withColumn("hi", F.when(F.col("param") == "lookback", None).otherwise(F.col("hi")))
+    got = {(r.spec_id, r.variant, r.rule, r.pillar, r.subject) for r in B.spec_findings(df, B.spec_variants(df, components), components, broken).collect()}
+    want = {("bad", -1, "bad_data", None, None), ("bad", -1, "lookahead_bias", None, "lag(-1)"), ("bad", 0, "degenerate_window", "entry", None), ("bad", 1, "grid_bounds", "exit", "exit.time_exit.bars")}
+    want |= {("bad", -1, "unbacked_primitive", None, x) for x in ("IND_NEW", "TRIGGER_NONE")} | {("bad", i, "missing_pillar", "sizing", None) for i in (0, 1)}
+    assert got == want | {(s, 1, "unbounded_param", "entry", "entry.vwap_band.lookback") for s in ("fine", "bad")}
+    only = specs(spark, fine)
+    assert B.spec_findings(only, B.spec_variants(only, components), components, grids).count() == 0
+
+
+def test_a_paper_twice_gives_its_specs_once(spark):
+    row = ("p", "Long when price crosses above the EMA.", "", "btcusdt", "1h", [])
+    papers = spark.createDataFrame([row, row], "paper_id string, mechanism string, hypothesis string, symbol string, granularity string, tags array<array<string>>")
+    once = sorted(map(str, B.compile_specs(papers.limit(1), X.catalog_seed(spark)).collect()))
+    assert sorted(map(str, B.compile_specs(papers, X.catalog_seed(spark)).collect())) == once and len(once) == 3
 
 
 def test_capabilities(spark):

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import operators as O
 from .functions.columns import log_ratio
 from .operators import arch, components, rules, sweep, validation
 from .operators import vocabulary as V
+from .operators.registry import OHLCV
 from .plans import ast, formulation
 from .plans import reference_sql as R
 from .plans.planner import Plan
@@ -345,7 +346,7 @@ def phrase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAPERS = [
     ("p1", "Long when price crosses above the EMA on 15 minute bars; exit when it falls below.", "Trends persist.", "btcusdt", "1h", [["HIGH_SESSION_SENSITIVITY"], ["PARAMETRIC_OVERFIT_RISK"]]),
-    ("p2", "Band breakout of Bollinger Bands.", "", "ADAUSDT", "1d", []), ("p3", "VWAP reversion.", "", "QQQ", "1h", []),
+    ("p2", "Band breakout of Bollinger Bands.", "", "ADAUSDT", "1d", []), ("p2", "Band breakout of Bollinger Bands.", "", "ADAUSDT", "1d", []), ("p3", "VWAP reversion.", "", "QQQ", "1h", []),
 ]
 
 
@@ -368,6 +369,76 @@ _SPEC_ROWS = [
 ]
 
 
+#: Specifications for the rules on variants: spec_id, asset, timeframe, triggers, sizing, primitives, tree, values.
+SPECS = [
+    ("s1", "BTCUSDT", "1h", "TRIGGER_CROSS_ABOVE", "exit.time_exit", "sizing.fractional", ["IND_EMA", "close"], None, None), ("s2", "ADAUSDT", "2h", "TRIGGER_BAND_BREAKOUT", "exit.stop_loss", "sizing.none", ["IND_NEW"], None, {"entry.fast": 80.0, "entry.slow": 40.0}),
+    ("s3", None, "1d", "TRIGGER_CROSS_BELOW", None, "sizing.atr_scaled", [], '{"kind":"binary_op","op":"lag","left":{"kind":"transform","id":"close"},"right":{"kind":"literal","id":"-2"}}', {"exit.bars": 900.0}), ("s4", "ETHUSDT", "15m", None, None, None, None, None, {"sizing.fraction": 2.0}),
+]
+
+
+def spec_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of four specifications."""
+    return formulation.spec_variants(spark.createDataFrame(SPECS, formulation.SPEC_FIELDS), formulation.component_rows(spark))
+
+
+def spec_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules four specifications and their variants break."""
+    specs, parts = spark.createDataFrame(SPECS, formulation.SPEC_FIELDS), formulation.component_rows(spark)
+    return formulation.spec_findings(specs, formulation.spec_variants(specs, parts), parts, formulation.grid_rows(spark))
+
+
+def _variants_cte() -> str:
+    parts = [(c.id, c.pillar, p) for c in components.CURATED for p in c.implements]
+    return f"""sp(spec_id, asset, tf, ent, ext, sz) AS (VALUES {X.values([r[:6] for r in SPECS])}), im(cid, pillar, prim) AS (VALUES {X.values(parts)}), co AS (SELECT DISTINCT cid, pillar FROM im),
+    o AS (SELECT spec_id, pillar, cid, row_number() OVER (PARTITION BY spec_id, pillar ORDER BY NOT EXISTS (SELECT 1 FROM im WHERE im.cid = co.cid AND prim = CASE pillar WHEN 'entry' THEN ent ELSE ext END), cid) - 1 AS i FROM sp, co WHERE pillar <> 'sizing'),
+    vn AS (SELECT DISTINCT spec_id, i::INT AS variant FROM o WHERE i < 4),
+    pk AS (SELECT vn.spec_id, variant, p.pillar, coalesce((SELECT cid FROM o WHERE o.spec_id = vn.spec_id AND o.pillar = p.pillar AND i = variant), (SELECT cid FROM o WHERE o.spec_id = vn.spec_id AND o.pillar = p.pillar AND i = 0)) AS cid FROM vn, (VALUES ('entry'), ('exit')) p(pillar)),
+    va AS (SELECT spec_id, variant, max(cid) FILTER (pillar = 'entry') AS entry, max(cid) FILTER (pillar = 'exit') AS exit, (SELECT cid FROM co, sp WHERE sp.spec_id = pk.spec_id AND cid = sz AND co.pillar = 'sizing') AS sizing FROM pk GROUP BY spec_id, variant)"""
+
+
+def _findings_sql() -> str:
+    grid = X.values([(c.id, n, g["default"], g["lo"], g["hi"], g["step"]) for c in components.CURATED for n, g in sweep.pillar_grid(c).items()])
+    named = X.values([(r[0], x) for r in SPECS for x in {*(r[6] or []), r[3], r[4]} if x])
+    known = X.values([(x,) for x in sorted({*O.FEEDS, *OHLCV, "literal", *(p for c in components.CURATED for p in c.implements)})])
+    given = X.values([(r[0], k, v) for r in SPECS for k, v in (r[8] or {}).items()])
+    trees = X.values([(r[0], r[7]) for r in SPECS])
+    return f"""
+    WITH {_variants_cte()}, gr(cid, param, dflt, lo, hi, step) AS (VALUES {grid}), gv(spec_id, name, val) AS (VALUES {given}), nm(spec_id, prim) AS (VALUES {named}), kn(prim) AS (VALUES {known}), tr(spec_id, tree) AS (VALUES {trees}),
+    pl AS (SELECT spec_id, variant, 'entry' AS pillar, entry AS cid FROM va UNION ALL SELECT spec_id, variant, 'exit', exit FROM va UNION ALL SELECT spec_id, variant, 'sizing', sizing FROM va),
+    vl AS (SELECT pl.*, param, lo, hi, step, coalesce((SELECT val FROM gv WHERE gv.spec_id = pl.spec_id AND name = pillar || '.' || param), dflt) AS v FROM pl JOIN gr USING (cid))
+    SELECT spec_id, -1 AS variant, 'bad_data' AS rule, 'critical' AS severity, NULL AS pillar, NULL AS subject FROM sp WHERE asset IS NULL OR tf NOT IN ({', '.join(f"'{g}'" for g in ast.GRANULARITIES)})
+    UNION ALL SELECT spec_id, -1, 'unbacked_primitive', 'critical', NULL, prim FROM nm WHERE prim NOT IN (SELECT prim FROM kn)
+    UNION ALL SELECT spec_id, -1, 'lookahead_bias', 'critical', NULL, (tree->>'op') || '(' || (tree->'right'->>'id') || ')' FROM tr WHERE tree->>'op' IN ('lag', 'returns') AND (tree->'right'->>'id')::DOUBLE < 0
+    UNION ALL SELECT spec_id, variant, 'missing_pillar', 'high', pillar, cid FROM pl WHERE cid IS NULL
+    UNION ALL SELECT spec_id, variant, 'unbounded_param', 'medium', pillar, cid || '.' || param FROM vl WHERE lo IS NULL OR hi IS NULL
+    UNION ALL SELECT spec_id, variant, 'grid_bounds', 'high', pillar, cid || '.' || param FROM vl WHERE lo >= hi OR step <= 0 OR v < lo OR v > hi
+    UNION ALL SELECT f.spec_id, f.variant, 'degenerate_window', 'high', 'entry', NULL FROM vl f JOIN vl s USING (spec_id, variant, cid) WHERE cid = 'entry.ema_cross' AND f.param = 'fast' AND s.param = 'slow' AND s.v <= f.v"""
+
+
+def all_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the catalog has what each symbol's requirements ask for, and all of them."""
+    verdicts = rules.check_catalog(X.requirements(spark), X.catalog_seed(spark))
+    return verdicts.groupBy("symbol").agg(F.bool_and(F.col("status") != "missing").alias("all_available")).unionByName(rules.all_available(verdicts).select(F.lit("all").alias("symbol"), "all_available"))
+
+
+def conversation_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 1 200 characters of each conversation's turns, in order."""
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.row_number().over(order).alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
+    return rules.join_chunks(turns, 1200, "conv_id", "turn", "text")
+
+
+_DIGEST_SQL = """
+    WITH t AS (SELECT conv_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM conversations)
+    SELECT conv_id, left(string_agg(text, '' ORDER BY n), 1200) AS text FROM t GROUP BY conv_id"""
+
+
+def sweep_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How flat the surface of the crossing's mean returns is, by symbol."""
+    out = sweep.surface_decay(ema_cross_sweep(spark, sf_dir), "mean_return", ["symbol"])
+    return out.select("symbol", F.round("surface_decay", 3).alias("surface_decay"))
+
+
 def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formulation.capabilities(spark).select("name", "type", "granularity", F.array_join("primitives", ",").alias("primitives"))
 
@@ -397,7 +468,7 @@ def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.thin(B.event_bars(spark, sf_dir), "close", 100)
 
 
-_PLAIN = (spec_matrix, capabilities, purged_folds, price_bands, bootstrap_means, thinned, bb_breakout, bars_hourly, bars_daily_orders, all_feeds, tick_feeds, text_features, document_features, document_audit, text_audit, catalog_check, catalog_granularities, alternate_symbol, math_symbols, table_report, guard_filters, page_chunks, sweep_grid, ema_cross_sweep, garch_fit, garch_forecast, deferred, phrase_rows)
+_PLAIN = (spec_variants, spec_findings, all_available, conversation_digest, sweep_decay, spec_matrix, capabilities, purged_folds, price_bands, bootstrap_means, thinned, bb_breakout, bars_hourly, bars_daily_orders, all_feeds, tick_feeds, text_features, document_features, document_audit, text_audit, catalog_check, catalog_granularities, alternate_symbol, math_symbols, table_report, guard_filters, page_chunks, sweep_grid, ema_cross_sweep, garch_fit, garch_forecast, deferred, phrase_rows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -414,6 +485,10 @@ def oracle_sql() -> dict[str, str]:
         "bars_hourly": "WITH " + R.BARS.split(", l0 AS")[0] + " SELECT * FROM bars",
         "bars_daily_orders": "SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS ts, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close, count(*)::DOUBLE AS volume FROM orders WHERE o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1, 2",
         "text_features": _text_sql(f"(VALUES {X.values(X.TEXTS)}) x(id, text)", "id"), "document_features": _text_sql("documents", "doc_id"), "document_audit": _audit_sql("documents", "doc_id"), "text_audit": _audit_sql(f"(VALUES {X.values(X.TEXTS)}) x(id, text)", "id"),
+        "spec_variants": f"WITH {_variants_cte()} SELECT * FROM va", "spec_findings": _findings_sql(), "conversation_digest": _DIGEST_SQL,
+        "all_available": f"WITH a AS ({_catalog_sql()}) SELECT symbol, bool_and(status <> 'missing') AS all_available FROM a GROUP BY 1 UNION ALL SELECT 'all', bool_and(status <> 'missing') FROM a",
+        "sweep_decay": f"SELECT symbol, round(1 - stddev_pop(mean_return) / abs(avg(mean_return)), 3) AS surface_decay FROM ({_sweep_sql()}) x GROUP BY 1",
+        "phrase_rows": f"WITH p(phrase, feed) AS (VALUES {X.values(sorted((p, f) for p, f in O.phrase_table()))}) SELECT (row_number() OVER (ORDER BY length(phrase) DESC, phrase, feed) - 1)::INT AS ord, phrase, feed FROM p",
         "catalog_check": _catalog_sql(), "catalog_granularities": f"SELECT DISTINCT gran AS granularity FROM (VALUES {_seed_values()}) c(cls, s, gran, b, f, y)", "alternate_symbol": _alternate_sql(),
         "spec_matrix": f"SELECT * FROM (VALUES {X.values(_SPEC_ROWS)}) s(paper_id, tier, target_asset, timeframe, entry_trigger_primitive, exit_trigger_primitive, filters, indicators, mode, origin, secondary_signal)",
         "capabilities": f"SELECT * FROM (VALUES {X.values([(n, k, g, ','.join(p)) for n, k, g, p in formulation.CAPABILITIES])}) c(name, type, granularity, primitives)",
