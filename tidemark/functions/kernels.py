@@ -12,16 +12,21 @@ LOG_LIMIT = 350.0
 
 
 def _from_first(x: np.ndarray, run) -> np.ndarray:
-    """run(x) on what follows a missing prefix."""
+    """run(x) on what follows a missing prefix; a value missing later makes the result missing from there on."""
     real = np.isfinite(x)
-    if not real.any():
-        return np.full(len(x), np.nan)
-    start = int(real.argmax())
-    return np.concatenate([np.full(start, np.nan), run(x[start:])])
+    out = np.full(len(x), np.nan)
+    if real.any():
+        start = int(real.argmax())
+        stop = len(x) if real[start:].all() else start + int((~real[start:]).argmax())
+        out[start:stop] = run(x[start:stop])
+    return out
 
 
 def scan(x: np.ndarray, alpha: float) -> np.ndarray:
-    """y0 = x0, y = alpha x + (1 - alpha) y; alpha is clipped to [0, 1]."""
+    """y0 = x0, y = alpha x + (1 - alpha) y; alpha is clipped to [0, 1].
+
+    Values missing at the start give missing results; one missing later leaves nothing to go on from.
+    """
     alpha = min(max(float(alpha), 0.0), 1.0)
     if alpha == 0.0:
         return _from_first(x, lambda v: np.full(len(v), v[0]))
@@ -108,12 +113,14 @@ def psar(high: np.ndarray, low: np.ndarray, start: float, increment: float, maxi
 
 def garch(r: np.ndarray, omega: float, alpha: float, beta: float, seed: float, gamma: float = 0.0) -> np.ndarray:
     """h0 = seed, h = omega + (alpha + gamma [r' < 0]) r'^2 + beta h', r' and h' of the bar before."""
-    out = np.empty(len(r))
-    if len(r):
-        h = out[0] = seed
-        shocks = (omega + np.where(r < 0, alpha + gamma, alpha) * r * r).tolist()
-        for i in range(1, len(r)):
-            h = out[i] = shocks[i - 1] + beta * h
+    if not len(r):
+        return np.empty(0)
+    shocks = omega + np.where(r < 0, alpha + gamma, alpha) * r * r
+    if 0.0 <= beta < 1.0:  # a scan of what would hold each variance where it is
+        return scan(np.r_[seed, shocks[:-1] / (1.0 - beta)], 1.0 - beta)
+    out, h = np.empty(len(r)), seed
+    for i, shock in enumerate(np.r_[0.0, shocks[:-1]].tolist()):
+        h = out[i] = shock + beta * h if i else seed
     return out
 
 

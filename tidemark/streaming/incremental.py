@@ -5,6 +5,7 @@ Every feed reads only what came before, so a recursion's last value is all that
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +26,7 @@ def stream_ema(bars: DataFrame, alphas: dict[str, float]) -> DataFrame:
     """(symbol, ts, close, one column per alpha): fixed-alpha scans of closes carried on from batch to batch.
 
     State per symbol: the last value of each scan, nothing else.  Rows of a batch count by ts; a batch is later than
-    the one before it.
+    the one before it.  Missing closes count as in kernels.scan: skipped at the start, the end of all values later.
     """
     names = list(alphas)
 
@@ -34,11 +35,15 @@ def stream_ema(bars: DataFrame, alphas: dict[str, float]) -> DataFrame:
         last = list(state.get) if state.exists else None
         out = rows[["symbol", "ts", "close"]].copy()
         values = []
-        for close in rows["close"].tolist():
+        for close in rows["close"].to_numpy(float, na_value=math.nan).tolist():
+            if last is None and not math.isfinite(close):
+                values.append([math.nan] * len(names))
+                continue
             last = [close] * len(names) if last is None else [alphas[n] * close + (1 - alphas[n]) * y for n, y in zip(names, last)]
             values.append(last)
-        if values:
+        if last is not None:
             state.update(tuple(last))
+        if values:
             out[names] = values
             yield out
 
