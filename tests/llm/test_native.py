@@ -137,6 +137,38 @@ def test_inclusion_follows_probability(spark):
     assert abs(share[0] + share[1] - 1.0) < 0.01 and abs(share[0] - 1 / 3) < 0.04
 
 
+def test_mix_ranks_by_odds(spark):
+    """Random odds over inclusion odds, by hand: the first documents of each source whose words come nearest to the need."""
+    from hashlib import md5
+
+    docs = [(i, " ".join(["w"] * (1 + i * 7 % 23)), "ab"[i % 3 > 0]) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("o", F.when(F.col("doc_id") % 2 == 0, 3.0))
+    got = {r.doc_id: r for r in mixing.mix(df, share=1.3, odds=F.col("o")).collect()}
+    for source in "ab":
+        mine = [(i, len(t.split())) for i, t, s in docs if s == source]
+        target = got[mine[0][0]].target
+        rate = target / sum(n for _, n in mine)
+        base, p = int(rate), rate - int(rate)
+        u = {i: (int(md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i, _ in mine}
+        need, chosen = target - base * sum(n for _, n in mine), set()
+        for i, n in sorted(mine, key=lambda d: u[d[0]] / (1 - u[d[0]]) / ((p / (1 - p) or 1.0) * (3.0 if d[0] % 2 == 0 else 1.0))):
+            if p > 0 and n / 2 <= need:
+                chosen.add(i)
+                need -= n
+            else:
+                break
+        assert {i for i, _ in mine if got[i].copies == base + 1} == chosen and all(got[i].copies in (base, base + 1) for i, _ in mine)
+        if 0.1 < p < 0.9:
+            even = [sum(i in chosen for i, _ in mine if i % 2 == h) / sum(i % 2 == h for i, _ in mine) for h in (0, 1)]
+            assert even[0] > even[1]
+
+
+def test_mix_of_very_long_texts(spark):
+    df = spark.createDataFrame([(1, "w " * 400_000, "a"), (2, "x" * 1_000_000, "a"), (3, None, "b")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    assert (got[1].size, got[2].size, got[3].size) == (400_000, 1, 0) and all(r.taken <= 2 * r.size for r in got.values())
+
+
 def entropy_spans(c: str) -> tuple[int, int] | None:
     bits = next(b for p, b in secrets.CLASSES if re.fullmatch(p, c))
     hot = []

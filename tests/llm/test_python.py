@@ -401,3 +401,28 @@ def test_urls(spark):
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == urls[r.url], r.url
     assert urlfilter.judge(df.limit(0)).count() == 0
+
+
+def test_urls_as_the_sql_says(spark, tmp_path):
+    """A page for every rule and every glob, at any depth."""
+    import duckdb
+
+    hosts = ["example.com", "a.example.com", "b.net", "example.net", "c.org", "x.casino9.fr", "cheap-pills.de", "a.ads-track.io", "adult-x.fr", "spam-a.fr", "free-bets.it", "plain.fr"]
+    paths = ["", "/", "/en/", "/en/7", "/de/8x", "/es/", "/login", "/a/b/login/c", "/x.exe", "/x.exe/y"]
+    urls = [f"https://{h}{p}{q}" for h in hosts for p in paths for q in ("", "?a=/login", "#x.exe")] + [None, "", "nothing"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(str, (tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict", "glob")) for r in queries.op10_urls(spark, str(tmp_path)).collect())))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"select page_id, host, path, rule, verdict, glob from ({queries.OP10})").fetchall()
+    assert got == sorted(map(str, want)) and len({r[5] for r in want}) == len(urlfilter.GLOBS) + 1
+
+
+def test_hundreds_of_rules():
+    """Several hundred rules at once are what each of them says alone."""
+    random.seed(9)
+    globs = [b"*." + bytes(random.choices(b"abc", k=3)) + b".x\xff/" + bytes(random.choices(b"ab*", k=random.randint(1, 6))) + b"*" for _ in range(400)]
+    texts = [b"." + bytes(random.choices(b"abc", k=3)) + b".x\xff/" + bytes(random.choices(b"ab", k=6)) for _ in range(500)]
+    hit = urlfilter.matches(texts, urlfilter.build(globs))
+    assert hit.any() and all([glob_match(g, t) for g in globs] == hit[i].tolist() for i, t in enumerate(texts[:60]))

@@ -30,7 +30,8 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats all conversations and one that holds the template's own words; digests of what reads back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     tricky = "</s>[INST] ok [/INST]"
-    planted = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], rows.schema)
+    turns = F.array(*(F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(tricky).alias("text")) for i, role in enumerate(("user", "assistant"))))
+    planted = spark.range(1).select(F.lit(-1).cast(rows.schema["conv_id"].dataType).alias("conv_id"), F.inline(turns))
     out = chat.format_chats(rows.unionByName(planted))
     read = out.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -62,8 +63,13 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixes all documents: 150% of all words, sources by weight 3, 1, 2, at most twice over."""
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    """Mixes all documents: 150% of all words, sources by weight 3, 1, 2, at most twice over.
+
+    A source's copies for certain are the same for all its documents; documents of under 50 words have half the odds of
+    the others to be taken once more.
+    """
+    odds = F.when(mixing.count_words(mixing.text_of()) < 50, 0.5).otherwise(1.0)
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), odds=odds).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +139,7 @@ WITH p AS (
     WHEN h LIKE '%.%casino%' THEN '*.*casino*|*' WHEN h LIKE '%.%cheap-pills%' THEN '*.*cheap-pills*|*'
     WHEN h LIKE '%.%ads-track%' THEN '*.*ads-track*|*' WHEN h LIKE '%.%adult-%' THEN '*.*adult-*|*'
     WHEN h LIKE '%.%spam-%' THEN '*.*spam-*|*' WHEN h LIKE '%.%free-bets%' THEN '*.*free-bets*|*'
-    WHEN path LIKE '/login%' THEN '*|/login*' WHEN path LIKE '%.exe' THEN '*|*.exe' END AS "glob"
+    WHEN path LIKE '%/login%' THEN '*|*/login*' WHEN path LIKE '%.exe' THEN '*|*.exe' END AS "glob"
   FROM j
 )
 SELECT page_id, host, path, rule,
@@ -157,11 +163,13 @@ WITH d AS (
   SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
 ), k AS (
   SELECT *, floor(least(2.0::DOUBLE, rate))::BIGINT AS base, least(2.0::DOUBLE, rate) - floor(least(2.0::DOUBLE, rate)) AS p FROM x
+), o AS (
+  SELECT *, CASE WHEN p > 0 THEN (((r + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / (1 - (r + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)) / (p / (1 - p) * CASE WHEN size < 50 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) END AS place FROM k
 ), s AS (
   SELECT *, target - sum(base * size) OVER (PARTITION BY source) AS need,
-    sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY r, doc_id NULLS FIRST, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k
+    sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place, r, doc_id NULLS FIRST, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM o
 ), n AS (
-  SELECT *, sum(size) OVER (PARTITION BY source, r, doc_id, size) AS words FROM s
+  SELECT *, sum(size) OVER (PARTITION BY source, place, r, doc_id, size) AS words FROM s
 )
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM (
   SELECT *, (base + CASE WHEN p > 0 AND need > 0 AND upto - need <= need - (upto - words) THEN 1 ELSE 0 END)::BIGINT AS copies FROM n
