@@ -1,9 +1,10 @@
 """Byte-level BPE: whole texts to token ids and back.
 
-A text longer than ``chunk`` code points is pre-tokenised in overlapping chunks that do not depend on each other.  A
-chunk may begin inside a pre-token, but the pattern never looks behind, so as soon as two neighbouring scans share a
-boundary in their overlap they agree from there on; the text is cut at such a boundary and the pieces are encoded one
-by one.  Where an overlap holds no common boundary (one endless run), the scan before is carried on instead.
+A text longer than a chunk and its overlap is pre-tokenised in overlapping chunks, each a row of its own that any task
+may scan.  A chunk may begin inside a pre-token, but the pattern never looks behind, so as soon as two neighbouring
+scans share a boundary in their overlap they agree from there on: the text is cut at the first such boundary, the pieces
+are encoded as rows again, and their ids are put together by number.  Where an overlap holds no common boundary (one
+endless run), what is left of the text is one piece.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,39 +43,19 @@ def compiled(pattern: str):
     return regex.compile(pattern)
 
 
-def scan(text: str, pattern: str, begin: int, end: int) -> list[int]:
-    """Where pre-tokens begin if only text[begin:end] is seen, less the last ones, which could be wrong."""
-    starts = [m.start() for m in compiled(pattern).finditer(text, begin, end)]
-    return starts if end == len(text) else starts[: bisect_left(starts, end - BLIND)]
-
-
-def cut_points(text: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Offsets, 0 first and the length last, between which the text can be encoded piece by piece."""
-    cuts, begin, n = [0], chunk, len(text)
-    known, reach = scan(text, pattern, 0, min(n, chunk + overlap)), min(n, chunk + overlap)
-    while reach < n:
-        end = min(n, begin + chunk + overlap)
-        after = scan(text, pattern, begin, end)
-        shared = set(after)
-        # Before white space after something else, so that each side reads the same alone.
-        at = next((b for b in known[bisect_left(known, begin) :] if b in shared and b > cuts[-1] and text[b] in " \n\t\r" and not text[b - 1].isspace()), None)
-        if at is None:
-            start = known[-1] if known else cuts[-1]
-            end = min(n, max(end, reach + 2 * (reach - start)))
-            known = known[:-1] + scan(text, pattern, start, end)
-        else:
-            cuts.append(at)
-            known = after[bisect_left(after, at) :]
-        begin, reach = end - overlap, end
-    return [*cuts, n] if n else cuts
-
-
-def encode_text(text: str, enc, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
-    """Token ids of a whole text."""
-    if len(text) <= chunk + overlap:
-        return enc.encode_to_numpy(text, disallowed_special=())
-    cuts = cut_points(text, pattern, chunk, overlap)
-    return np.concatenate([enc.encode_to_numpy(text[a:b], disallowed_special=()) for a, b in zip(cuts, cuts[1:])])
+def scan(text: str, pattern: str, last: bool = True) -> list[int]:
+    """Where pre-tokens begin if only this text is seen; if more follows it, less the last ones, which could be wrong."""
+    starts = [m.start() for m in compiled(pattern).finditer(text)]
+    return starts if last else starts[: bisect_left(starts, len(text) - BLIND)]
+
+
+def edges(text: str, pattern: str, last: bool, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[list[int], list[int]]:
+    """Where a chunk's text can be cut: in the overlap with the chunk before it, and (less ``chunk``) in that with the next.
+
+    Before white space after something else, so that each side reads the same alone.
+    """
+    at = [b for b in scan(text, pattern, last) if b and text[b] in " \n\t\r" and not text[b - 1].isspace()]
+    return at[: bisect_left(at, overlap)], [] if last else [b - chunk for b in at[bisect_left(at, chunk) :]]
 
 
 def arrow_list(parts: list[np.ndarray]) -> pa.ListArray:
@@ -88,22 +69,56 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Add ``out`` (array<int>): the token ids of the whole text, as tiktoken's encode_ordinary gives them.
+def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "ids", keep: tuple[str, ...] | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """The columns ``keep`` (all, if None) and ``out`` (array<int>): the token ids of the whole text, as tiktoken's
+    encode_ordinary gives them.
 
     ranks: the content of a rank file (a fixed vocabulary of under 1 MB, which is broadcast).  A null text is empty and
     gives no ids; rows stay as they are, repeated ones too; a column named like ``out`` is replaced.
     """
     df = without(df, out) if out.lower() != text.lower() else df
+    keep = tuple(c for c in df.columns if keep is None or c in keep)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], source: str, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value, pattern)
         for batch in batches:
-            for part in slices(batch, text):
-                yield with_column(part, out, arrow_list([encode_text(x or "", enc, pattern, chunk, overlap) for x in part.column(text).to_pylist()]))
+            for part in slices(batch, source):
+                ids = arrow_list([enc.encode_to_numpy(x or "", disallowed_special=()) for x in part.column(source).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), ids], names=[*columns, out])
+
+    ids = T.StructField(out, T.ArrayType(T.IntegerType(), False))
+    long = F.coalesce(F.length(text), F.lit(0)) > chunk + overlap
+    whole = df.where(~long).select(*dict.fromkeys([*keep, text])).mapInArrow(lambda b: run(b, text, keep), T.StructType([*(df.schema[c] for c in keep), ids]))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False))]))
+    rows = df.where(long).withColumn("_text", F.sha2(text, 256))
+    cut_up = pieces(rows.select("_text", F.col(text).alias("_t")), pattern, chunk, overlap)
+    coded = cut_up.mapInArrow(lambda b: run(b, "_piece", ("_text", "_n")), T.StructType([cut_up.schema["_text"], cut_up.schema["_n"], ids]))
+    joined = coded.groupBy("_text").agg(F.flatten(F.sort_array(F.collect_list(F.struct("_n", out)))[out]).alias(out))
+    return whole.unionByName(rows.select(*keep, "_text").join(joined, "_text").select(*keep, out))
+
+
+def pieces(texts: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """(_text, _n, _piece): long texts (_text: a hash, _t) cut where neighbouring chunks agree; repeated texts once."""
+    last = F.ceil((F.length("_t") - overlap) / chunk).cast("int") - 1
+    part = lambda c: F.struct(c.alias("_c"), F.substr("_t", c * chunk + 1, F.lit(chunk + overlap)).alias("_s"), (c == last).alias("_last"))
+    chunks = texts.select("_text", F.explode(F.transform(F.sequence(F.lit(0), last), part)).alias("x")).select("_text", "x.*").dropDuplicates(["_text", "_c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [edges(x, pattern, end, chunk, overlap) for x, end in zip(batch.column("_s").to_pylist(), batch.column("_last").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("_text"), batch.column("_c"), *(pa.array([x[i] for x in both], pa.list_(pa.int32())) for i in (0, 1))], names=["_text", "_c", "head", "tail"])
+
+    found = chunks.mapInArrow(run, "_text string, _c int, head array<int>, tail array<int>")
+    w = Window.partitionBy("_text").orderBy("_c")
+    met = found.withColumn("at", F.when(F.col("_c") == 0, 0).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(w)))))
+    # Behind the first pair without a common boundary nothing is known to be right: all of it belongs to one piece.
+    met = met.withColumn("at", F.when(F.count(F.when(F.col("at").isNull(), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 0, F.col("at")))
+    cuts = met.select("_text", "_c", "at", F.lead("at").over(w).alias("end"), F.max(F.when(F.col("at").isNotNull(), F.col("_c"))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_n"))
+    begin = F.coalesce("at", F.lit(0))
+    end = F.when(F.col("_last"), F.length("_s")).otherwise(chunk + F.coalesce("end", F.lit(0)))
+    segments = chunks.join(cuts, ["_text", "_c"]).select("_text", "_n", "_c", F.substr("_s", begin + 1, end - begin).alias("s"))
+    return segments.groupBy("_text", "_n").agg(F.array_join(F.sort_array(F.collect_list(F.struct("_c", "s")))["s"], "").alias("_piece"))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 512) -> Iterator[pa.RecordBatch]:

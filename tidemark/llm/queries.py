@@ -84,7 +84,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and what they decode to."""
     ranks, pattern = vocabulary()
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).select("doc_id", "ids")
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern, keep=("doc_id",))
     back = bpe.decode(ids, ranks)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
