@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix."""
     ranks, pattern = vocabulary()
-    out = bpe.encode(docs.select("doc_id", "source", "text"), ranks, pattern)
+    out = bpe.encode(docs, ranks, pattern, keep=("doc_id", "source"))
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
