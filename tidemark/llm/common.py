@@ -40,6 +40,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet: the name, with as many _ before it as that takes."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def text_of(name: str = "text") -> Column:
     """The text column; a null text is an empty one."""
     return F.coalesce(F.col(name), F.lit(""))

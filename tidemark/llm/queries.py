@@ -94,7 +94,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = (F.crc32(F.col("doc_id").cast("string")) % 3) == 1
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", ~held)
-    scored = toxicity.score(docs, weights).drop("text")
+    scored = toxicity.score(docs, weights, keep=("doc_id",))
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), F.size("offending").alias("n_offending"), F.get("offending", F.lit(0))["start"].alias("first_start"), F.get("offending", F.lit(0))["end"].alias("first_end"))
 
 

@@ -152,13 +152,15 @@ def score_text(text: str, weights: dict[str, float], cache: dict[str, float], cu
 SENTENCES = "array<struct<start:int,end:int,score:double>>"
 
 
-def score(df: DataFrame, weights: dict[str, float], text: str = "text", sentence_score: float = 0.5) -> DataFrame:
-    """Add ``score`` (0 to 1) and ``offending`` (code-point spans of the sentences that score sentence_score or more).
+def score(df: DataFrame, weights: dict[str, float], text: str = "text", sentence_score: float = 0.5, out: tuple[str, str] = ("score", "offending"), keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns ``keep`` (all, if None) and ``out``: the score (0 to 1), and the code-point spans of the sentences that
+    score sentence_score or more.
 
     A null or empty text, or one without letters, scores 0.  Columns with these names are replaced.
     weights: as from train(); a vocabulary bounded by the training sample, which is broadcast.
     """
-    df = without(df, "score", "offending")
+    df = without(df, *out)
+    keep = tuple(c for c in df.columns if keep is None or c in keep)
     shared = df.sparkSession.sparkContext.broadcast(weights)
     cutoff = float(np.log(sentence_score / (1 - sentence_score)))
     spans = T._parse_datatype_string(SENTENCES)
@@ -169,6 +171,6 @@ def score(df: DataFrame, weights: dict[str, float], text: str = "text", sentence
         for batch in batches:
             for part in slices(batch, text):
                 both = [score_text(x or "", shared.value, cache, cutoff) for x in part.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([s for s, _ in both], pa.float64()), pa.array([f for _, f in both], kind)], names=[*part.schema.names, "score", "offending"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([s for s, _ in both], pa.float64()), pa.array([f for _, f in both], kind)], names=[*keep, *out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("offending", spans)]))
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField(out[0], T.DoubleType()), T.StructField(out[1], spans)]))
