@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, nearcopies, pii, toxicity
-from tidemark.llm.common import count_words, cut, table, text_of
+from tidemark.llm.common import count_words, cut, table, text_of, unused
 from tidemark.llm.queries import pseudonym_key, vocabulary
 
 #: Documents whose score is at least this are rejected.
@@ -19,7 +19,8 @@ TOXIC = 0.7
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from the labels, scores below TOXIC."""
     weights = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, weights).where(F.col("score") < TOXIC).select(*docs.columns)
+    out = unused(docs, "toxicity"), unused(docs, "toxic_spans")
+    return toxicity.score(docs, weights, out=out).where(F.col(out[0]) < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +34,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its personal data replaced by pseudonyms; n_chars follows the text."""
-    out = pii.pseudonymise(docs, pseudonym_key(spark))
+    count = unused(docs, "replaced")
+    out = pii.pseudonymise(docs, pseudonym_key(spark), count=count)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length(text_of()).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.length(text_of()).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
@@ -44,10 +46,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     How often follows from id, source and size, so rows of one id in two sources or of two sizes are told apart.
     """
-    keys = {"doc_id": "_id", "source": "_source", "size": "_size"}
-    copies = mixing.mix(docs).groupBy(*(F.col(c).alias(k) for c, k in keys.items())).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (count_words(text_of()) == F.col("_size"))
-    return docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    id, source, size, n, copy = (unused(docs, f"mix_{c}") for c in ("id", "source", "size", "copies", "copy"))
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias(id), F.col("source").alias(source), F.col("size").alias(size)).agg(F.max("copies").cast("int").alias(n)).where(F.col(n) > 0)
+    same = F.col("doc_id").eqNullSafe(F.col(id)) & F.col("source").eqNullSafe(F.col(source)) & (count_words(text_of()) == F.col(size))
+    return docs.join(copies, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
