@@ -2,7 +2,7 @@
 
 Texts with the same set of shingles are one node.  In a first pass every node meets the most central node of
 those that it is linked to in a key, so a large group of copies is joined by a few checks a node: copies are near what
-they were made from, seldom near each other.  Sketches of the shingle sets tell which of these pairs to check.  A second pass takes the nodes around failed checks: it looks at
+they were made from, seldom near each other.  Sketches of the shingle sets tell which of these pairs to check.  A second pass takes the nodes that have pairs: it looks at
 all candidate pairs that are not in one component yet, and those whose sketches leave a similarity of NEAR possible are
 checked.  So the components are those of all candidate pairs that are similar enough, whatever the groups' sizes.
 """
@@ -114,14 +114,16 @@ def hub_pairs(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[
     """Pairs (u > v) of a partition's nodes: each with the most central one of what it is linked to within a key.
 
     part: number of the fingerprint and of the choice of blocks; sim: SimHash of the shingle set, whose majority over
-    the linked nodes is their centre.
+    the linked nodes is their centre.  A pair comes only out of its first two blocks, so the pairs of all keys together
+    connect what is linked in any.
     """
     data = gathered(batches, "part", "fp", "sig", "sim")
     if data is None:
         return
     part, fp, sig, sim = data
+    masks = [np.uint64(((1 << w) - 1) << low) for low, w in blocks(max_distance)]
     out = []
-    for _, mine, words, key_bits in groups_of(part, fp, max_distance):
+    for own, mine, words, key_bits in groups_of(part, fp, max_distance):
         words, word = np.unique(words, return_inverse=True)
         parent = np.arange(len(words))
         for budget in sorted({min(1, max_distance), min(2, max_distance), max_distance}):
@@ -146,8 +148,12 @@ def hub_pairs(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[
         ones = np.add.reduceat(bits.astype(np.int32), starts, axis=0)
         centre = np.packbits(2 * ones > counts[:, None], axis=1).view(">u8").astype(np.uint64)[:, 0]
         off = np.bitwise_count(sim[rows].view(np.uint64) ^ np.repeat(centre, counts))
-        hub = np.repeat(sig[rows[np.lexsort((sig[rows], off, root))[starts]]], counts)
-        out.append(np.stack([np.maximum(sig[rows], hub), np.minimum(sig[rows], hub)], axis=1)[sig[rows] != hub])
+        at = np.repeat(rows[np.lexsort((sig[rows], off, root))[starts]], counts)
+        hub, bits = sig[at], (fp[rows] ^ fp[at]).view(np.uint64)
+        # Linked nodes that agree on two blocks before these are linked, through some hub, where those are the key.
+        before = np.cumsum([(bits & masks[i]) == 0 for i in range(own[1])], axis=0)[-1] > 1
+        new = (sig[rows] != hub) & ~(before & (np.bitwise_count(bits) <= max_distance))
+        out.append(np.stack([np.maximum(sig[rows], hub), np.minimum(sig[rows], hub)], axis=1)[new])
     if out:
         pairs = np.unique(np.concatenate(out), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
@@ -276,10 +282,8 @@ def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", prints: i
     if apart.isEmpty():
         second = links.limit(0)
     else:
-        # Two nodes that the first pass kept apart have a failed check between them: one is in it, the other next to it.
-        failed = cut(apart.select(F.explode(F.array("u", "v")).alias("sig")).distinct())
-        touched = [spread_join(first.select("u", "v"), failed.withColumnRenamed("sig", c), c, o) for c, o in (("u", "v"), ("v", "u"))]
-        around = touched[0].select("u", "v").unionByName(touched[1].select("u", "v")).select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+        # Two linked nodes that the first pass kept apart are connected by its pairs, of which one has failed.
+        around = first.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
         placed = cut(nodes.join(around, "sig").join(components(links), F.col("sig") == F.col("node"), "left").select("sig", "fps", "n", F.coalesce("root", "sig").alias("root"), packed(F.col("odd")).alias("odd")))
         rest = dealt(placed, max_distance, "sig", "root", "n", "odd").mapInArrow(lambda b: cross_pairs(b, max_distance), "u long, v long")
         second = checked(cut(rest.distinct()), texts, nodes).where("near").select("u", "v")
