@@ -163,6 +163,15 @@ def test_mix_ranks_by_odds(spark):
             assert even[0] > even[1]
 
 
+def test_mix_odds_from_size(spark):
+    """Odds as a function of the size take what the same odds as a column take."""
+    docs = [(i, " ".join(["w"] * (1 + i * 7 % 23)), "ab"[i % 3 > 0]) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    small = lambda n: F.when(n < 12, 0.25)
+    taken = [sorted((r.doc_id, r.taken) for r in mixing.mix(df, share=1.3, odds=o).collect()) for o in (small, small(F.size(F.split("text", " "))), None)]
+    assert taken[0] == taken[1] != taken[2]
+
+
 def test_mix_of_very_long_texts(spark):
     df = spark.createDataFrame([(1, "w " * 400_000, "a"), (2, "x" * 1_000_000, "a"), (3, None, "b")], "doc_id long, text string, source string")
     got = {r.doc_id: r for r in mixing.mix(df).collect()}

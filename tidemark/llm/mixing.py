@@ -10,6 +10,8 @@ then again inside the one bin that holds the cut, and only what is left there, s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,17 +46,18 @@ def allocate(totals: DataFrame, weights: tuple[int, ...], share: float, most: fl
     return levels.select("source", "source_size", F.when(F.col("full") | F.col("limit").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("w") * final)).alias("target"))
 
 
-def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", weight: str | None = None, odds: Column | None = None) -> DataFrame:
+def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", weight: str | None = None, odds: Column | Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, copies (long) and taken (copies * size).
 
     size is the number of words (null text: 0).  ``weight`` may name a column of relative document weights (null: 1);
     a document's expected copies are then in proportion to it, ``most`` at most.  ``odds`` may multiply the inclusion
-    odds of a document's copy beyond the certain ones (null: 1): what a source takes in all stays the same.  Rows with the same id, rank and size
+    odds of a document's copy beyond the certain ones (null: 1): what a source takes in all stays the same.  It is a
+    column over df, or a function of the size, for which no text is read a second time.  Rows with the same id, rank and size
     (repeated rows) are taken or left together.  A source's words miss its target by at most half of the document at
     the cut.  A null source is a source; an empty table gives no rows.
     """
     own = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(1.0)), F.lit(0.0))
-    sized = cut(df.select(F.col(id).alias("id"), F.col(source).alias("source"), count_words(text_of(text)).alias("size"), own.alias("own"), random_of(id, seed).alias("r"), F.coalesce(F.lit(1.0) if odds is None else odds.cast("double"), F.lit(1.0)).alias("odds")))
+    sized = cut(df.select(F.col(id).alias("id"), F.col(source).alias("source"), count_words(text_of(text)).alias("size"), own.alias("own"), random_of(id, seed).alias("r"), F.coalesce((odds if isinstance(odds, Column) else F.lit(1.0)).cast("double"), F.lit(1.0)).alias("odds")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("own")).alias("weighted"))
     plan = totals.join(allocate(totals.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "s2").drop("source_size"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     plan = cut(plan)
@@ -64,7 +67,8 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     rate = F.when(F.col("weighted") > 0, F.col("target") / F.col("weighted")).otherwise(0.0)
     expected = F.least(F.lit(float(most)), F.col("rate") * F.col("own"))
     p = F.col("expected") - F.floor("expected")
-    rank = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")) * F.col("odds")))
+    factor = F.coalesce(odds(F.col("size")).cast("double"), F.lit(1.0)) if callable(odds) and not isinstance(odds, Column) else F.col("odds")
+    rank = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")) * factor))
     ranked = sized.join(side(plan.withColumn("rate", rate).withColumnRenamed("source", "s2")), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     ranked = ranked.withColumn("expected", expected).withColumn("base", F.floor("expected").cast("long")).withColumn("p", p).withColumn("rank", rank)
     # 0 to 1, rising with the rank; documents without a fraction come last and get no more.

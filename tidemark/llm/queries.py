@@ -68,7 +68,7 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     A source's copies for certain are the same for all its documents; documents of under 50 words have half the odds of
     the others to be taken once more.
     """
-    odds = F.when(mixing.count_words(mixing.text_of()) < 50, 0.5).otherwise(1.0)
+    odds = lambda size: F.when(size < 50, 0.5).otherwise(1.0)
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), odds=odds).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
