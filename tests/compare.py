@@ -1,6 +1,7 @@
 """Comparing a Spark result with DuckDB's, as rows in any order."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -14,7 +15,7 @@ def duck(sf_dir: str):
 
 def rows(pdf):
     def say(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         return repr(float(v) + 0.0) if isinstance(v, int | float) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
 
