@@ -420,7 +420,7 @@ def test_urls_as_the_sql_says(spark, tmp_path):
     got = sorted(map(str, (tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict", "glob")) for r in queries.op10_urls(spark, str(tmp_path)).collect())))
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
-    want = con.execute(f"select page_id, host, path, rule, verdict, glob from ({queries.OP10})").fetchall()
+    want = con.execute(f"select page_id, host, path, rule, verdict, \"glob\" from ({queries.OP10})").fetchall()
     assert got == sorted(map(str, want)) and len({r[5] for r in want}) == len(urlfilter.GLOBS) + 1
 
 

@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, mixing, pii, secrets, simhash, syncmers, toxicity, urlfilter
+from . import ann, bpe, chat, langid, merkle, mixing, pii, secrets, simhash, syncmers, toxicity, trie, urlfilter
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -177,9 +177,93 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM (
 """
 
 
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; profiles learnt from documents that are not held out."""
+    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = langid.train(docs, ~held)
+    found = langid.predict(docs, profiles, keep=("doc_id",))
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin")
+
+
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, and whether it (or what was made of it) folds to the root."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    other = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.leaf(*map(F.col, FIELDS[:-1]), lower))
+    done = merkle.manifest(table(spark, sf_dir, "documents").select(*FIELDS), merkle.leaf(*map(F.col, FIELDS)), other)
+    return done.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    nodes = trie.prefix_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def _crc32(decimal: str) -> str:
+    """DuckDB has no crc32: bit by bit over the ASCII digits, unsigned; null for null."""
+    bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(({decimal})::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: {bits}), 4294967295)"
+
+
+def _merkle_sql(levels: int = 12) -> str:
+    """Levels of eight, written out; 12 are enough for 68 thousand million leaves."""
+    said = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(({c})::VARCHAR) || ':' || {c} END"
+    row = lambda text: "sha256(" + " || ".join(map(said, (*FIELDS[:-1], text))) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"l AS (SELECT doc_id, lang, {row('text')} AS leaf, CASE WHEN {_crc32('doc_id')} % 3 = 0 THEN {row(lower)} END AS other FROM documents)",
+        "n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS w FROM l)",
+        "a0 AS (SELECT lang, i, w, leaf AS d FROM n)", "s0 AS (SELECT *, i AS k, '' AS proof, coalesce(other, leaf) AS f FROM n)",
+    ]
+
+    def up(nodes: str, rows: str, group: str, x: int) -> list[str]:
+        run = f"{group} IS NOT DISTINCT FROM r.{group} AND" if group else ""
+        by = f"{group}, " if group else ""
+        return [
+            f"{nodes}r{x} AS (SELECT {by}i // 8 AS i, any_value(w) AS w, list(d ORDER BY i) AS ds FROM {nodes}{x} GROUP BY {by}i // 8)",
+            f"{nodes}{x + 1} AS (SELECT {by}i, (w + 7) // 8 AS w, CASE WHEN w > 1 THEN sha256(array_to_string(ds, '')) ELSE ds[1] END AS d FROM {nodes}r{x})",
+            f"{rows}{x + 1} AS (SELECT s.* REPLACE (s.k // 8 AS k, CASE WHEN r.w > 1 THEN proof || array_to_string(ds[:k % 8], '') || array_to_string(ds[k % 8 + 2:], '') ELSE proof END AS proof, CASE WHEN r.w > 1 THEN sha256(array_to_string(ds[:k % 8], '') || f || array_to_string(ds[k % 8 + 2:], '')) ELSE f END AS f) FROM {rows}{x} s JOIN {nodes}r{x} r ON {'s.' + run if run else ''} s.k // 8 = r.i)",
+        ]
+
+    for x in range(levels):
+        ctes += up("a", "s", "lang", x)
+    ctes.append(f"b0 AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS w, d FROM a{levels})")
+    ctes.append(f"t0 AS (SELECT s.* REPLACE (b.i AS k), b.d AS subroot FROM s{levels} s JOIN b0 b ON s.lang IS NOT DISTINCT FROM b.lang)")
+    for x in range(levels):
+        ctes += up("b", "t", "", x)
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = d AS verified FROM t{levels}, b{levels}"
+
+
+OP13 = f"""
+WITH c AS (
+  SELECT conv_id, list({{r: coalesce(role, ''), t: coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS t, {_crc32('conv_id')} % 9 AS h
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), b AS (
+  SELECT c.conv_id, list_concat(coalesce(o.t, [])[:c.h], c.t[c.h + 1:]) AS t FROM c LEFT JOIN c o ON o.conv_id = c.conv_id - c.conv_id % 5
+), p AS (
+  SELECT conv_id, len(t) AS total, d, sha256(list_transform(t[:d], lambda x: [x.r, x.t])::VARCHAR || '/' || list_transform(t[:d], lambda x: [len(x.r), len(x.t)])::VARCHAR) AS k, strlen(t[d].t) AS n, t
+  FROM b, unnest(range(0, len(t) + 1)) AS x(d)
+), k AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(any_value(n), 0) AS saved, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (total = d), '')) AS ends_sha256 FROM p GROUP BY k, d
+), up AS (
+  SELECT k.k, a.k AS above, a.d AS lvl FROM k JOIN p a ON a.conv_id = k.conv_id AND a.d <= k.d
+), kids AS (
+  SELECT above AS k, count(*) AS n_children FROM up JOIN k USING (k) WHERE lvl = d - 1 GROUP BY above
+), sums AS (
+  SELECT above AS k, count(*) FILTER (n_children IS NULL) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up JOIN k USING (k) LEFT JOIN kids USING (k) GROUP BY above
+)
+SELECT k.conv_id, k.d AS depth, par.conv_id AS parent_conv_id, k.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, k.ends_sha256
+FROM k JOIN sums USING (k) LEFT JOIN kids USING (k) LEFT JOIN up u ON u.k = k.k AND u.lvl = k.d - 1 LEFT JOIN k par ON par.k = u.above
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat, op2_pii, op3_mix, op4_secrets, op5_bpe, op6_toxicity, op7_simhash, op8_ann, op9_syncmers, op10_urls)}
+    return {f.__name__: f for f in (op1_chat, op2_pii, op3_mix, op4_secrets, op5_bpe, op6_toxicity, op7_simhash, op8_ann, op9_syncmers, op10_urls, op11_langid, op12_merkle, op13_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1, "op3_mix": OP3, "op10_urls": OP10}
+    return {"op1_chat": OP1, "op3_mix": OP3, "op10_urls": OP10, "op12_merkle": _merkle_sql(), "op13_trie": OP13}
