@@ -113,8 +113,16 @@ def plain_manifest(rows):
     return out
 
 
+@pytest.fixture
+def spread(spark):
+    """Small shuffles stay in as many partitions as on a cluster."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("rows,langs", [(3, 4), (20, 2), (7, 40), (1000, 9), (5, 1)])
-def test_manifest_by_levels(spark, rows, langs):
+def test_manifest_by_levels(spark, spread, rows, langs):
     """Partitions of any size, groups within one and over many of them, ids missing, repeated and alike in all."""
     random.seed(rows)
     data = [(random.choice([None, *range(200)]), random.choice([None, *[f"l{'é' * (i % 3)}{i}" for i in range(langs)]]), random.choice([None, "", f"text {i}", "same"])) for i in range(150)]
@@ -190,7 +198,7 @@ def trie_rows(df, **how):
 
 
 @pytest.mark.parametrize("block,rows,parts", [(1024, 100_000, 2), (3, 7, 3), (1, 50, 1)])
-def test_trie_by_definition(spark, block, rows, parts):
+def test_trie_by_definition(spark, spread, block, rows, parts):
     """Shared openings, copies, turns missing or alike, short and absent bases, one long conversation; blocks of any size."""
     random.seed(block)
     turns = []

@@ -109,16 +109,13 @@ def train(docs: DataFrame, allowed: Column | None = None, most: int = 300, langu
     """
     rows = training_rows(docs, F.lit(True) if allowed is None else allowed, most, languages, longest, id, text, lang)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts: dict[str, list[str]] = {}
-            for name, t in zip(batch.column("lang").to_pylist(), batch.column("t").to_pylist()):
-                texts.setdefault(name, []).append(t)
-            for name, own in texts.items():
-                c = gram_counts(own)
-                yield pa.RecordBatch.from_pydict({"lang": [name] * len(c), "gram": list(c), "n": list(c.values())}, schema=pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())]))
-
-    found = rows.repartition("lang", "k").select("lang", "t").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    def count(part: pa.Table) -> pa.Table:
+        c = gram_counts(part.column("t").to_pylist())
+        return pa.table({"lang": pa.array([part.column("lang")[0].as_py()] * len(c), pa.string()), "gram": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
+
+    # A sixteenth of a language's sample at a time.
+    parts = rows.withColumn("part", F.col("k") % 16).groupBy("lang", "part").applyInArrow(count, "lang string, gram string, n long")
+    found = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = found.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= ranks)
     profiles: dict[str, list[str]] = {}
     for r in sorted(best.select("lang", "gram", "k").collect(), key=lambda r: (r["lang"], r["k"])):

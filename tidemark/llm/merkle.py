@@ -100,7 +100,7 @@ def placed(df: DataFrame, group: str, order: list[str], rows: int) -> tuple[Data
     parts = max(1, -(-df.count() // rows))
     keys = [group, *order, "_salt"]
     ranged = df.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    leaves = cut(ranged.drop("_salt").withColumn("_part", F.spark_partition_id()))
+    leaves = cut(ranged.drop("_salt").withColumn("_part", F.spark_partition_id().cast("long")))
     runs = leaves.groupBy(group, "_part").agg(F.count("*").alias("n"))
     own = Window.partitionBy(group)
     runs = runs.select(F.struct(group).alias("g"), "_part", "n", F.coalesce(F.sum("n").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(own).alias("total"), (F.min("_part").over(own) == F.col("_part")).cast("long").alias("new"))
