@@ -19,6 +19,11 @@ from .sources import bars as B
 from .sources import fixtures as X
 
 
+#: How registered queries spread series over tasks: rows are dealt by a time, then blocks have so many rows.
+HOURLY = {"block": "to_date(ts)", "rows": 512}
+TICKS = {"block": "date_trunc('HOUR', ts)", "rows": 16_384}
+
+
 def rounded(c: Column | str) -> Column:
     """To 6 digits, halves (and what is within 1e-9 below) upwards."""
     return F.floor((F.col(c) if isinstance(c, str) else c) * 1e6 + 0.501).cast("double") / 1e6
@@ -33,7 +38,7 @@ def _indicator(id: str) -> Callable:
     names = [f.lower() for f in spec.feeds]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _shown(O.with_feeds(B.event_bars(spark, sf_dir), list(spec.feeds), keep=("symbol", "ts")), names)
+        return _shown(O.with_feeds(B.event_bars(spark, sf_dir), list(spec.feeds), keep=("symbol", "ts"), **HOURLY), names)
 
     run.__doc__ = f"{id} on hourly bars of events."
     return run
@@ -43,7 +48,7 @@ def _steps(**steps: Callable[[Plan], str]) -> Callable:
     """A query of planner steps, by column name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        plan = Plan()
+        plan = Plan(**HOURLY)
         return _shown(plan.run(B.event_bars(spark, sf_dir), {n: make(plan) for n, make in steps.items()}, ("symbol", "ts")), list(steps))
 
     return run
@@ -51,7 +56,7 @@ def _steps(**steps: Callable[[Plan], str]) -> Callable:
 
 def _tree(tree: dict) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _shown(ast.evaluate(B.event_bars(spark, sf_dir), tree), ["signal"])
+        return _shown(ast.evaluate(B.event_bars(spark, sf_dir), tree, **HOURLY), ["signal"])
 
     return run
 
@@ -59,7 +64,7 @@ def _tree(tree: dict) -> Callable:
 def _component(id: str) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         name = id.replace(".", "_")
-        return _shown(components.with_components(B.event_bars(spark, sf_dir), [id]), [name])
+        return _shown(components.with_components(B.event_bars(spark, sf_dir), [id], **HOURLY), [name])
 
     return run
 
@@ -130,7 +135,7 @@ _COMPONENT_SQL = {
 
 def bb_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars whose close is outside the Bollinger bands: windows only."""
-    out = O.with_feeds(B.event_bars(spark, sf_dir), ["IND_BB", "IND_BB_UPPER", "IND_BB_LOWER"])
+    out = O.with_feeds(B.event_bars(spark, sf_dir), ["IND_BB", "IND_BB_UPPER", "IND_BB_LOWER"], **HOURLY)
     signal = F.when(F.col("close") > F.col("ind_bb_upper"), 1.0).when(F.col("close") < F.col("ind_bb_lower"), -1.0).otherwise(0.0)
     return out.select("symbol", "ts", "close", rounded("ind_bb_upper").alias("upper"), rounded("ind_bb_lower").alias("lower"), signal.alias("breakout"))
 
@@ -144,15 +149,25 @@ def bars_daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All feeds at once: one shuffle by series after the bars, one grouped map."""
+    """All feeds at once, over blocks of the series."""
     names = O.feed_ids()
-    return _shown(O.with_feeds(B.event_bars(spark, sf_dir), names, keep=("symbol", "ts")), [n.lower() for n in names])
+    return _shown(O.with_feeds(B.event_bars(spark, sf_dir), names, keep=("symbol", "ts"), **HOURLY), [n.lower() for n in names])
 
 
 def tick_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feeds of all three classes on every tick as a bar of its own."""
     ticks = B.tick_bars(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", "value")
-    return O.with_feeds(ticks, ["IND_SMA", "IND_EMA", "IND_RSI", "IND_MACD", "IND_BB_UPPER", "IND_ATR", "IND_SUPERTREND", "IND_OBV"], keep=("symbol", "ts"))
+    return _shown(O.with_feeds(ticks, TICK_FEEDS, keep=("symbol", "ts"), **TICKS), [f.lower() for f in TICK_FEEDS])
+
+
+TICK_FEEDS = ["IND_SMA", "IND_EMA", "IND_RSI", "IND_MACD", "IND_BB_UPPER", "IND_ATR", "IND_SUPERTREND", "IND_OBV"]
+
+
+def _feeds_sql(feeds: list[str], sql: dict[str, str]) -> str:
+    """The feeds' own SQL side by side."""
+    parts = {O.FEEDS[f][0]: sql[O.FEEDS[f][0]] for f in feeds}
+    joined = " JOIN ".join(f"({q}) q{i}" + (" USING (symbol, ts)" if i else "") for i, q in enumerate(parts.values()))
+    return f"SELECT symbol, ts, {', '.join(f.lower() for f in feeds)} FROM {joined}"
 
 
 def _features(texts: DataFrame, id: str) -> DataFrame:
@@ -298,7 +313,7 @@ def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ema_cross_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sweep.ema_cross_sweep(B.event_bars(spark, sf_dir), [5, 10, 20], [20, 30, 60])
+    out = sweep.ema_cross_sweep(B.event_bars(spark, sf_dir), [5, 10, 20], [20, 30, 60], **HOURLY)
     return out.withColumn("mean_return", rounded("mean_return"))
 
 
@@ -482,6 +497,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     out = {
         "bb_breakout": R.query([{"m": R.avg("close", 20), "s": R.full("stddev_pop", "close", 20)}], {"upper": "m + 2 * s", "lower": "m - 2 * s"}).replace("SELECT symbol, ts, floor", "SELECT symbol, ts, close, CASE WHEN close > m + 2 * s THEN 1.0::DOUBLE WHEN close < m - 2 * s THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS breakout, floor"),
+        "all_feeds": _feeds_sql(O.feed_ids(), R.indicator_sql()), "tick_feeds": _feeds_sql(TICK_FEEDS, R.indicator_sql(R.TICKS)),
         "bars_hourly": "WITH " + R.BARS.split(", l0 AS")[0] + " SELECT * FROM bars",
         "bars_daily_orders": "SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS ts, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close, count(*)::DOUBLE AS volume FROM orders WHERE o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1, 2",
         "text_features": _text_sql(f"(VALUES {X.values(X.TEXTS)}) x(id, text)", "id"), "document_features": _text_sql("documents", "doc_id"), "document_audit": _audit_sql("documents", "doc_id"), "text_audit": _audit_sql(f"(VALUES {X.values(X.TEXTS)}) x(id, text)", "id"),

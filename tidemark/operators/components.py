@@ -6,7 +6,7 @@ import json
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, safe_div
@@ -96,11 +96,7 @@ def _atr_stop(p: Plan, atr_period: int = 14, k: float = 2.0) -> str:
 
 
 def _time_exit(p: Plan, bars: int = 20) -> str:
-    return p.col(("time exit", bars), (), lambda: F.when(F.row_number().over(p.window) >= bars, 1.0).otherwise(0.0))
-
-
-def _whole_mean(p: Plan, x: str) -> str:
-    return p.col(("whole mean", x), (x,), lambda: F.avg(x).over(Window.partitionBy(*p.keys)))
+    return p.expr(lambda row: F.when(row >= bars - 1, 1.0).otherwise(0.0), p.place(), key=("time exit", bars))
 
 
 def _scaled(atr: Column, base: Column, risk: float) -> Column:
@@ -110,7 +106,7 @@ def _scaled(atr: Column, base: Column, risk: float) -> Column:
 def _atr_scaled(p: Plan, risk_pct: float = 0.01, atr_period: int = 14) -> str:
     """Looks ahead by definition: the mean is that of the whole series."""
     atr = p.rma(p.true_range(), atr_period)
-    return p.expr(lambda a, b: _scaled(a, b, risk_pct), atr, _whole_mean(p, atr), key=("scaled", risk_pct))
+    return p.expr(lambda a, b: _scaled(a, b, risk_pct), atr, p.whole_mean(atr), key=("scaled", risk_pct))
 
 
 def _atr_scaled_causal(p: Plan, risk_pct: float = 0.01, atr_period: int = 14) -> str:
@@ -149,9 +145,9 @@ def generate_from_primitive(spark, feed: str, pillar: str, path: str) -> Compone
     return synthesize_component(spark, {"kind": "indicator", "id": feed}, f"{pillar}.{feed.lower()}", pillar, path, (feed,))
 
 
-def with_components(df: DataFrame, components: list[str | tuple[str, dict]], keys: tuple[str, ...] = ("symbol",), order: str = "ts", manifest: str | None = None) -> DataFrame:
+def with_components(df: DataFrame, components: list[str | tuple[str, dict]], keys: tuple[str, ...] = ("symbol",), order: str = "ts", manifest: str | None = None, block: Column | str | None = None, rows: int = 65_536) -> DataFrame:
     """df with a double column for each component, named by its id with _ for dots; all in one plan."""
-    plan, out = Plan(keys, order), {}
+    plan, out = Plan(keys, order, block, rows), {}
     for c in components:
         id, params = (c, {}) if isinstance(c, str) else c
         if id in BUILDERS:

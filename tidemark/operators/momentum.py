@@ -27,7 +27,8 @@ def gains(p: Plan) -> tuple[str, str]:
 
 
 def rsi_step(p: Plan, period: int) -> str:
-    return p.kernel(("rsi", period), gains(p), lambda g, x: K.rsi(g, x, period))[0]
+    gain, loss = gains(p)
+    return p.kernel("rsi", (p.rma(gain, period), p.rma(loss, period)), K.rsi)[0]
 
 
 @indicator("IND_RSI", "momentum", "R", {"period": P(14, 2, 200)}, phrases=("rsi", "relative strength index", "relative strength"))
@@ -83,31 +84,23 @@ def dpo(p: Plan, period: int):
 
 @indicator("IND_TSI", "momentum", "R", {"long": P(25, 2, 400), "short": P(13, 1, 200), "signal": P(13, 1, 200)}, phrases=("tsi", "true strength index"))
 def tsi(p: Plan, long: int, short: int, signal: int):
-    def run(d):
-        twice = lambda x: K.ema(K.ema(x, long), short)
-        return 100.0 * K.ema(K.divide(twice(d), twice(np.abs(d))), signal)
-
-    return p.kernel(("tsi", long, short, signal), (p.change("close"),), run)
+    d = p.change("close")
+    twice = lambda x: p.ema(p.ema(x, long), short)
+    share = p.kernel("divide", (twice(d), twice(p.expr(F.abs, d, key="abs"))), K.divide)[0]
+    return p.kernel("percent", (p.ema(share, signal),), lambda x: 100.0 * x)[0]
 
 
 @indicator("IND_FISHER", "momentum", "R", {"period": P(9, 2, 100)}, ("high", "low"), phrases=("fisher transform", "fisher"))
 def fisher(p: Plan, period: int):
     x = hl2(p)
     place = p.expr(lambda v, lo, hi: clip(safe_div(v - lo, hi - lo, 0.5) * 2 - 1, -0.999, 0.999), x, p.low(x, period), p.high(x, period), key="fisher")
-
-    def run(n):
-        wave = 0.5 * np.log((1 + n) / (1 - n))
-        smooth = K.scan(0.66 * wave, 0.5) * 1.67
-        return K.scan(0.5 * wave + 0.67 * np.clip(smooth, -1.9, 1.9), 0.5)
-
-    return p.kernel(("fisher", place), (place,), run)
+    wave = p.expr(lambda n: F.ln((n + 1) / (1 - n)) * 0.5, place, key="wave")
+    smooth = p.scan(p.expr(lambda w: w * 0.66, wave, key=("times", 0.66)), 0.5)
+    return p.scan(p.kernel("fisher", (wave, smooth), lambda w, s: 0.5 * w + 0.67 * np.clip(1.67 * s, -1.9, 1.9))[0], 0.5)
 
 
 @indicator("IND_CONNORS_RSI", "momentum", "R", {"period": P(3, 1, 50), "rsi_period": P(3, 2, 50), "streak": P(2, 1, 20)}, phrases=("connors rsi", "connors", "composite rsi"))
 def connors_rsi(p: Plan, period: int, rsi_period: int, streak: int):
     """A short RSI plus smoothed up days less smoothed down days; ``period`` is declared but has no effect."""
-
-    def run(gain, loss):
-        return K.rsi(gain, loss, rsi_period) + K.scan((gain > 0).astype(float), 1 / streak) - K.scan((loss > 0).astype(float), 1 / streak)
-
-    return p.kernel(("connors", rsi_period, streak), gains(p), run)
+    up, down = (p.rma(p.expr(lambda x: (x > 0).cast("double"), x, key="positive"), streak) for x in gains(p))
+    return p.kernel("connors", (rsi_step(p, rsi_period), up, down), lambda r, a, b: r + a - b)[0]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from ..plans.planner import Plan
 
@@ -104,13 +104,14 @@ def plan_feed(plan: Plan, feed: str, params: dict | None = None, columns: tuple[
     return steps[spec.lines.index(line)]
 
 
-def with_feeds(df: DataFrame, feeds: list[str | tuple[str, dict]], keys: tuple[str, ...] = ("symbol",), order: str = "ts", keep: tuple[str, ...] | None = None) -> DataFrame:
+def with_feeds(df: DataFrame, feeds: list[str | tuple[str, dict]], keys: tuple[str, ...] = ("symbol",), order: str = "ts", keep: tuple[str, ...] | None = None, block: Column | str | None = None, rows: int = 65_536) -> DataFrame:
     """df with a double column for each feed, named by its lower-cased id.
 
     feeds: ids, or (id, parameters) pairs, or (id, parameters, column name) triples.  Rows of one series need distinct
-    ``order`` values.
+    ``order`` values.  With ``block``, a column that does not fall as ``order`` rises (a day, say), series are spread over
+    blocks of ``rows`` rows; without it a series is one group.
     """
-    plan = Plan(keys, order)
+    plan = Plan(keys, order, block, rows)
     outputs = {}
     for feed in feeds:
         id, params, name = (feed, None, None) if isinstance(feed, str) else (*feed, None)[:3]

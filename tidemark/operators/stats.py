@@ -17,10 +17,10 @@ def zscore(p: Plan, period: int):
 
 @indicator("IND_HURST", "stats", "W", {"period": P(100, 10, 1000)}, phrases=("hurst exponent", "hurst", "hurst exponent ratio"))
 def hurst(p: Plan, period: int):
-    return p.kernel(("hurst", period), ("close",), lambda x: K.hurst(x, period))
+    return p.kernel(("hurst", period), ("close",), lambda x: K.hurst(x, period), back=period - 1)[0]
 
 
 @indicator("IND_RCI", "stats", "W", {"period": P(9, 2, 200)}, phrases=("rank correlation index", "rci", "rank correlation", "percent rank"))
 def rci(p: Plan, period: int):
     """Percent of the window's other closes that are below the last one (the documented rank)."""
-    return p.col(("rci", period), ("close",), lambda: F.when(F.count("close").over(p.frame(period)) == period, F.size(F.filter(F.collect_list("close").over(p.frame(period)), lambda x: x < F.col("close"))) * 100.0 / (period - 1)))
+    return p.col(("rci", period), ("close",), lambda: F.when(F.count("close").over(p.frame(period)) == period, F.size(F.filter(F.collect_list("close").over(p.frame(period)), lambda x: x < F.col("close"))) * 100.0 / (period - 1)), period - 1)

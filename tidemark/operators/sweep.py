@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.planner import Plan
 from .components import Component
 
 
@@ -21,7 +22,7 @@ def grid(spark: SparkSession, component: Component, most: int = 100_000) -> Data
     The product of the axes is known here, and more than ``most`` sets are refused; axes are crossed as literal arrays.
     """
     axes = {name: [round(g["lo"] + i * g["step"], 6) for i in range(int((g["hi"] - g["lo"]) / g["step"] + 1e-9) + 1)] for name, g in pillar_grid(component).items()}
-    total = int(np.prod([len(a) for a in axes.values()])) if axes else 1
+    total = math.prod(len(a) for a in axes.values())
     if total > most:
         raise ValueError(f"{total} parameter sets are more than {most}")
     out, radix = spark.range(total).withColumnRenamed("id", "param_id"), total
@@ -32,35 +33,25 @@ def grid(spark: SparkSession, component: Component, most: int = 100_000) -> Data
     return out
 
 
-def ema_cross_sweep(bars: DataFrame, fasts: list[int], slows: list[int], keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
+def ema_cross_sweep(bars: DataFrame, fasts: list[int], slows: list[int], keys: tuple[str, ...] = ("symbol",), order: str = "ts", block: Column | str | None = None, rows: int = 65_536) -> DataFrame:
     """Per series and (fast, slow) with fast < slow: bars, entries up and down, and the mean one-bar return held.
 
-    Each EMA is computed once per series, for all sets that use it, and a group sends back one row per set, not one per
-    bar.  Held is the last entry's sign, from the bar after it.
+    Each EMA is computed once per series, for all sets that use it, and a task sends on one row per set and series, not
+    one per bar.  Held is the last entry's sign, from the bar after it.
     """
-    pairs = [(f, s) for f in fasts for s in slows if f < s]
-
-    def run(series: pd.DataFrame) -> pd.DataFrame:
-        from ..functions.kernels import ema
-
-        series = series.sort_values(order, kind="stable")
-        close = series["close"].to_numpy(float)
-        lines = {n: ema(close, n) for n in {*fasts, *slows}}
-        gain = np.diff(close) / np.where(close[:-1] == 0, 1.0, close[:-1]) if len(close) > 1 else np.zeros(0)
-        rows = []
-        for f, s in pairs:
-            diff = lines[f] - lines[s]
-            up = np.flatnonzero((diff[1:] > 0) & (diff[:-1] <= 0)) + 1
-            down = np.flatnonzero((diff[1:] < 0) & (diff[:-1] >= 0)) + 1
-            signal = np.zeros(len(close))
-            signal[up], signal[down] = 1.0, -1.0
-            last = np.maximum.accumulate(np.where(signal != 0, np.arange(len(close)), 0)) if len(close) else np.zeros(0, int)
-            held = signal[last][:-1] if len(close) else np.zeros(0)
-            rows.append((*(series[k].iloc[0] for k in keys), f, s, len(close), len(up), len(down), float((held * gain).mean()) if len(gain) else None))
-        return pd.DataFrame(rows, columns=[*keys, "fast", "slow", "bars", "ups", "downs", "mean_return"])
-
-    schema = ", ".join([*(f"{k} {bars.schema[k].dataType.simpleString()}" for k in keys), "fast int, slow int, bars long, ups long, downs long, mean_return double"])
-    return bars.select(*keys, order, "close").groupBy(*keys).applyInPandas(run, schema)
+    plan, outputs, sets = Plan(keys, order, block, rows), {}, []
+    outputs["gain"] = plan.expr(lambda c, b: (c - b) / F.when(b == 0, 1.0).otherwise(b), "close", plan.lag("close"), key="gain")
+    for f in fasts:
+        for s in slows:
+            if f < s:
+                apart = plan.expr(lambda a, b: a - b, plan.ema("close", f), plan.ema("close", s), key="diff")
+                entry = plan.expr(lambda x, b: F.when((x > 0) & (b <= 0), 1.0).when((x < 0) & (b >= 0), -1.0), apart, plan.lag(apart), key="entry")
+                names = f"entry_{f}_{s}", f"held_{f}_{s}"
+                outputs |= dict(zip(names, (entry, plan.lag(plan.running("last", entry)))))
+                sets.append(F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), F.col(names[0]).alias("entry"), F.col(names[1]).alias("held")))
+    each = plan.run(bars, outputs, keys).select(*keys, "gain", F.inline(F.array(*sets)))
+    return each.groupBy(*keys, "fast", "slow").agg(
+        F.count("*").alias("bars"), F.count_if(F.col("entry") == 1).alias("ups"), F.count_if(F.col("entry") == -1).alias("downs"), F.avg(F.coalesce("held", F.lit(0.0)) * F.col("gain")).alias("mean_return"))
 
 
 def surface_decay(results: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.columns import safe_div
-from ..plans.planner import Plan
+from ..plans.planner import ROW, Plan
 from .registry import P, indicator
 
 HLC = ("high", "low", "close")
+minus = np.subtract
 
 
 @indicator("IND_SMA", "trend", "W", {"period": P(20, 1, 500)}, phrases=("sma", "simple moving average", "moving average"))
@@ -43,17 +45,14 @@ def kama(p: Plan, period: int, fast: int, slow: int):
         return F.least(F.greatest(F.pow(ratio * (quick - lazy) + lazy, 2), F.lit(0.0)), F.lit(1.0))
 
     k = p.expr(constant, "close", p.shift("close", period), p.sum(moved, period), key=("kama", fast, slow))
-    return p.kernel(("kama", k), ("close", k), K.scan_step)
+    return p.scan_step("close", k)
 
 
 @indicator("IND_MACD", "trend", "R", {"fast": P(12, 1, 200), "slow": P(26, 2, 400), "signal": P(9, 1, 100)}, lines=("macd", "signal", "hist"), phrases=("macd", "moving average convergence divergence"))
 def macd(p: Plan, fast: int, slow: int, signal: int):
-    def run(c):
-        line = K.ema(c, fast) - K.ema(c, slow)
-        smooth = K.ema(line, signal)
-        return line, smooth, line - smooth
-
-    return p.kernel(("macd", fast, slow, signal), ("close",), run, 3)
+    line = p.kernel("less", (p.ema("close", fast), p.ema("close", slow)), minus, sums=True)[0]
+    smooth = p.ema(line, signal)
+    return line, smooth, p.kernel("less", (line, smooth), minus)[0]
 
 
 @indicator("IND_ADX", "trend", "R", {"period": P(14, 2, 200)}, HLC, ("adx", "plus_di", "minus_di"), ("adx", "average directional index", "directional index", "plus di"))
@@ -61,8 +60,10 @@ def adx(p: Plan, period: int):
     up, down = p.change("high"), p.expr(lambda x: -x, p.change("low"), key="neg")
     one_way = lambda a, b: F.when((a > b) & (a > 0), a).otherwise(0.0)
     tr = p.expr(lambda t, before: F.when(before.isNull(), 0.0).otherwise(t), p.true_range(), p.lag("close"), key="tr0")
-    deps = (p.expr(one_way, up, down, key="dm"), p.expr(one_way, down, up, key="dm"), tr)
-    return p.kernel(("adx", period), deps, lambda a, b, t: K.adx(a, b, t, period), 3)
+    width = p.rma(tr, period)
+    lines = [p.kernel("of range", (p.rma(x, period), width), lambda x, t: 100.0 * x / np.where(t > 0, t, 1.0))[0] for x in (p.expr(one_way, up, down, key="dm"), p.expr(one_way, down, up, key="dm"))]
+    apart = p.kernel("apart", tuple(lines), lambda a, b: 100.0 * K.divide(np.abs(a - b), a + b))[0]
+    return p.rma(apart, period), *lines
 
 
 @indicator("IND_DONCHIAN", "trend", "W", {"period": P(20, 1, 500)}, ("high", "low"), ("middle", "upper", "lower"), ("donchian", "donchian channel", "price channel"))
@@ -79,12 +80,13 @@ def keltner(p: Plan, period: int, atr_period: int, mult: float):
 
 @indicator("IND_SUPERTREND", "trend", "S", {"period": P(10, 1, 200), "mult": P(3.0, 0.1, 20.0)}, HLC, ("line", "direction"), ("supertrend", "super trend"))
 def supertrend(p: Plan, period: int, mult: float):
-    return p.kernel(("supertrend", period, mult), (*HLC, p.true_range()), lambda h, lo, c, t: K.supertrend(h, lo, c, t, period, mult), 2)
+    atr = p.rma(p.true_range(), period)
+    return p.machine(("supertrend", atr, mult), (*HLC, atr), lambda state, h, lo, c, a: K.supertrend(state, h, lo, c, a, mult), 2)
 
 
 @indicator("IND_PSAR", "trend", "S", {"start": P(0.02, 0.001, 0.2), "increment": P(0.02, 0.0, 0.2), "maximum": P(0.2, 0.01, 1.0)}, ("high", "low"), ("sar", "reverse"), ("psar", "parabolic sar", "stop and reverse", "parabolic"))
 def psar(p: Plan, start: float, increment: float, maximum: float):
-    return p.kernel(("psar", start, increment, maximum), ("high", "low"), lambda h, lo: K.psar(h, lo, start, increment, maximum), 2)
+    return p.machine(("psar", start, increment, maximum), ("high", "low"), lambda state, h, lo: K.psar(state, h, lo, start, increment, maximum), 2)
 
 
 # Known by name only in the reference; built from their public definitions.  Periods are the usual textbook ones.
@@ -92,38 +94,27 @@ def psar(p: Plan, start: float, increment: float, maximum: float):
 
 @indicator("IND_DEMA", "trend", "R", {"span": P(20, 1, 500)}, phrases=("dema", "double exponential moving average"))
 def dema(p: Plan, span: int):
-    def run(c):
-        one = K.ema(c, span)
-        return 2 * one - K.ema(one, span)
-
-    return p.kernel(("dema", span), ("close",), run)
+    one = p.ema("close", span)
+    return p.kernel("dema", (one, p.ema(one, span)), lambda a, b: 2 * a - b)[0]
 
 
 @indicator("IND_TEMA", "trend", "R", {"span": P(20, 1, 500)}, phrases=("tema", "triple exponential moving average"))
 def tema(p: Plan, span: int):
-    def run(c):
-        one = K.ema(c, span)
-        two = K.ema(one, span)
-        return 3 * one - 3 * two + K.ema(two, span)
-
-    return p.kernel(("tema", span), ("close",), run)
+    one = p.ema("close", span)
+    two = p.ema(one, span)
+    return p.kernel("tema", (one, two, p.ema(two, span)), lambda a, b, c: 3 * a - 3 * b + c)[0]
 
 
 @indicator("IND_TRIX", "trend", "R", {"span": P(15, 1, 500)}, phrases=("trix", "triple exponential average"))
 def trix(p: Plan, span: int):
     """One-bar change in percent of the triple EMA; 0 at the first bar."""
-
-    def run(c):
-        three = K.ema(K.ema(K.ema(c, span), span), span)
-        before = K.np.concatenate([three[:1], three[:-1]])
-        return 100.0 * (K.divide(three, before, 1.0) - 1.0)
-
-    return p.kernel(("trix", span), ("close",), run)
+    three = p.ema(p.ema(p.ema("close", span), span), span)
+    return p.kernel("step in percent", (three,), lambda x: 100.0 * (K.divide(x, np.r_[x[:1], x[:-1]], 1.0) - 1.0), back=1)[0]
 
 
 @indicator("IND_MCGINLEY", "trend", "S", {"period": P(14, 1, 500)}, phrases=("mcginley", "mcginley dynamic"))
 def mcginley(p: Plan, period: int):
-    return p.kernel(("mcginley", period), ("close",), lambda c: K.mcginley(c, period))
+    return p.machine(("mcginley", period), ("close",), lambda state, c: K.mcginley(state, c, period))[0]
 
 
 #: Guppy's published short and long spans are 3, 5, 8, 10, 12, 15 and 30, 35, 40, 45, 50, 60; eight lines are addressable.
@@ -145,6 +136,5 @@ def ichimoku(p: Plan, tenkan: int, kijun: int, senkou: int):
 
 @indicator("IND_KALMAN", "trend", "S", {"process": P(1e-5, 1e-12, 1.0), "measurement": P(1e-3, 1e-12, 10.0)}, lines=("line", "error", "gain"), phrases=("kalman", "kalman filter"))
 def kalman(p: Plan, process: float, measurement: float):
-    return p.kernel(("kalman", process, measurement), ("close",), lambda c: K.kalman(c, process, measurement, 1.0), 3)
-
-
+    error, gain = p.kernel(("kalman", process, measurement), (ROW,), lambda rows: K.kalman_gain(rows, process, measurement, 1.0), 2)
+    return p.scan_step("close", gain), error, gain

@@ -77,9 +77,28 @@ def check_stationary(model: str, omega: float, alpha: float, beta: float, gamma:
         raise ValueError(f"{model} needs a persistence below 1, not {alpha + beta + gamma / 2:g}")
 
 
-def _arch(p: Plan, key: tuple, burn_in: int, annualise: int, variance):
-    r = p.expr(log_ratio, "close", p.lag("close"), key="logret")
-    return p.kernel(("arch", *key, burn_in, annualise), (r,), lambda x: K.arch_line(x, burn_in, annualise, variance))
+def _returns(p: Plan) -> str:
+    return p.expr(log_ratio, "close", p.lag("close"), key="logret")
+
+
+def _variance_line(p: Plan, omega: float, alpha: float, beta: float, gamma: float, annualise: int, burn_in: int):
+    """Annualised volatility of h = omega + (alpha + gamma [r' < 0]) r'^2 + beta h', r' and h' of the bar before.
+
+    h begins, at the bar after the burn-in, with the variance of the first burn_in returns, so nothing later than a bar
+    reaches it.  It is a scan with coefficient 1 - beta of the variances that each shock alone would hold it at.  A return
+    missing in the burn-in leaves nothing to begin with.
+    """
+    r, n = _returns(p), max(int(burn_in), 2)
+    early = p.expr(lambda x, i: F.when(i.between(1, n), x), r, p.place(), key=("first", n))
+    count, total, squares = p.running("count", early), p.running("sum", early), p.running("sum", p.expr(lambda x: x * x, early, key="square"))
+    shock = p.expr(lambda x: F.when(x < 0, alpha + gamma).otherwise(alpha) * x * x + omega, r, key=("shock", omega, alpha, gamma))
+
+    def held(row, k, s, q, before):
+        seed = F.greatest(q / n - F.pow(s / n, 2), F.lit(0.0))
+        return F.when(k == n, F.when(row == n + 1, seed).when(row > n + 1, before / (1 - beta)))
+
+    h = p.scan(p.expr(held, p.place(), count, total, squares, p.lag(shock), key=("held", n, beta)), 1 - beta)
+    return p.kernel(("annual", annualise), (h,), lambda x: np.sqrt(np.maximum(x, 0.0)) * math.sqrt(annualise))[0]
 
 
 ARCH = {"annualise": YEAR, "burn_in": P(500, 100, 20000)}
@@ -88,25 +107,21 @@ ARCH = {"annualise": YEAR, "burn_in": P(500, 100, 20000)}
 @indicator("IND_GARCH_11", "volatility", "R", {"omega": P(1e-6, 0.0, 1.0), "alpha": P(0.1, 0.0, 1.0), "beta": P(0.88, 0.0, 1.0), **ARCH}, phrases=("garch", "garch(1,1)", "garch 1,1", "arch model"))
 def garch(p: Plan, omega: float, alpha: float, beta: float, annualise: int, burn_in: int):
     check_stationary("garch", omega, alpha, beta)
-    return _arch(p, ("garch", omega, alpha, beta), burn_in, annualise, lambda r, h: K.garch(r, omega, alpha, beta, h))
+    return _variance_line(p, omega, alpha, beta, 0.0, annualise, burn_in)
 
 
 @indicator("IND_GJR_GARCH_11", "volatility", "S", {"omega": P(1e-6, 0.0, 1.0), "alpha": P(0.05, 0.0, 1.0), "beta": P(0.85, 0.0, 1.0), "gamma": P(0.1, 0.0, 1.0), **ARCH}, phrases=("gjr-garch", "gjr garch", "gjr-garch(1,1)", "leverage garch"))
 def gjr(p: Plan, omega: float, alpha: float, beta: float, gamma: float, annualise: int, burn_in: int):
     check_stationary("gjr", omega, alpha, beta, gamma)
-    return _arch(p, ("gjr", omega, alpha, beta, gamma), burn_in, annualise, lambda r, h: K.garch(r, omega, alpha, beta, h, gamma))
+    return _variance_line(p, omega, alpha, beta, gamma, annualise, burn_in)
 
 
 @indicator("IND_EGARCH_11", "volatility", "S", {"omega": P(0.0, -500.0, 100.0), "alpha": P(0.05, -5.0, 5.0), "gamma": P(0.1, -5.0, 5.0), "beta": P(-0.6, -0.999, 0.0), **ARCH}, phrases=("egarch", "egarch(1,1)", "egarch 1,1", "exponential garch"))
 def egarch(p: Plan, omega: float, alpha: float, gamma: float, beta: float, annualise: int, burn_in: int):
     """omega 0 stands for the one that makes the burn-in's variance the long-run one."""
     check_stationary("egarch", omega, alpha, beta)
-
-    def variance(r, seed):
-        start = omega if omega else math.log(max(seed, 1e-12)) * (1 - beta)
-        return np.exp(K.egarch(r, start, alpha, gamma, beta, seed))
-
-    return _arch(p, ("egarch", omega, alpha, gamma, beta), burn_in, annualise, variance)
+    settings = (omega, alpha, gamma, beta, burn_in, annualise)
+    return p.machine(("egarch", *settings), (_returns(p),), lambda state, r: K.egarch_line(state, r, *settings))[0]
 
 
 @indicator("IND_CHANDELIER", "volatility", "R", {"period": P(22, 1, 200), "mult": P(3.0, 0.1, 20.0)}, HLC, ("long", "short"), ("chandelier exit", "chandelier"))

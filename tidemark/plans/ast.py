@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import floor_at, safe_div
@@ -152,9 +152,9 @@ def plan_node(plan: Plan, node: dict, params: dict) -> str:
     return plan.expr(make, left, other, key=("ast", "div" if op == "ratio" else op))
 
 
-def evaluate(df: DataFrame, tree: object, params: dict | None = None, out: str = "signal", keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
+def evaluate(df: DataFrame, tree: object, params: dict | None = None, out: str = "signal", keys: tuple[str, ...] = ("symbol",), order: str = "ts", block: Column | str | None = None, rows: int = 65_536) -> DataFrame:
     """df with the value of a tree (dict or JSON) in ``out``; params go to every feed in it, so all must know them."""
-    plan = Plan(keys, order)
+    plan = Plan(keys, order, block, rows)
     return plan.run(df, {out: plan_node(plan, validate(tree), params or {})})
 
 
