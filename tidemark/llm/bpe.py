@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import unused, without
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Code points before a chunk's end in which its boundaries can still be wrong (a contraction is three long).
@@ -91,11 +91,12 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: s
     long = F.coalesce(F.length(text), F.lit(0)) > chunk + overlap
     whole = df.where(~long).select(*dict.fromkeys([*keep, text])).mapInArrow(lambda b: run(b, text, keep), T.StructType([*(df.schema[c] for c in keep), ids]))
 
-    rows = df.where(long).withColumn("_text", F.sha2(text, 256))
-    cut_up = pieces(rows.select("_text", F.col(text).alias("_t")), pattern, chunk, overlap)
+    hash = unused(df, "hash")
+    rows = df.where(long).withColumn(hash, F.sha2(text, 256))
+    cut_up = pieces(rows.select(F.col(hash).alias("_text"), F.col(text).alias("_t")), pattern, chunk, overlap)
     coded = cut_up.mapInArrow(lambda b: run(b, "_piece", ("_text", "_n")), T.StructType([cut_up.schema["_text"], cut_up.schema["_n"], ids]))
     joined = coded.groupBy("_text").agg(F.flatten(F.sort_array(F.collect_list(F.struct("_n", out)))[out]).alias(out))
-    return whole.unionByName(rows.select(*keep, "_text").join(joined, "_text").select(*keep, out))
+    return whole.unionByName(rows.select(*keep, hash).join(joined.withColumnRenamed("_text", hash), hash).select(*keep, out))
 
 
 def pieces(texts: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, without
+from .common import text_of, unused, without
 
 # Lengths of IBANs by country.
 IBAN = {
@@ -237,10 +237,11 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", count: str = "n_re
     """
     df = without(df, count)
     names = df.columns
-    found = df.withColumn("_m", F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    found = found.withColumn("_v", F.when(F.size("_m") > 0, F.transform("_m", lambda m: F.struct(m.alias("m"), F.when(~_is(m, "email"), domain(m)).alias("x")))))
-    found = found.withColumn("_p", F.when(F.size("_v") > 0, F.transform("_v", lambda v: F.struct(v["m"].alias("m"), v["x"].alias("x"), F.when(v["x"]["kind"].isNotNull(), permute(v["x"], key)).alias("p")))))
-    found = found.withColumn("_n", F.when(F.size("_p") > 0, F.transform("_p", lambda v: F.when(_is(v["m"], "email"), email(v["m"], key)).when(v["x"]["kind"].isNull(), v["m"]).otherwise(_written(v["m"], v["x"], v["p"])))))
-    new = F.when(F.size("_n") > 0, F.array_join(F.zip_with(F.split(text, ANY, -1), "_n", lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")).otherwise(F.col(text))
-    changed = F.coalesce(F.size(F.filter(F.zip_with("_m", "_n", lambda m, n: m != n), lambda x: x)), F.lit(0))
-    return found.select(*(new.alias(text) if c == text else F.col(f"`{c}`") for c in names), F.when(F.size("_n") > 0, changed).otherwise(0).cast("long").alias(count))
+    m_, v_, p_, n_ = (unused(df, x) for x in ("matches", "values", "permuted", "written"))
+    found = df.withColumn(m_, F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    found = found.withColumn(v_, F.when(F.size(m_) > 0, F.transform(m_, lambda m: F.struct(m.alias("m"), F.when(~_is(m, "email"), domain(m)).alias("x")))))
+    found = found.withColumn(p_, F.when(F.size(v_) > 0, F.transform(v_, lambda v: F.struct(v["m"].alias("m"), v["x"].alias("x"), F.when(v["x"]["kind"].isNotNull(), permute(v["x"], key)).alias("p")))))
+    found = found.withColumn(n_, F.when(F.size(p_) > 0, F.transform(p_, lambda v: F.when(_is(v["m"], "email"), email(v["m"], key)).when(v["x"]["kind"].isNull(), v["m"]).otherwise(_written(v["m"], v["x"], v["p"])))))
+    new = F.when(F.size(n_) > 0, F.array_join(F.zip_with(F.split(text, ANY, -1), n_, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")).otherwise(F.col(text))
+    changed = F.coalesce(F.size(F.filter(F.zip_with(m_, n_, lambda m, n: m != n), lambda x: x)), F.lit(0))
+    return found.select(*(new.alias(text) if c == text else F.col(f"`{c}`") for c in names), F.when(F.size(n_) > 0, changed).otherwise(0).cast("long").alias(count))

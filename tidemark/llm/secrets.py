@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, without
+from .common import text_of, unused, without
 
 #: kind: pattern, the group whose length counts, the least length.
 BASE = {
@@ -66,19 +66,24 @@ def _entropy(index: Column, bound: Column) -> Column:
     """(first, last): start of the first window whose entropy is enough and end of the last; first -1 if none is.
 
     index: the characters' numbers.  A step counts a character in and another out, and the sum of count * log2(count)
-    follows from those two counts alone.
+    follows from those two counts alone.  Counts are at most WINDOW + 1, so twelve of them are kept in one long.
     """
     table = F.array(*(F.lit(_weight(c)) for c in range(WINDOW + 2)))
     w = lambda c: F.get(table, c)
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0).cast("long").alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    each, bits = 12, 5
+    shift = lambda c: F.pmod(c, F.lit(each)) * bits
+    place = lambda c: F.call_function("div", c, F.lit(each))
+    count = lambda n, c: F.call_function("shiftright", F.get(n, place(c)), shift(c)).bitwiseAND(31).cast("int")
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), shift(c))
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // each)).alias("n"), F.lit(0).cast("long").alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
 
     def step(acc: Column, i: Column) -> Column:
         enters, leaves = F.coalesce(F.get(index, i), F.lit(-1)), F.when(i >= WINDOW, F.get(index, i - WINDOW)).otherwise(-1)
         hot = (i >= WINDOW) & (acc["s"] <= bound)  # the window that ended one before
         more = F.when(enters == leaves, F.lit(0)).otherwise(
-            F.when(enters < 0, F.lit(0)).otherwise(w(F.get(acc["n"], enters) + 1) - w(F.get(acc["n"], enters)))
-            + F.when(leaves < 0, F.lit(0)).otherwise(w(F.get(acc["n"], leaves) - 1) - w(F.get(acc["n"], leaves))))
-        counts = F.transform(acc["n"], lambda c, j: c + F.when(j == enters, 1).otherwise(0) - F.when(j == leaves, 1).otherwise(0))
+            F.when(enters < 0, F.lit(0)).otherwise(w(count(acc["n"], enters) + 1) - w(count(acc["n"], enters)))
+            + F.when(leaves < 0, F.lit(0)).otherwise(w(count(acc["n"], leaves) - 1) - w(count(acc["n"], leaves))))
+        counts = F.transform(acc["n"], lambda c, j: c + F.when((enters >= 0) & (j == place(enters)), one(enters)).otherwise(0) - F.when((leaves >= 0) & (j == place(leaves)), one(leaves)).otherwise(0))
         return F.struct(counts.alias("n"), (acc["s"] + more).cast("long").alias("s"), F.when(hot & (acc["first"] < 0), i - WINDOW).otherwise(acc["first"]).alias("first"), F.when(hot, i).otherwise(acc["last"]).alias("last"))
 
     return F.aggregate(F.sequence(F.lit(0), F.size(index)), zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
@@ -94,25 +99,27 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "spans", allow: t
     """
     df = without(df, out)
     kept = df.columns
+    text_, cut_, all_ = (unused(df, x) for x in ("whole", "candidates", "found"))
+    match, starts, sums = ({k: unused(df, f"{x}_{k}") for k in KINDS} for x in ("matches", "starts", "sums"))
     t = text_of(text)
-    now = df.withColumn("_t", t)
+    now = df.withColumn(text_, t)
     found = {}
     for k, (pattern, group, least) in BASE.items():
         use = FAST.get(k, pattern)
-        now = now.withColumn(f"_m_{k}", F.when(F.col("_t").rlike(use), F.regexp_extract_all("_t", F.lit(use), F.lit(0))))
+        now = now.withColumn(match[k], F.when(F.col(text_).rlike(use), F.regexp_extract_all(text_, F.lit(use), F.lit(0))))
         found[k] = (use, group, least)
-    now = now.withColumn("_m_entropy", F.when(F.col("_t").rlike(CANDIDATE), F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0))))
+    now = now.withColumn(match["entropy"], F.when(F.col(text_).rlike(CANDIDATE), F.regexp_extract_all(text_, F.lit(CANDIDATE), F.lit(0))))
     for k in KINDS:
         use = found[k][0] if k in found else CANDIDATE
-        gaps = F.split("_t", use, -1)
-        now = now.withColumn(f"_s_{k}", F.when(F.col(f"_m_{k}").isNotNull(), _starts(gaps, F.col(f"_m_{k}"))))
+        gaps = F.split(text_, use, -1)
+        now = now.withColumn(starts[k], F.when(F.col(match[k]).isNotNull(), _starts(gaps, F.col(match[k]))))
     for k in KINDS:
-        now = now.withColumn(f"_a_{k}", F.when(F.col(f"_s_{k}").isNotNull(), running_sums(F.col(f"_s_{k}"))))
+        now = now.withColumn(sums[k], F.when(F.col(starts[k]).isNotNull(), running_sums(F.col(starts[k]))))
     parts = []
     for number, k in enumerate(BASE):
         use, group, least = found[k]
-        secret = F.regexp_extract_all("_t", F.lit(use), F.lit(group)) if group else F.col(f"_m_{k}")
-        parts.append(F.when(F.col(f"_m_{k}").isNotNull(), _accepted(F.col(f"_a_{k}"), F.col(f"_m_{k}"), secret, number, least)))
+        secret = F.regexp_extract_all(text_, F.lit(use), F.lit(group)) if group else F.col(match[k])
+        parts.append(F.when(F.col(match[k]).isNotNull(), _accepted(F.col(sums[k]), F.col(match[k]), secret, number, least)))
     fits = lambda c, p: c.rlike(rf"\A(?:{p})\z")
     allowed = lambda c: F.expr("false") if not allow else _any(fits(c, p) for p in allow)
 
@@ -122,15 +129,15 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "spans", allow: t
             out = F.when(fits(c, p), F.lit(math.floor(WINDOW * (math.log2(WINDOW) - bits) * _ONE))).otherwise(out)
         return out
 
-    zipped = F.filter(F.arrays_zip(F.col("_a_entropy").alias("at"), F.col("_m_entropy").alias("c")), lambda x: ~allowed(x["c"]))
+    zipped = F.filter(F.arrays_zip(F.col(sums["entropy"]).alias("at"), F.col(match["entropy"]).alias("c")), lambda x: ~allowed(x["c"]))
     index = lambda c: F.transform(F.filter(F.split(c, ""), lambda ch: ch != ""), lambda ch: F.instr(F.lit(ALPHABET), ch) - 1)
-    now = now.withColumn("_c", F.when(F.col("_m_entropy").isNotNull(), F.transform(zipped, lambda x: F.struct(x["at"].alias("at"), bound(x["c"]).alias("bound"), index(x["c"]).alias("index")))))
-    hot = F.filter(F.transform("_c", lambda x: F.struct(x["at"].alias("at"), _entropy(x["index"], x["bound"]).alias("e"))), lambda x: x["e"]["first"] >= 0)
-    parts.append(F.when(F.size("_c") > 0, F.transform(hot, lambda x: F.struct((x["at"] + x["e"]["first"]).alias("start"), F.lit(len(BASE)).alias("kind"), (x["at"] + x["e"]["last"]).alias("end")))))
+    now = now.withColumn(cut_, F.when(F.col(match["entropy"]).isNotNull(), F.transform(zipped, lambda x: F.struct(x["at"].alias("at"), bound(x["c"]).alias("bound"), index(x["c"]).alias("index")))))
+    hot = F.filter(F.transform(cut_, lambda x: F.struct(x["at"].alias("at"), _entropy(x["index"], x["bound"]).alias("e"))), lambda x: x["e"]["first"] >= 0)
+    parts.append(F.when(F.size(cut_) > 0, F.transform(hot, lambda x: F.struct((x["at"] + x["e"]["first"]).alias("start"), F.lit(len(BASE)).alias("kind"), (x["at"] + x["e"]["last"]).alias("end")))))
     kind = "array<struct<start:int,kind:int,end:int>>"
     merged = F.sort_array(F.concat(*(F.coalesce(p.cast(kind), F.array().cast(kind)) for p in parts)))
     names = F.array(*map(F.lit, KINDS))
-    return now.withColumn("_all", merged).select(*kept, F.transform("_all", lambda x: F.struct(F.get(names, x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias(out))
+    return now.withColumn(all_, merged).select(*kept, F.transform(all_, lambda x: F.struct(F.get(names, x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias(out))
 
 
 def _any(conditions) -> Column:

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, without
+from .common import text_of, unused, without
 
 TOKEN, K, S, SLACK = 16, 5, 2, 16
 
@@ -42,20 +42,21 @@ def add_anchors(df: DataFrame, text: str, out: str, positions: bool = False) ->
     pos is the number of the anchor's first token.  A text with tokens but without a closed syncmer (all of 1 to K-1
     tokens, some of few more) has one anchor, of all its tokens; a null text, or one without tokens, has none.
     """
-    df = without(df, out, "_w", "_h", "_a") if out != text else df
-    keep = df.columns
-    split = df.withColumn("_w", tokens(text_of(text)))
-    hashed = split.withColumn("_h", F.transform(F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 1, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_w", i + 1))))
-    last = F.size("_h") - (K - S + 1)
+    df = without(df, out) if out != text else df
+    keep = [c for c in df.columns if c != out]
+    w_, h_, a_ = (unused(df, x) for x in ("tokens", "hashes", "anchors"))
+    split = df.withColumn(w_, tokens(text_of(text)))
+    hashed = split.withColumn(h_, F.transform(F.slice(w_, F.lit(1), F.greatest(F.size(w_) - 1, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(w_, i + 1))))
+    last = F.size(h_) - (K - S + 1)
     index = F.sequence(F.lit(0), last)
-    few = F.when(F.size("_w") > 0, F.array(F.xxhash64(F.array_join("_w", " "))))
+    few = F.when(F.size(w_) > 0, F.array(F.xxhash64(F.array_join(w_, " "))))
     if positions:
-        many = F.filter(F.transform(index, lambda i: F.struct(i.alias("pos"), _anchor(F.col("_h"), i).alias("hash"))), lambda a: a["hash"].isNotNull())
+        many = F.filter(F.transform(index, lambda i: F.struct(i.alias("pos"), _anchor(F.col(h_), i).alias("hash"))), lambda a: a["hash"].isNotNull())
         kind, few = "array<struct<pos:int,hash:bigint>>", F.transform(few, lambda x: F.struct(F.lit(0).alias("pos"), x.alias("hash")))
     else:
-        many, kind = F.array_compact(F.transform(index, lambda i: _anchor(F.col("_h"), i))), "array<bigint>"
-    found = hashed.withColumn("_a", F.when(last >= 0, many))
-    return found.select(*(F.col(f"`{c}`") for c in keep), F.when(F.size("_a") > 0, F.col("_a")).otherwise(F.coalesce(few, F.array().cast(kind))).alias(out))
+        many, kind = F.array_compact(F.transform(index, lambda i: _anchor(F.col(h_), i))), "array<bigint>"
+    found = hashed.withColumn(a_, F.when(last >= 0, many))
+    return found.select(*(F.col(f"`{c}`") for c in keep), F.when(F.size(a_) > 0, F.col(a_)).otherwise(F.coalesce(few, F.array().cast(kind))).alias(out))
 
 
 def firsts(anchors: Column, side: int) -> Column:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import unused, without
 
 #: The rules of the task: verdict, host, path; the host's subdomains count too, and paths that begin so.
 RULES = (
@@ -132,6 +132,7 @@ def judge(df: DataFrame, url: str = "url", rules=RULES, globs=GLOBS) -> DataFram
 
     names = F.array(*(F.lit(h + p) for _, h, p in ranked), *(F.lit(g) for g in globs))
     verdicts = F.array(*(F.lit(v) for v, _, _ in ranked), *(F.lit("block") for _ in globs))
-    found = df.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url))).withColumn("_hit", judged(F.col("host"), F.col("path")))
-    own = F.col("_hit").between(0, len(ranked) - 1)
-    return found.select("*", F.when(own, F.get(names, F.col("_hit"))).alias("rule"), F.when(F.col("_hit") >= len(ranked), F.get(names, F.col("_hit"))).alias("glob"), F.when(F.col("_hit") >= 0, F.get(verdicts, F.col("_hit"))).otherwise("allow").alias("verdict")).drop("_hit")
+    hit = unused(df, "hit")
+    found = df.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url))).withColumn(hit, judged(F.col("host"), F.col("path")))
+    own = F.col(hit).between(0, len(ranked) - 1)
+    return found.select("*", F.when(own, F.get(names, F.col(hit))).alias("rule"), F.when(F.col(hit) >= len(ranked), F.get(names, F.col(hit))).alias("glob"), F.when(F.col(hit) >= 0, F.get(verdicts, F.col(hit))).otherwise("allow").alias("verdict")).drop(hit)
