@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, text_of, unused
 from .simhash import blocks, components, fingerprints_of, forest, keys_first, remixed, spread_join, trie_pairs
 
 #: Two texts are near copies if the Jaccard similarity of their shingle sets is at least NEAR[0] / NEAR[1].
@@ -307,6 +307,13 @@ def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", **how) -> Da
     A row that is repeated in every column stays once; rows of one id that differ somewhere all stay.  Rows with a null
     id all stay: nothing tells which document they are.
     """
-    stay = near_copies(df, id, text, **how).select(F.col("component_id").alias("_stay")).distinct()
-    kept = df.join(stay, df[id] == F.col("_stay"), "left_semi").dropDuplicates()
-    return kept.unionByName(df.where(F.col(id).isNull()))
+    smallest, n, kept_id = near_copies(df, id, text, **how), unused(df, "rows"), unused(df, "kept")
+    sizes = df.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("i")).agg(F.count("*").alias(n))
+    stay = cut(smallest.where(F.col(id) == F.col("component_id")).join(sizes, F.col(id) == F.col("i")).select(F.col("i").alias(kept_id), n))
+    count, most = stay.agg(F.count("*"), F.max(n)).first()
+    # Two numbers a text, at most FEW_TEXTS texts, or a shuffle.
+    kept = df.join(F.broadcast(stay) if count <= FEW_TEXTS else stay, df[id] == F.col(kept_id))
+    once = kept.where(F.col(n) == 1).select(*df.columns)
+    # Only rows of ids that have several can be repeated.
+    out = once.unionByName(kept.where(F.col(n) > 1).select(*df.columns).dropDuplicates()) if (most or 0) > 1 else once
+    return out.unionByName(df.where(F.col(id).isNull()))
