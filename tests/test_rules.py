@@ -19,8 +19,39 @@ def test_indicators(spark):
 
 
 def test_timeframes(spark):
-    df = texts(spark, "15-minute bars", "1 hour", "30 mins", "4hrs", "a 5 d hold", "none", None, "007 days")
-    assert column(df, R.detect_timeframe(F.col("text"), "1h")) == ["15m", "1h", "30m", "4h", "5d", "1h", "1h", "7d"]
+    df = texts(spark, "15-minute bars", "1 hour", "30 mins", "4hrs", "a 5 d hold", "none", None, "007 days", "5 cats in 3 - 4 HOURS", "2 minx 6 min_ 8 Min.", "9  -h")
+    assert column(df, R.detect_timeframe(F.col("text"), "1h")) == ["15m", "1h", "30m", "4h", "5d", "1h", "1h", "7d", "4h", "8m", "1h"]
+
+
+def test_exit_clause(spark):
+    df = texts(spark, "Buy. Take-Profit at 3, then exit", "exitable, existing", "in the İstanbul session EXITS at noon", "", None).withColumn("p", R.split_entry_exit(F.col("text"))).orderBy("id")
+    assert column(df, "p.exit") == ["Take-Profit at 3, then exit", "", "EXITS at noon", "", ""]
+
+
+def test_ranges(spark):
+    good = ["[1, 2]", "1,2", "[1, 2", "1, 2]", " [ -1.5 ,+.5 ] ", "[1,1]", "007,8"]
+    bad = ["[[[1, 2", "1, 2]]]", "[1.,2.]", "[1, 2, 3]", "[1]", "1e3, 2e3", "[a, b]", "[inf, nan]", "[1_0, 2_0]", "[, ]", "[2, 1]", "(1, 2)"]
+    df = texts(spark, *good, *bad)
+    assert [m is None for m in column(df, R.check_cell(F.col("text"), "range"))] == [True] * len(good) + [False] * len(bad)
+
+
+def test_alternates_of_a_large_catalog(spark):
+    """Against the plain ranking,."""
+    import random
+
+    random.seed(5)
+    rows = [(random.choice("ABC"), f"S{random.randrange(40)}", random.choice(["1m", "1h", "1d"])) for _ in range(150)]
+    catalog = spark.createDataFrame(rows, "asset_class string, symbol string, granularity string")
+    asked = [(f"S{i}", g) for i in range(45) for g in ("1m", "1h", "5m")]
+    kind, grains = {}, {}
+    for c, s, g in rows:
+        kind[s] = min(c, kind.get(s, c))
+        grains.setdefault(s, set()).add(g)
+    want = {(a, g): min((g not in grains[s], kind[s] == kind.get(a, ""), s) for s in kind if s != a)[2] for a, g in asked}
+    out = R.alternate_symbols(spark.createDataFrame(asked, "anchor string, timeframe string"), catalog)
+    assert {(r.anchor, r.timeframe): r.alternate for r in out.collect()} == want
+    assert R.alternate_symbols(spark.createDataFrame(asked[:2], "anchor string, timeframe string"), catalog.limit(0)).where("alternate is null").count() == 2
+    assert "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_triggers_stay_in_their_clause(spark):

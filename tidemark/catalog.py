@@ -199,16 +199,19 @@ def _text_sql(source: str, id: str) -> str:
         firsts.setdefault(phrase, feed)
     phrases = X.values([(i, p, f, _bounded(p)) for i, (p, f) in enumerate(firsts.items())])
     trigger = lambda of, table, default: "CASE " + " ".join(f"WHEN regexp_matches(lower({of}), '{_bounded(p)}') THEN '{t}'" for p, t in table) + f" ELSE '{default}' END"
-    marker = V.EXIT_MARKER.replace("(?:", "(")
+    marker = "(?is)^(.*?)\\b(?:" + "|".join(V.EXIT_WORDS) + ")\\b"
+    units = ", ".join(f"'{k}': '{v}'" for k, v in V.UNITS.items())
     return f"""
     WITH t AS (SELECT {id} AS id, coalesce(text, '') AS text FROM {source}), p(o, phrase, feed, pattern) AS (VALUES {phrases}),
     h AS (SELECT id, o, phrase, feed FROM t JOIN p ON contains(lower(text), phrase) AND regexp_matches(lower(text), pattern)),
     k AS (SELECT id, feed, min(o) AS o FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.id = h.id AND length(g.phrase) > length(h.phrase) AND contains(g.phrase, h.phrase)) GROUP BY 1, 2),
     f AS (SELECT id, string_agg(feed, ',' ORDER BY o) AS feeds FROM k GROUP BY 1),
-    s AS (SELECT id, text, regexp_extract(text, '{marker}') AS m FROM t),
-    e AS (SELECT *, CASE WHEN m = '' THEN text ELSE left(text, strpos(text, m) - 1) END AS entry_text, CASE WHEN m = '' THEN '' ELSE substr(text, strpos(text, m)) END AS exit_text FROM s)
+    s AS (SELECT id, text, regexp_matches(text, '{marker}') AS m, length(regexp_extract(text, '{marker}', 1)) AS upto,
+      list_zip(regexp_extract_all(text, '{V.DURATION}', 1), regexp_extract_all(text, '{V.DURATION}', 2)) AS spans FROM t),
+    e AS (SELECT *, CASE WHEN m THEN left(text, upto) ELSE text END AS entry_text, CASE WHEN m THEN substr(text, upto + 1) ELSE '' END AS exit_text,
+      list_filter(spans, lambda x: MAP {{{units}}}[lower(x[2])] IS NOT NULL)[1] AS span FROM s)
     SELECT e.id AS {id}, coalesce(feeds, '') AS feeds,
-      CASE WHEN regexp_matches(text, '{V.TIMEFRAME}') THEN regexp_extract(text, '{V.TIMEFRAME}', 1)::INT::VARCHAR || lower(left(regexp_extract(text, '{V.TIMEFRAME}', 2), 1)) ELSE '1d' END AS timeframe,
+      CASE WHEN span IS NULL THEN '1d' ELSE span[1]::HUGEINT::VARCHAR || MAP {{{units}}}[lower(span[2])] END AS timeframe,
       {trigger('entry_text', V.ENTRY_PHRASES, 'TRIGGER_CROSS_ABOVE')} AS entry, {trigger('exit_text', V.EXIT_PHRASES, 'TRIGGER_CROSS_BELOW')} AS exit
     FROM e LEFT JOIN f ON e.id = f.id"""
 

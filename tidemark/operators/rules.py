@@ -33,7 +33,9 @@ def phrases_in(text: Column, table) -> Column:
 
 def split_entry_exit(text: Column) -> Column:
     """Struct (entry, exit): what is before the first exit marker, and the rest."""
-    at = F.regexp_instr(text, F.lit(V.EXIT_MARKER))
+    words = F.filter(F.array(*map(F.lit, V.EXIT_WORDS)), lambda w: F.contains(F.lower(text), w))
+    found = F.transform(words, lambda w: F.regexp_instr(text, F.concat(F.lit(r"(?i)\b"), w, F.lit(r"\b"))))
+    at = F.coalesce(F.array_min(F.filter(found, lambda i: i > 0)), F.lit(0))
     return F.struct(F.when(at > 0, F.substr(text, F.lit(1), at - 1)).otherwise(text).alias("entry"), F.when(at > 0, F.substr(text, at)).otherwise("").alias("exit"))
 
 
@@ -65,9 +67,11 @@ def detect_indicators(text: Column, table: list[tuple[str, str]] | None = None)
 
 def detect_timeframe(text: Column, fallback: Column | str) -> Column:
     """``15-minute`` as ``15m``; the fallback where no duration is named."""
-    number, unit = (F.regexp_extract(text, V.TIMEFRAME, i) for i in (1, 2))
+    number, word = (F.regexp_extract_all(text, F.lit(V.DURATION), F.lit(i)) for i in (1, 2))
+    units = F.create_map(*(F.lit(x) for pair in V.UNITS.items() for x in pair))
+    named = F.zip_with(number, word, lambda n, w: F.concat(F.regexp_replace(n, r"^0+(?=\d)", ""), F.try_element_at(units, F.lower(w))))
     fallback = F.lit(fallback) if isinstance(fallback, str) else fallback
-    return F.when(F.coalesce(number, F.lit("")) != "", F.concat(F.regexp_replace(number, r"^0+(?=\d)", ""), F.lower(F.substring(unit, 1, 1)))).otherwise(fallback)
+    return F.coalesce(F.get(F.filter(named, lambda x: x.isNotNull()), F.lit(0)), fallback)
 
 
 def risk_union(tags: Column) -> Column:
@@ -126,14 +130,18 @@ def alternate_symbols(anchors: DataFrame, catalog: DataFrame) -> DataFrame:
     """anchors (anchor, timeframe) with alternate: a symbol with data of that timeframe first, then of another asset
     class, then by name; null if the catalog holds no other.
 
-    The catalog is a dimension: its symbols are one row with an array, which is broadcast.
+    What an anchor can get are the first two names of each asset class, of those with data of its timeframe and of all,
+    so it meets one row for its timeframe and the one row for all: two names a class, however large the catalog is.
     """
-    symbols = catalog.groupBy("symbol").agg(F.min("asset_class").alias("asset_class"), F.collect_set("granularity").alias("grains"))
-    every = symbols.agg(F.collect_list(F.struct("symbol", "asset_class", "grains")).alias("every"))
-    own = lambda c: F.get(F.filter("every", lambda x: x["symbol"] == F.col("anchor")), F.lit(0))["asset_class"]
-    rank = lambda x: F.struct((~F.array_contains(x["grains"], F.col("timeframe"))).alias("lacks"), (x["asset_class"] == F.coalesce(F.col("own"), F.lit(""))).alias("same"), x["symbol"].alias("symbol"))
-    named = anchors.join(F.broadcast(every)).withColumn("own", own(None))
-    return named.withColumn("alternate", F.array_min(F.transform(F.filter("every", lambda x: x["symbol"] != F.col("anchor")), rank))["symbol"]).drop("every", "own")
+    symbols = catalog.groupBy("symbol").agg(F.min("asset_class").alias("class"))
+    kinds = catalog.select("symbol", F.col("granularity").alias("g")).distinct().unionByName(symbols.select("symbol", F.lit(None).cast("string").alias("g")))
+    first = Window.partitionBy("g", "class").orderBy("symbol")
+    best = kinds.join(symbols, "symbol").withColumn("n", F.row_number().over(first)).where("n <= 2").groupBy("g").agg(F.collect_list(F.struct("symbol", "class")).alias("best"))
+    own = symbols.select(F.col("symbol").alias("anchor"), F.col("class").alias("own"))
+    have, every = best.where("g is not null").select(F.col("g").alias("timeframe"), F.col("best").alias("have")), best.where("g is null").select(F.col("best").alias("every"))
+    named = anchors.join(own, "anchor", "left").join(have, "timeframe", "left").join(F.broadcast(every), how="left")
+    rank = lambda c, lacks: F.transform(F.filter(F.coalesce(c, F.array()), lambda x: x["symbol"] != F.col("anchor")), lambda x: F.struct(F.lit(lacks).alias("lacks"), (x["class"] == F.coalesce("own", F.lit(""))).alias("same"), x["symbol"].alias("symbol")))
+    return named.select(*(F.col(c) for c in anchors.columns), F.array_min(F.concat(rank(F.col("have"), False), rank(F.col("every"), True)))["symbol"].alias("alternate"))
 
 
 # --- feasibility
@@ -230,8 +238,11 @@ def check_cell(value: Column, kind: str) -> Column:
     elif kind == "percent":
         wrong = F.when(~number(F.trim(F.rtrim(text, F.lit("%")))), quoted("' is not a percent"))
     elif kind == "range":
-        low, high = (F.regexp_extract(text, V.RANGE, i).try_cast("double") for i in (1, 2))
-        wrong = F.when(~text.rlike(V.RANGE), quoted("' is not a [min, max] range")).when(low > high, F.concat(F.lit("range "), text, F.lit(": lower bound > upper bound")))
+        # Two plain numbers, without exponents and ending in a digit; a bracket or none on either side.
+        ends = F.transform(F.split(F.regexp_replace(F.regexp_replace(text, r"^\[", ""), r"\]$", ""), ",", -1), lambda e: F.btrim(e, F.lit(" \t\r\n\x0b\x0c")))
+        plain = lambda e: number(e) & e.rlike("[0-9]$") & ~e.rlike("[^0-9.+-]")
+        low, high = (F.get(ends, F.lit(i)).try_cast("double") for i in (0, 1))
+        wrong = F.when((F.size(ends) != 2) | ~F.forall(ends, plain), quoted("' is not a [min, max] range")).when(low > high, F.concat(F.lit("range "), text, F.lit(": lower bound > upper bound")))
     else:
         wrong = F.lit(None).cast("string")
     return F.coalesce(empty, wrong)
