@@ -32,3 +32,13 @@ def test_bands_and_thinning(spark):
     spike = pd.DataFrame({"ts": range(300), "close": 0.0})
     spike.loc[137, "close"] = 9.0
     assert 137 in set(V.thin(frame(spark, s=spike), "close", 20).toPandas().ts)
+
+
+def test_leaks(spark):
+    days = spark.range(200).select(F.lit("a").alias("symbol"), (F.lit("2024-01-01").cast("timestamp") + F.make_interval(days=F.col("id").cast("int"))).alias("ts"), "id")
+    folds = V.purged_folds(days, purge_days=10, embargo_days=10)
+    day = 86_400
+    assert not any(r.leakage_detected or r.n_leaks for r in V.leaks(folds, 8 * day).collect())
+    assert {r.path: r.n_leaks for r in V.leaks(folds, 10 * day).collect()}[0] == 1  # folds 1 and 2: a row ten days and one after them
+    twice = folds.unionByName(folds.where("part = 'test' and path = 1 and id = 90").withColumn("part", F.lit("train")))
+    assert [r.path for r in V.leaks(twice, 0).collect() if r.leakage_detected] == [1]

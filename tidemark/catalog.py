@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import operators as O
 from .functions.columns import log_ratio
-from .operators import arch, components, rules, sweep, validation
+from .operators import arch, components, joins, rules, sweep, validation
 from .operators import vocabulary as V
 from .operators.registry import OHLCV
 from .plans import ast, formulation
@@ -486,7 +486,77 @@ def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.thin(B.event_bars(spark, sf_dir), "close", 100)
 
 
-_PLAIN = (spec_variants, spec_findings, all_available, conversation_digest, sweep_decay, spec_matrix, capabilities, purged_folds, price_bands, bootstrap_means, thinned, bb_breakout, bars_hourly, bars_daily_orders, all_feeds, tick_feeds, text_features, document_features, document_audit, text_audit, catalog_check, catalog_granularities, alternate_symbol, math_symbols, table_report, guard_filters, page_chunks, sweep_grid, ema_cross_sweep, garch_fit, garch_forecast, deferred, phrase_rows)
+def bars_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly and daily bars, a bar per series, and one of everything, from one read of events."""
+    return B.bar_sets(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", "value", "event_id")
+
+
+_ROLLUP_SQL = """
+    SELECT event_type AS symbol, CASE WHEN h IS NOT NULL THEN '1h' WHEN d IS NOT NULL THEN '1d' END AS granularity, coalesce(h, d) AS ts,
+      arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume
+    FROM (SELECT *, date_trunc('hour', ts) AS h, date_trunc('day', ts) AS d FROM events WHERE value IS NOT NULL AND ts IS NOT NULL) e
+    GROUP BY GROUPING SETS ((event_type, h), (event_type, d), (event_type), ())"""
+
+
+def asof_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the last view of the same user that is not later."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    views = events.where("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts", "value")
+    return joins.asof_join(bought, views, ["user_id"], "ts", "view_ts", ["view_id", "view_ts", "view_value"], 7 * 86_400, tie="view_id")
+
+
+_ASOF_VIEWS_SQL = """
+    WITH v AS (SELECT user_id, ts AS view_ts, event_id AS view_id, value AS view_value FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)
+    SELECT p.event_id, p.user_id, p.ts, p.value, view_id, view_ts, view_value
+    FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.view_ts"""
+
+
+def asof_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with the last daily bar of its priority before its day, if it is at most three days old."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    bars = B.order_bars(spark, sf_dir).select(F.col("symbol").alias("o_orderpriority"), F.col("ts").alias("bar_ts"), "close", "volume")
+    return joins.asof_join(orders, bars, ["o_orderpriority"], "o_orderdate", "bar_ts", ["bar_ts", "close", "volume"], 30 * 86_400, strict=True, within=3 * 86_400)
+
+
+_ASOF_BARS_SQL = """
+    WITH b AS (SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS bar_ts, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close, count(*)::DOUBLE AS volume FROM orders WHERE o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1, 2),
+    j AS (SELECT o_orderkey, o_orderpriority, o_orderdate, bar_ts, close, volume, epoch(o_orderdate) - epoch(bar_ts) <= 259200 AS fresh FROM orders o ASOF LEFT JOIN b ON o.o_orderpriority = b.symbol AND o.o_orderdate > b.bar_ts)
+    SELECT o_orderkey, o_orderpriority, o_orderdate, CASE WHEN fresh THEN bar_ts END AS bar_ts, CASE WHEN fresh THEN close END AS close, CASE WHEN fresh THEN volume END AS volume FROM j"""
+
+
+def fold_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leakage of folds that are purged by six hours while labels look twelve ahead, beside that of folds purged enough."""
+    short, enough = (validation.leaks(validation.purged_folds(B.event_bars(spark, sf_dir), purge_days=days, embargo_days=days), 12 * 3600) for days in (0.25, 1))
+    return short.withColumn("purge", F.lit("6 hours")).unionByName(enough.withColumn("purge", F.lit("1 day")))
+
+
+def _leaks_sql() -> str:
+    one = lambda days: f"""SELECT symbol, path, count(*) AS n_train, count(*) FILTER (leak) AS n_leaks, bool_or(leak) AS leakage_detected, '{'6 hours' if days < 1 else '1 day'}' AS purge FROM (
+      SELECT a.symbol, a.path, a.t, bool_or(coalesce(b.t <= a.t + 43200 AND b.t + 43200 >= a.t, false)) AS leak
+      FROM (SELECT * FROM p WHERE days = {days} AND part = 'train') a LEFT JOIN (SELECT * FROM p WHERE days = {days} AND part = 'test') b ON a.symbol = b.symbol AND a.path = b.path AND b.t <= a.t + 43200 AND b.t + 43200 >= a.t
+      GROUP BY a.symbol, a.path, a.t) x GROUP BY symbol, path"""
+    return f"""WITH {R.HOURS}, f AS (SELECT symbol, epoch(ts) AS t, ntile(5) OVER (PARTITION BY symbol ORDER BY ts) AS k FROM bars),
+    e AS (SELECT symbol, k, min(t) AS lo, max(t) AS hi FROM f GROUP BY 1, 2), c AS (SELECT a, b, (row_number() OVER (ORDER BY a, b) - 1)::INT AS path FROM range(1, 6) x(a), range(1, 6) y(b) WHERE a < b), ds(days) AS (VALUES (0.25), (1)),
+    j AS (SELECT days, f.symbol, t, path, k IN (a, b) AS test, (SELECT bool_or((t < lo AND t > lo - 86400 * days) OR (t > hi AND t < hi + 86400 * days)) FROM e WHERE e.symbol = f.symbol AND e.k IN (a, b)) AS near FROM f, c, ds),
+    p AS (SELECT days, symbol, t, path, CASE WHEN test THEN 'test' WHEN near THEN 'dropped' ELSE 'train' END AS part FROM j)
+    {one(0.25)} UNION ALL {one(1)}"""
+
+
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users: events that follow within a day."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    out = joins.sessions(events, ["user_id"], "ts", "24 hours", F.count_if(F.col("event_type") == "purchase").alias("purchases"))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
+_SESSIONS_SQL = """
+    WITH g AS (SELECT *, coalesce(epoch(ts) - epoch(lag(ts) OVER w) >= 86400, true) AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 DAY AS "end", count(*) AS "rows", count(*) FILTER (event_type = 'purchase') AS purchases FROM s GROUP BY user_id, n"""
+
+
+_PLAIN = (bars_rollup, asof_views, asof_bars, fold_leaks, user_sessions, spec_variants, spec_findings, all_available, conversation_digest, sweep_decay, spec_matrix, capabilities, purged_folds, price_bands, bootstrap_means, thinned, bb_breakout, bars_hourly, bars_daily_orders, all_feeds, tick_feeds, text_features, document_features, document_audit, text_audit, catalog_check, catalog_granularities, alternate_symbol, math_symbols, table_report, guard_filters, page_chunks, sweep_grid, ema_cross_sweep, garch_fit, garch_forecast, deferred, phrase_rows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -501,6 +571,7 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "bb_breakout": R.query([{"m": R.avg("close", 20), "s": R.full("stddev_pop", "close", 20)}], {"upper": "m + 2 * s", "lower": "m - 2 * s"}).replace("SELECT symbol, ts, floor", "SELECT symbol, ts, close, CASE WHEN close > m + 2 * s THEN 1.0::DOUBLE WHEN close < m - 2 * s THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS breakout, floor"),
         "all_feeds": _feeds_sql(O.feed_ids(), R.indicator_sql()), "tick_feeds": _feeds_sql(TICK_FEEDS, R.indicator_sql(R.TICKS)),
+        "bars_rollup": _ROLLUP_SQL, "asof_views": _ASOF_VIEWS_SQL, "asof_bars": _ASOF_BARS_SQL, "fold_leaks": _leaks_sql(), "user_sessions": _SESSIONS_SQL,
         "bars_hourly": "WITH " + R.BARS.split(", l0 AS")[0] + " SELECT * FROM bars",
         "bars_daily_orders": "SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS ts, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close, count(*)::DOUBLE AS volume FROM orders WHERE o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1, 2",
         "text_features": _text_sql(f"(VALUES {X.values(X.TEXTS)}) x(id, text)", "id"), "document_features": _text_sql("documents", "doc_id"), "document_audit": _audit_sql("documents", "doc_id"), "text_audit": _audit_sql(f"(VALUES {X.values(X.TEXTS)}) x(id, text)", "id"),

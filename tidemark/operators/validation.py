@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import overlapping, seconds
+
 DAY = 86_400
 
 
@@ -35,6 +37,20 @@ def purged_folds(df: DataFrame, keys: tuple[str, ...] = ("symbol",), order: str
     return many.withColumn("part", part).drop("_fold", "_ends", "_test")
 
 
+def leaks(folds: DataFrame, horizon: float, keys: tuple[str, ...] = ("symbol",), order: str = "ts", width: float = DAY) -> DataFrame:
+    """Per series and path of purged_folds: rows of train, those of them that share time with a row of test, and whether
+    any does.
+
+    A row's time reaches from its own to ``horizon`` seconds later, as far as its label looks.  Purging less than that,
+    or a row that is in both parts, shows.
+    """
+    begin = seconds(F.col(order))
+    rows = folds.select(*keys, "path", "part", begin.alias("start"), (begin + horizon).alias("end"))
+    train, test = (rows.where(F.col("part") == p).drop("part") for p in ("train", "test"))
+    marked = overlapping(train, test, [*keys, "path"], "start", "end", width, "leak")
+    return marked.groupBy(*keys, "path").agg(F.count("*").alias("n_train"), F.count_if("leak").alias("n_leaks"), F.bool_or("leak").alias("leakage_detected"))
+
+
 def block_bootstrap(df: DataFrame, value: str, samples: int = 1000, block: int = 20, keys: tuple[str, ...] = ("symbol",), order: str = "ts", seed: int = 1) -> DataFrame:
     """Resampled totals: (keys, sample, total, mean) of series as long as the original, put together from runs of ``block``
     values that begin anywhere (wrapping round).  A group holds its series and one number per sample."""

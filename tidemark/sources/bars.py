@@ -30,6 +30,29 @@ def tick_bars(ticks: DataFrame, symbol: str, ts: str, price: str) -> DataFrame:
     return ticks.select(F.col(symbol).alias("symbol"), F.col(ts).alias("ts"), *(value.alias(c) for c in ("open", "high", "low", "close")), F.lit(1.0).alias("volume"))
 
 
+def bar_sets(ticks: DataFrame, symbol: str, ts: str, price: str, id: str, coarser: tuple[str, ...] = ("1d",), finest: str = "1h") -> DataFrame:
+    """Bars of several granularities from one read of the ticks: (symbol, granularity, ts, open, ..., volume).
+
+    Ticks become states of the finest bars (first and last with their places, extremes, count), which merge; grouping
+    sets roll them up by symbol and each coarser granularity, by symbol alone (granularity and ts null) and over
+    everything (symbol null too).  Only states are multiplied by the sets.
+    """
+    value, place = F.col(price).cast("double"), F.struct(F.col(ts).alias("t"), F.col(id).alias("i"))
+    start = lambda c, g: F.window(c, GRANULARITIES[g])["start"]
+    known = ticks.where(F.col(price).isNotNull() & F.col(ts).isNotNull())
+    states = known.groupBy(F.col(symbol).alias("symbol"), start(F.col(ts), finest).alias("t0")).agg(
+        F.min(F.struct(place.alias("at"), value.alias("v"))).alias("first"), F.max(F.struct(place.alias("at"), value.alias("v"))).alias("last"), F.max(value).alias("high"), F.min(value).alias("low"), F.count("*").alias("n"))
+    grains = (finest, *coarser)
+    for i, g in enumerate(coarser, 1):
+        states = states.withColumn(f"t{i}", start(F.col("t0"), g))
+    every = [f"t{i}" for i in range(len(grains))]
+    sets = [*([F.col("symbol"), F.col(t)] for t in every), [F.col("symbol")], []]
+    rolled = states.groupingSets(sets, F.col("symbol"), *map(F.col, every)).agg(
+        F.min("first")["v"].alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("last")["v"].alias("close"), F.sum("n").cast("double").alias("volume"))
+    grain = F.coalesce(*(F.when(F.col(t).isNotNull(), g) for t, g in zip(every, grains)))
+    return rolled.where(F.col("volume") > 0).select("symbol", grain.alias("granularity"), F.coalesce(*every).alias("ts"), "open", "high", "low", "close", "volume")
+
+
 def event_bars(spark: SparkSession, sf_dir: str, granularity: str = "1h") -> DataFrame:
     """Bars of the events table: a series per event type."""
     return to_bars(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", "value", "event_id", granularity)
