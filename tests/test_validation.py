@@ -34,6 +34,21 @@ def test_bands_and_thinning(spark):
     assert 137 in set(V.thin(frame(spark, s=spike), "close", 20).toPandas().ts)
 
 
+def test_sketched_bands(spark):
+    """Ranks stay within the stated bound, over many partitions, with ties, missing values and groups of any size."""
+    rng = np.random.default_rng(7)
+    values = np.concatenate([rng.lognormal(size=40_000), np.repeat(1.0, 5000), [np.nan] * 100])
+    rows = pd.DataFrame({"g": "big", "x": rng.permutation(values)})
+    rows = pd.concat([rows, pd.DataFrame({"g": "small", "x": [3.0, 1.0, 2.0]}), pd.DataFrame({"g": "none", "x": [np.nan]})])
+    got = {r.g: r for r in V.sketched_bands(spark.createDataFrame(rows).repartition(16), ["g"], "x", (0.01, 0.1, 0.5, 0.9, 0.99)).collect()}
+    known = np.sort(values[np.isfinite(values)])
+    assert got["big"].n == len(known) and got["none"].p50 is None and (got["small"].p50, got["small"].n) == (2.0, 3)
+    for p in (0.01, 0.1, 0.5, 0.9, 0.99):
+        v = got["big"][f"p{round(100 * p)}"]
+        low, high = np.searchsorted(known, v, "left") / len(known), np.searchsorted(known, v, "right") / len(known)
+        assert low - 0.01 <= p <= high + 0.01, (p, v, low, high)
+
+
 def test_leaks(spark):
     days = spark.range(200).select(F.lit("a").alias("symbol"), (F.lit("2024-01-01").cast("timestamp") + F.make_interval(days=F.col("id").cast("int"))).alias("ts"), "id")
     folds = V.purged_folds(days, purge_days=10, embargo_days=10)

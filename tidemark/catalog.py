@@ -556,7 +556,90 @@ _SESSIONS_SQL = """
     SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 DAY AS "end", count(*) AS "rows", count(*) FILTER (event_type = 'purchase') AS purchases FROM s GROUP BY user_id, n"""
 
 
-_PLAIN = (bars_rollup, asof_views, asof_bars, fold_leaks, user_sessions, spec_variants, spec_findings, all_available, conversation_digest, sweep_decay, spec_matrix, capabilities, purged_folds, price_bands, bootstrap_means, thinned, bb_breakout, bars_hourly, bars_daily_orders, all_feeds, tick_feeds, text_features, document_features, document_audit, text_audit, catalog_check, catalog_granularities, alternate_symbol, math_symbols, table_report, guard_filters, page_chunks, sweep_grid, ema_cross_sweep, garch_fit, garch_forecast, deferred, phrase_rows)
+def tick_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of all ticks from sketches, by whether the rank of each is within 0.01 of what was asked for."""
+    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("symbol"), "value")
+    bands = validation.sketched_bands(ticks, ["symbol"], "value")
+    # A row per series.
+    near = lambda p, c: ((F.count_if(F.col("value") < F.col(c)) / F.first("n") <= p + 0.01) & (F.count_if(F.col("value") <= F.col(c)) / F.first("n") >= p - 0.01)).alias(f"{c}_near")
+    return ticks.join(bands, "symbol").groupBy("symbol").agg(F.first("n").alias("n"), near(0.1, "p10"), near(0.5, "p50"), near(0.9, "p90"))
+
+
+def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's lines as a table of parameters, checked: quantities have to be numbers, (discount, tax) a range."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = lines.withColumn("row", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))  # numbers repeat within an order
+    hundredth = lambda c: F.round(F.col(c) * 100).cast("int").cast("string")
+    bounds = F.concat(F.lit("["), hundredth("l_discount"), F.lit(", "), hundredth("l_tax"), F.when(F.col("l_linestatus") == "F", "]").otherwise(" ]"))
+    cell = lambda i, c: F.struct(F.lit(i).alias("col"), c.alias("text"))
+    body = lines.select(F.col("l_orderkey").alias("table_id"), "row", F.inline(F.array(cell(0, F.col("l_returnflag")), cell(1, F.col("l_quantity").cast("int").cast("string")), cell(2, bounds))))
+    head = lambda key: F.inline(F.array(*(F.struct(F.lit(0).alias("row"), F.lit(i).alias("col"), F.when((F.col(key) % 7 == 0) & (i == 1), "Qty").otherwise(n).alias("text")) for i, n in enumerate(("Param", "Value", "Bounds")))))
+    heads = lines.select(F.col("l_orderkey").alias("table_id")).distinct().select("table_id", head("table_id"))
+    report = rules.validate_tables(body.unionByName(heads))
+    return report.select("table_id", "status", "rows", F.col("columns").cast("int").alias("columns"), F.size("errors").cast("long").alias("n_errors"))
+
+
+_ORDER_TABLES_SQL = """
+    SELECT l_orderkey AS table_id, CASE WHEN l_orderkey % 7 = 0 THEN 'orphan' WHEN count(*) FILTER (round(l_discount * 100) > round(l_tax * 100)) > 0 THEN 'parse-error' ELSE 'fit' END AS status, count(*) AS rows, 3 AS columns,
+      CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE least(count(*) FILTER (round(l_discount * 100) > round(l_tax * 100)), 20) END AS n_errors
+    FROM lineitem GROUP BY l_orderkey"""
+
+
+def event_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether bars made of the tables serve what documents ask for: a series for each, the timeframe that its text names."""
+    at = lambda name, symbol, ts, kind: spark.read.parquet(f"{sf_dir}/{name}.parquet").groupBy(F.upper(symbol).alias("symbol")).agg(F.year(F.min(ts)).alias("start_year")).select(F.lit(kind).alias("asset_class"), "symbol", F.explode(F.array(*map(F.lit, {"Event": ("1m", "1h", "1d"), "Order": ("1d",)}[kind]))).alias("granularity"), F.lit(False).alias("has_l2_book"), F.lit(kind == "Event").alias("has_order_flow"), "start_year")
+    catalog = at("events", "event_type", "ts", "Event").unionByName(at("orders", "o_orderpriority", "o_orderdate", "Order"))
+    series = F.array(*map(F.lit, ("view", "click", "1-urgent", "5-low", "nothing")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    asks = docs.select("doc_id", F.lit("Text").alias("asset_class"), F.get(series, (F.col("doc_id") % 5).cast("int")).alias("symbol"), rules.detect_timeframe(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, "1d").otherwise("1h")).alias("required_granularity"), (F.col("doc_id") % 3 == 0).alias("requires_l2_book"), (F.col("doc_id") % 4 == 0).alias("requires_order_flow"), F.when(F.col("doc_id") % 6 == 0, 2000).alias("start_year"))
+    return rules.check_catalog(asks, catalog).select("doc_id", "symbol", "required_granularity", "asset_class", "status", "proxy_source")
+
+
+def _event_catalog_sql() -> str:
+    units = ", ".join(f"'{k}': '{v}'" for k, v in V.UNITS.items())
+    return f"""
+    WITH c AS (SELECT 'Event' AS kind, upper(event_type) AS s, unnest(['1m', '1h', '1d']) AS g, true AS flow, year(min(ts)) AS y FROM events GROUP BY 2
+      UNION ALL SELECT 'Order', upper(o_orderpriority), '1d', false, year(min(o_orderdate)) FROM orders GROUP BY 2),
+    d AS (SELECT doc_id, upper(['view', 'click', '1-urgent', '5-low', 'nothing'][doc_id % 5 + 1]) AS symbol, list_filter(list_zip(regexp_extract_all(coalesce(text, ''), '{V.DURATION}', 1), regexp_extract_all(coalesce(text, ''), '{V.DURATION}', 2)), lambda x: MAP {{{units}}}[lower(x[2])] IS NOT NULL)[1] AS span FROM documents),
+    q AS (SELECT doc_id, symbol, CASE WHEN span IS NOT NULL THEN span[1]::HUGEINT::VARCHAR || MAP {{{units}}}[lower(span[2])] WHEN doc_id % 2 = 0 THEN '1d' ELSE '1h' END AS g FROM d),
+    j AS (SELECT q.*, (SELECT min(kind) FROM c WHERE s = symbol) AS kind, (SELECT count(*) FROM c WHERE s = symbol AND c.g = '1m') AS minutes, e.y, e.flow FROM q LEFT JOIN c e ON e.s = symbol AND e.g = q.g),
+    v AS (SELECT *, CASE WHEN kind IS NULL OR y IS NULL OR (doc_id % 6 = 0 AND y > 2000) THEN 'missing' WHEN doc_id % 3 = 0 THEN CASE WHEN minutes > 0 THEN 'proxy' ELSE 'missing' END WHEN doc_id % 4 = 0 AND NOT flow THEN 'missing' ELSE 'available' END AS status FROM j)
+    SELECT doc_id, symbol, g AS required_granularity, coalesce(kind, 'Text') AS asset_class, status, CASE WHEN status = 'proxy' THEN 'volume_delta:1m' END AS proxy_source FROM v"""
+
+
+#: Words of the documents that stand for symbols here.
+SYMBOL_WORDS = ((" the ", " σ "), (" and ", " ± "), (" of ", r" $\beta + x$ "), (" la ", " ≤ "))
+
+
+def document_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with some common words written as symbols, and the symbols resolved: how long the text is, and its digest."""
+    text = F.coalesce("text", F.lit(""))
+    for word, symbol in SYMBOL_WORDS:
+        text = F.replace(text, F.lit(word), F.lit(symbol))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", rules.resolve_math(text).alias("m")).where("m is not null")
+    return docs.select("doc_id", F.length("m.resolved").cast("long").alias("n_chars"), F.sha2("m.resolved", 256).alias("sha256"), F.array_join(F.sort_array("m.symbols"), ",").alias("symbols"))
+
+
+def _document_symbols_sql() -> str:
+    text = "coalesce(text, '')"
+    for word, symbol in SYMBOL_WORDS:
+        text = f"replace({text}, '{word}', '{symbol}')"
+    # Inline pieces: what the first symbol in each stands for; then the symbols that are left, in the table's order.
+    first = "CASE " + " ".join(f"WHEN contains(p, '{s}') THEN '{d}'" for s, d in V.SYMBOLS.items()) + " END"
+    name = "CASE " + " ".join(f"WHEN contains(p, '{s}') THEN '{s}'" for s in V.SYMBOLS) + " ELSE p END"
+    left = "u"
+    for s, d in V.SYMBOLS.items():
+        left = f"replace({left}, '{s}', '{d}')"
+    rest = ", ".join(f"CASE WHEN contains(u, '{s}') THEN '{s}' END" for s in V.SYMBOLS)
+    pattern = V.INLINE_LATEX.replace("'", "''")
+    return f"""
+    WITH t AS (SELECT doc_id, {text} AS t FROM documents), p AS (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS ps FROM t),
+    u AS (SELECT doc_id, list_reduce(list_prepend(t, list_distinct(list_filter(ps, lambda p: {first} IS NOT NULL))), lambda a, p: replace(a, p, {first})) AS u, list_transform(ps, lambda p: {name}) AS used FROM p),
+    r AS (SELECT doc_id, trim({left}) AS r, list_sort(list_distinct(list_concat(used, list_filter([{rest}], lambda x: x IS NOT NULL)))) AS symbols FROM u)
+    SELECT doc_id, length(r) AS n_chars, sha256(r) AS sha256, array_to_string(symbols, ',') AS symbols FROM r WHERE len(symbols) > 0"""
+
+
+_PLAIN = (tick_bands, order_tables, event_catalog, document_symbols, bars_rollup, asof_views, asof_bars, fold_leaks, user_sessions, spec_variants, spec_findings, all_available, conversation_digest, sweep_decay, spec_matrix, capabilities, purged_folds, price_bands, bootstrap_means, thinned, bb_breakout, bars_hourly, bars_daily_orders, all_feeds, tick_feeds, text_features, document_features, document_audit, text_audit, catalog_check, catalog_granularities, alternate_symbol, math_symbols, table_report, guard_filters, page_chunks, sweep_grid, ema_cross_sweep, garch_fit, garch_forecast, deferred, phrase_rows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -571,6 +654,7 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "bb_breakout": R.query([{"m": R.avg("close", 20), "s": R.full("stddev_pop", "close", 20)}], {"upper": "m + 2 * s", "lower": "m - 2 * s"}).replace("SELECT symbol, ts, floor", "SELECT symbol, ts, close, CASE WHEN close > m + 2 * s THEN 1.0::DOUBLE WHEN close < m - 2 * s THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS breakout, floor"),
         "all_feeds": _feeds_sql(O.feed_ids(), R.indicator_sql()), "tick_feeds": _feeds_sql(TICK_FEEDS, R.indicator_sql(R.TICKS)),
+        "tick_bands": "SELECT event_type AS symbol, count(value) AS n, true AS p10_near, true AS p50_near, true AS p90_near FROM events GROUP BY 1", "order_tables": _ORDER_TABLES_SQL, "event_catalog": _event_catalog_sql(), "document_symbols": _document_symbols_sql(),
         "bars_rollup": _ROLLUP_SQL, "asof_views": _ASOF_VIEWS_SQL, "asof_bars": _ASOF_BARS_SQL, "fold_leaks": _leaks_sql(), "user_sessions": _SESSIONS_SQL,
         "bars_hourly": "WITH " + R.BARS.split(", l0 AS")[0] + " SELECT * FROM bars",
         "bars_daily_orders": "SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS ts, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close, count(*)::DOUBLE AS volume FROM orders WHERE o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1, 2",

@@ -79,6 +79,18 @@ def bands(df: DataFrame, by: list[str], value: str, at: tuple[float, ...] = (0.1
     return df.groupBy(*by).agg(*(F.percentile(value, F.lit(p)).alias(f"p{round(100 * p)}") for p in at))
 
 
+def sketched_bands(df: DataFrame, by: list[str], value: str, at: tuple[float, ...] = (0.1, 0.5, 0.9), k: int = 400) -> DataFrame:
+    """Percentiles of a value per group from KLL sketches, as p10, p50, p90, with ``n``, the values counted.
+
+    Sketches of a few thousand numbers are merged, so a group of any size is no task's burden.  The rank of what is
+    returned is within 2.3 / k^0.97 of the one asked for (0.007 at k 400) at 99% confidence.  Missing values don't count;
+    a group without values has nulls.
+    """
+    x = F.col(value).cast("double")
+    made = df.groupBy(*by).agg(F.kll_sketch_agg_double(F.when(~F.isnan(x), x), F.lit(k)).alias("_s"), F.count(F.when(~F.isnan(x), x)).alias("n"))
+    return made.select(*by, "n", *(F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("_s", F.lit(p))).alias(f"p{round(100 * p)}") for p in at))
+
+
 def thin(df: DataFrame, value: str, points: int, keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
     """At most ``points`` rows of each series, chosen by largest triangles of three buckets; the ends stay."""
     schema = df.schema
