@@ -14,7 +14,7 @@ def test_same_as_one_scan(spark, alpha):
     series["c"].loc[[0, 20], "close"] = np.nan
     series["d"]["close"] = np.nan
     series["d"].loc[[50, 51, 52, 53], "close"] = 5.0
-    got = blocked_scan(frame(spark, **series), "close", alpha, F.floor(F.col("ts") / 37), "y")
+    got = blocked_scan(frame(spark, **series), "close", alpha, F.floor(F.col("ts") / 37), "y", rows=37)
     for name, bars in series.items():
         want = scan(bars["close"].to_numpy(), alpha)
         assert np.allclose(one(got, name, "y"), want, rtol=1e-12, equal_nan=True), name

@@ -41,7 +41,7 @@ def test_all_feeds(spark, rows):
     same(spark, O.with_feeds(df, FEEDS, block=DAY, rows=rows).cache(), O.with_feeds(df, FEEDS).cache(), NAMES)
 
 
-@pytest.mark.parametrize("feed", ["IND_EMA", "IND_MACD_HIST", "IND_VWAP", "IND_KAMA", "IND_STOCH_RSI", "IND_SUPERTREND", "IND_KALMAN_ERROR"])
+@pytest.mark.parametrize("feed", ["IND_MACD_HIST", "IND_VWAP", "IND_KAMA", "IND_SUPERTREND"])
 def test_small_blocks(spark, feed):
     """A feed alone has a small halo, so a series has many blocks."""
     df = frame(spark, **series())

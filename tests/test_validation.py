@@ -15,6 +15,13 @@ def test_folds(spark):
     assert apart[40:80] == ["dropped"] * 4 + ["train"] * 27 + ["dropped"] * 9
 
 
+def test_folds_by_blocks(spark):
+    """The same folds whether rows are numbered in one window or by blocks; fewer rows than folds, too."""
+    df = frame(spark, a=walk(203), b=walk(3), c=walk(10))
+    one, other = (V.purged_folds(df, purge_days=0.0001, embargo_days=0.0001, block=b).select("symbol", "ts", "path", "part").toPandas().sort_values(["symbol", "ts", "path"], ignore_index=True) for b in (None, "floor(ts / 20)"))
+    assert len(one) and one.equals(other)
+
+
 def test_bootstrap_keeps_the_mean(spark):
     a = walk(300)
     got = V.block_bootstrap(frame(spark, a=a), "close", samples=2000).toPandas()

@@ -463,7 +463,7 @@ def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def purged_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each part on each of ten paths over the hourly bars."""
-    out = validation.purged_folds(B.event_bars(spark, sf_dir), purge_days=1, embargo_days=0.5)
+    out = validation.purged_folds(B.event_bars(spark, sf_dir), purge_days=1, embargo_days=0.5, block=HOURLY["block"])
     return out.groupBy("symbol", "path", "part").agg(F.count("*").alias("n"))
 
 
@@ -527,7 +527,7 @@ _ASOF_BARS_SQL = """
 
 def fold_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leakage of folds that are purged by six hours while labels look twelve ahead, beside that of folds purged enough."""
-    short, enough = (validation.leaks(validation.purged_folds(B.event_bars(spark, sf_dir), purge_days=days, embargo_days=days), 12 * 3600) for days in (0.25, 1))
+    short, enough = (validation.leaks(validation.purged_folds(B.event_bars(spark, sf_dir), purge_days=days, embargo_days=days, block=HOURLY["block"]), 12 * 3600) for days in (0.25, 1))
     return short.withColumn("purge", F.lit("6 hours")).unionByName(enough.withColumn("purge", F.lit("1 day")))
 
 

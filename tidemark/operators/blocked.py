@@ -1,69 +1,20 @@
-"""A fixed-alpha scan of a series that is too long for one task.
-
-The series falls into blocks (days, say) that are scanned in parallel: what a block adds to the scan's value at its end
-depends on the block alone, and the value before it only counts by (1 - alpha)^n.  So one row per block is scanned in
-order, which gives every block the value that it starts from.
-"""
+"""A fixed-alpha scan of a series that is too long for one task: one step of a plan on blocks."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
-from ..functions.kernels import scan
+from ..plans.planner import Plan
 
 
-def blocked_scan(df: DataFrame, value: str, alpha: float, block: Column, out: str, keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
+def blocked_scan(df: DataFrame, value: str, alpha: float, block: Column | str, out: str, keys: tuple[str, ...] = ("symbol",), order: str = "ts", rows: int = 65_536) -> DataFrame:
     """df with ``out``, the scan y0 = x0, y = alpha x + (1 - alpha) y of ``value`` within ``keys`` by ``order``.
 
     ``block`` must not fall as ``order`` rises.  Missing values count as in kernels.scan: at the start they give missing
-    results, one later makes all that follows missing.  All shuffles are by (keys, block); only a row per block meets in
+    results, one later makes all that follows missing.  Rows are shuffled by (keys, block); only a row per block meets in
     a task per series.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha is within (0, 1]")
-    x = F.col(value).cast("double")
-    marked = df.withColumn("_block", block)
-    w = Window.partitionBy(*keys, "_block")
-    rows = marked.select(*keys, "_block", order, F.when(x.isNotNull() & ~F.isnan(x), x).alias("_x"))
-    placed = rows.withColumn("_left", F.count("*").over(w) - F.row_number().over(w.orderBy(order)))
-    first, gap = F.min(F.when(F.col("_x").isNotNull(), F.col(order))), F.max(F.when(F.col("_x").isNull(), F.col(order)))
-    ends = placed.groupBy(*keys, "_block").agg(
-        F.sum(F.col("_x") * alpha * F.pow(F.lit(1.0 - alpha), "_left")).alias("_end"), F.count("_x").alias("_n"), F.min_by("_x", F.when(F.col("_x").isNotNull(), F.col(order))).alias("_first"),
-        F.coalesce(gap > first, F.lit(False)).alias("_broken"), (F.count("*") > F.count("_x")).alias("_gaps"),
-    )
-
-    def carry(blocks: pd.DataFrame) -> pd.DataFrame:
-        """What each block starts from, missing after a gap, and whether the scan has begun before it."""
-        blocks = blocks.sort_values("_block", kind="stable", ignore_index=True)
-        before, begun, y, started = [], [], math.nan, False
-        for end, n, own, broken, gaps in zip(blocks["_end"], blocks["_n"], blocks["_first"], blocks["_broken"], blocks["_gaps"]):
-            before.append(y if started else own)
-            begun.append(started)
-            if started:
-                y = math.nan if gaps else end + (1.0 - alpha) ** n * y
-            elif n:
-                started, y = True, math.nan if broken else end + (1.0 - alpha) ** n * own
-        return blocks[[*keys, "_block"]].assign(_before=before, _begun=begun)
-
-    fields = ", ".join(f"{k} {marked.schema[k].dataType.simpleString()}" for k in (*keys, "_block"))
-    starts = ends.groupBy(*keys).applyInPandas(carry, f"{fields}, _before double, _begun boolean")
-
-    shown = [*(c for c in df.columns if c != out), out]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable", ignore_index=True)
-        values = rows[value].to_numpy(float, na_value=np.nan)
-        before, begun = rows["_before"].iloc[0], bool(rows["_begun"].iloc[0])
-        lead = 0 if begun else int(np.isfinite(values).argmax())
-        y = np.full(len(values), np.nan)
-        if np.isfinite(before):
-            y[lead:] = scan(np.r_[before, values[lead:]], alpha)[1:]
-        return rows.assign(**{out: y})[shown]
-
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes if c != out), f"`{out}` double"])
-    return marked.drop(out).join(starts, [*keys, "_block"]).groupBy(*keys, "_block").applyInPandas(run, schema)
+    plan = Plan(keys, order, block, rows)
+    return plan.run(df, {out: plan.scan(value, alpha)}, tuple(c for c in df.columns if c != out))

@@ -9,19 +9,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.blocks import number_rows
+from ..plans.planner import ROW, TOTAL
 from .joins import overlapping, seconds
 
 DAY = 86_400
 
 
-def purged_folds(df: DataFrame, keys: tuple[str, ...] = ("symbol",), order: str = "ts", folds: int = 5, held: int = 2, purge_days: float = 30, embargo_days: float = 15) -> DataFrame:
+def purged_folds(df: DataFrame, keys: tuple[str, ...] = ("symbol",), order: str = "ts", folds: int = 5, held: int = 2, purge_days: float = 30, embargo_days: float = 15, block: Column | str | None = None) -> DataFrame:
     """df once for each choice of ``held`` of ``folds`` equal parts in time: ``path`` and ``part`` (test, train, dropped).
 
     Dropped are training rows less than purge_days before a test fold's first row or embargo_days after its last.
-    Fold bounds are one row per series, joined back on the series.
+    Fold bounds are one row per series, joined back on the series.  With ``block`` (a column that does not fall as
+    ``order`` rises) rows are numbered by blocks, so no task sorts a series.
     """
-    fold = F.ntile(folds).over(Window.partitionBy(*keys).orderBy(order))
-    marked = df.withColumn("_fold", fold)
+    if block is None:
+        marked = df.withColumn("_fold", F.ntile(folds).over(Window.partitionBy(*keys).orderBy(order)))
+    else:
+        # As ntile deals: the first folds have one row more.
+        row, size, extra = F.col(ROW), F.floor(F.col(TOTAL) / folds), F.col(TOTAL) % folds
+        fold = F.when(row < extra * (size + 1), F.floor(row / (size + 1))).otherwise(extra + F.floor((row - extra * (size + 1)) / F.greatest(size, F.lit(1))))
+        marked = number_rows(df, keys, order, block).withColumn("_fold", (fold + 1).cast("int")).drop(ROW, TOTAL)
     second = lambda c: c.cast("timestamp").cast("double")
     ends = marked.groupBy(*keys, "_fold").agg(F.min(second(F.col(order))).alias("lo"), F.max(second(F.col(order))).alias("hi"))
     bounds = ends.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_fold", F.struct("lo", "hi")))).alias("_ends"))
