@@ -225,7 +225,7 @@ def proofs(rows: pd.DataFrame, around: list, group: str, trees: int) -> pd.DataF
     return pd.DataFrame(out, columns=["subroot", "root", "proof", "folded_root"])
 
 
-def manifest(df: DataFrame, leaf: Column, tampered: Column | None = None, group: str = "lang", order: str = "doc_id", rows: int = 100_000) -> DataFrame:
+def manifest(df: DataFrame, leaf: Column, tampered: Column | None = None, group: str = "lang", order: str = "doc_id", rows: int = 50_000) -> DataFrame:
     """(order, leaf, subroot, root, proof, folded_root, verified) for each row of df.
 
     ``leaf``: the row's digest (see leaf()); ``tampered``: another digest to be held to the root in its place, null for
