@@ -235,13 +235,19 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("u", "v", F.pandas_udf(compute, "boolean")("odd_u", "odd_v", "n_u", "n_v").alias("may"))
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """(sig): the distinct nodes of pairs (u, v).  Each side is made distinct where it lies: a hub is one row a task, not one a pair."""
+    side = lambda c: pairs.select(F.col(c).alias("sig")).distinct()
+    return side("u").unionByName(side("v")).distinct()
+
+
 def checked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (u, v) with ``near``: whether their shingle sets are.  nodes: sig, and id and th of a text that has this set."""
 
     def compute(data: pd.Series) -> pd.Series:
         return pd.Series([shingles_of(x).view(np.int64) for x in data], dtype="object")
 
-    asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(nodes.select("sig", "id", "th"), "sig"))
+    asked = cut(ends_of(pairs).join(nodes.select("sig", "id", "th"), "sig"))
     asked = F.broadcast(asked) if asked.count() <= FEW_TEXTS else asked
     found = texts.join(asked, ["id", "th"])
     sets = found.select("sig", F.pandas_udf(compute, "array<long>")(text_of().cast("binary")).alias("set"))
@@ -283,7 +289,7 @@ def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", prints: i
         second = links.limit(0)
     else:
         # Two linked nodes that the first pass kept apart are connected by its pairs, of which one has failed.
-        around = first.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+        around = ends_of(first)
         placed = cut(nodes.join(around, "sig").join(components(links), F.col("sig") == F.col("node"), "left").select("sig", "fps", "n", F.coalesce("root", "sig").alias("root"), packed(F.col("odd")).alias("odd")))
         rest = dealt(placed, max_distance, "sig", "root", "n", "odd").mapInArrow(lambda b: cross_pairs(b, max_distance), "u long, v long")
         second = checked(cut(rest.distinct()), texts, nodes).where("near").select("u", "v")
