@@ -87,10 +87,13 @@ def add_marks(df: DataFrame, prints: int) -> DataFrame:
     def compute(data: pd.Series) -> pd.DataFrame:
         import xxhash
 
-        sets = [shingles_of(x) for x in data]
-        sig = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        sketches = [sketch_of(s) for s in sets]
-        return pd.DataFrame({"fps": [fingerprints_of(x, 1, 42, prints, True) for x in data], "sig": sig, "n": np.array([len(s) for s in sets], np.int32), "sim": np.array([x for x, _ in sketches], np.int64), "odd": [x for _, x in sketches]})
+        def marks(text: bytes) -> tuple:
+            shingles = shingles_of(text)
+            return fingerprints_of(text, 1, 42, prints, True), xxhash.xxh3_64_intdigest(shingles.tobytes()), len(shingles), *sketch_of(shingles)
+
+        # One text's shingles at a time.
+        fps, sig, n, sim, odd = map(list, zip(*map(marks, data))) if len(data) else ([],) * 5
+        return pd.DataFrame({"fps": fps, "sig": np.array(sig, np.uint64).view(np.int64), "n": np.array(n, np.int32), "sim": np.array(sim, np.int64), "odd": odd})
 
     return df.withColumn("m", F.pandas_udf(compute, "fps array<long>, sig long, n int, sim long, odd array<long>")(text_of().cast("binary")))
 
