@@ -24,8 +24,8 @@ from .simhash import blocks, components, fingerprints_of, forest, keys_first, re
 #: Two texts are near copies if the Jaccard similarity of their shingle sets is at least NEAR[0] / NEAR[1].
 NEAR = (4, 5)
 SHINGLE = 5
-#: Rows expanded at once.
-CHUNK = 1_000_000
+#: Rows expanded, and node pairs walked, at once: some ten arrays of longs each.
+CHUNK = 200_000
 #: A sketch's bits, how many shingles it is made of at most (about), and how many standard deviations it may be off.
 SKETCH, SAMPLE, SIGMAS = 512, 300, 4.0
 #: Asked texts are found by a broadcast of their ids up to so many (some 50 bytes each), else by a shuffle of the texts.
@@ -136,7 +136,7 @@ def hub_pairs(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[
                 changes = np.r_[0, np.cumsum(np.diff(parent) != 0)]  # noqa: B023
                 return ~((changes[a_lo] == changes[a_hi - 1]) & (changes[b_lo] == changes[b_hi - 1]) & (parent[a_lo] == parent[b_lo]))  # noqa: B023
 
-            for i, j in trie_pairs(words, key_bits, budget, wanted):
+            for i, j in trie_pairs(words, key_bits, budget, wanted, CHUNK):
                 parent = forest(len(words), i, j, parent)
         root = parent[word]
         many = np.bincount(root, minlength=len(words))[root] > 1
@@ -202,7 +202,7 @@ def cross_pairs(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterato
             return ~(one[0] & one[1] & (root[mine[ends[0][0]]] == root[mine[ends[0][1]]]))
 
         same = np.flatnonzero((count > 1) & wanted(*(np.arange(len(words)) + x for x in (0, 1, 0, 1))))
-        for i, j in chain([(same, same)], trie_pairs(words, key_bits, max_distance, wanted)):
+        for i, j in chain([(same, same)], trie_pairs(words, key_bits, max_distance, wanted, CHUNK)):
             for outer in runs(count[i]):
                 a, of = spread(start[i[outer]], count[i[outer]])
                 js = j[outer][of]

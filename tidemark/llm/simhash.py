@@ -93,10 +93,11 @@ def keys_first(words: np.ndarray, choice: tuple[int, int], max_distance: int) ->
     return out, sum(all_blocks[i][1] for i in choice)
 
 
-def trie_pairs(words: np.ndarray, key_bits: int, budget: int, wanted: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(words: np.ndarray, key_bits: int, budget: int, wanted: Callable | None = None, frontier: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of sorted distinct words that agree on the top key_bits and differ in at most budget bits below.
 
     wanted(a_lo, a_hi, b_lo, b_hi), if given, says which pairs of ranges can hold a pair of interest; others are left.
+    frontier: node pairs walked at once.
     """
     if len(words) < 2:
         return
@@ -107,7 +108,7 @@ def trie_pairs(words: np.ndarray, key_bits: int, budget: int, wanted: Callable |
     todo = [(63 - key_bits, lo, hi, lo, hi, np.zeros(len(lo), np.int8))] if len(lo) else []
     while todo:
         bit, a_lo, a_hi, b_lo, b_hi, diff = todo.pop()
-        if len(diff) > FRONTIER:
+        if len(diff) > frontier:
             half = len(diff) // 2
             todo += [(bit, *(x[:half] for x in (a_lo, a_hi, b_lo, b_hi, diff))), (bit, *(x[half:] for x in (a_lo, a_hi, b_lo, b_hi, diff)))]
             continue
