@@ -115,3 +115,16 @@ def test_a_large_group_is_joined_by_few_checks(spark):
     marked = nearcopies.add_marks(df.withColumnRenamed("doc_id", "id"), 6).select("m.*")
     pairs = nearcopies.dealt(marked, 4, "sig", "sim").mapInArrow(lambda b: nearcopies.hub_pairs(b, 4), "u long, v long").distinct().count()
     assert pairs < 50 * len(docs)
+
+
+def test_trie_walk_in_small_steps():
+    """The pairs do not depend on how many node pairs are walked at once, and are those of brute force."""
+    from tidemark.llm.simhash import trie_pairs
+
+    rng = np.random.default_rng(5)
+    flips = np.uint64(1) << rng.integers(0, 43, (120, 3), dtype=np.uint64)
+    words = np.unique(np.bitwise_xor.reduce(flips, axis=1))
+    want = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if np.bitwise_count(words[i] ^ words[j]) <= 4}
+    for frontier in (100, 2_000_000):
+        got = [(min(x), max(x)) for i, j in trie_pairs(words, 21, 4, None, frontier) for x in zip(i.tolist(), j.tolist())]
+        assert len(got) == len(set(got)) and set(got) == want
