@@ -28,6 +28,27 @@ def test_exit_clause(spark):
     assert column(df, "p.exit") == ["Take-Profit at 3, then exit", "", "EXITS at noon", "", ""]
 
 
+def test_exit_clause_behind_wide_characters(spark):
+    df = texts(spark, "\U0001f600\U0001f600 buy, exit now", "\U0001f600").withColumn("p", R.split_entry_exit(F.col("text"))).orderBy("id")
+    assert column(df, "p.entry") == ["\U0001f600\U0001f600 buy, ", "\U0001f600"]
+    assert column(df, "p.exit") == ["exit now", ""]
+
+
+def test_phrases_in_one_pass(spark):
+    """Against each phrase on its own; the text is read by one pattern, not once for each phrase."""
+    import random
+    import re
+
+    random.seed(7)
+    table = [("ab", 1), ("ab c", 2), ("ab cs", 3), ("b", 4), ("%r", 5), ("c d", 6), ("bs", 7), ("ab", 8), ("d(1,1)", 9)]
+    some = ["".join(random.choices([p for p, _ in table] + list("abcds %,.-\u00e9Ab"), k=random.randrange(9))) for _ in range(300)]
+    df = texts(spark, *some)
+    want = [[v for p, v in table if re.search(rf"(?<![a-z0-9]){re.escape(p)}s?(?![a-z0-9])", x.lower())] for x in some]
+    found = R.phrases_in(F.col("text"), table)
+    assert column(df, F.transform(found, lambda e: e["value"])) == want
+    assert "regexp_extract_all" in df.select(found)._jdf.queryExecution().analyzed().toString()
+
+
 def test_ranges(spark):
     good = ["[1, 2]", "1,2", "[1, 2", "1, 2]", " [ -1.5 ,+.5 ] ", "[1,1]", "007,8"]
     bad = ["[[[1, 2", "1, 2]]]", "[1.,2.]", "[1, 2, 3]", "[1]", "1e3, 2e3", "[a, b]", "[inf, nan]", "[1_0, 2_0]", "[, ]", "[2, 1]", "(1, 2)"]
