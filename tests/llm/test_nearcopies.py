@@ -128,3 +128,49 @@ def test_trie_walk_in_small_steps():
     for frontier in (100, 2_000_000):
         got = [(min(x), max(x)) for i, j in trie_pairs(words, 21, 4, None, frontier) for x in zip(i.tolist(), j.tolist())]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_groups_of_several_components_hold_all_cross_pairs():
+    """What hub_groups leaves out holds no pair: from its groups come the pairs of brute force."""
+    import pyarrow as pa
+    from collections import defaultdict
+    from itertools import combinations
+    from tidemark.llm.simhash import blocks
+
+    random.seed(9)
+    heads = [random.getrandbits(64) for _ in range(9)]
+    fps = [random.choice(heads) ^ sum(1 << random.randrange(64) for _ in range(random.randint(0, 3))) % 2**64 for _ in range(160)]
+    fp = np.array(fps + fps[:20], np.uint64).view(np.int64)
+    sig = np.arange(len(fp)) * 7 - 300
+    root = dict(zip(sig.tolist(), (random.choice([1, 2, s]) for s in sig.tolist())))
+    parts = len(list(combinations(blocks(4), 2)))
+    tile = lambda x: pa.array(np.tile(x, parts), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(parts), len(fp)), pa.int32()), tile(fp), tile(sig), tile(sig * 12345)], names=["part", "fp", "sig", "sim"])
+    groups = defaultdict(list)
+    for b in nearcopies.hub_groups(iter([batch]), 4):
+        for part, lead, s in zip(*(b.column(i).to_pylist() for i in range(3))):
+            groups[part, lead].append((part, int(fp[(s + 300) // 7]), s, root[s], 8))
+    mixed = [x for g in groups.values() if len({r[3] for r in g}) > 1 for x in g]
+    level = nearcopies.sketch_of(np.arange(1, 9, dtype=np.uint64) * np.uint64(77777777777))[1].tobytes()
+    columns = [pa.array(x, kind) for x, kind in zip(zip(*mixed), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.array([level] * len(mixed), pa.binary())], names=["part", "fp", "sig", "root", "n", "odd"])
+    got = [p for b in nearcopies.cross_pairs(iter([batch]), 4) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    bits = lambda i, j: int(np.bitwise_count(np.uint64(int(fp[i]) % 2**64) ^ np.uint64(int(fp[j]) % 2**64)))
+    want = {(int(sig[j]), int(sig[i])) for i, j in combinations(range(len(fp)), 2) if bits(i, j) <= 4 and root[int(sig[i])] != root[int(sig[j])]}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    assert len(mixed) < parts * len(fp)
+
+
+def test_the_second_pass_reads_few_rows(spark, monkeypatch):
+    """Sketches go to groups of several components only: a row or so a print and node, not one for each of its 90 keys."""
+    random.seed(13)
+    docs = []
+    for _ in range(20):
+        base = [f"w{random.randrange(3000)}" for _ in range(200)]
+        docs += [" ".join(base), " ".join(sorted(base)), edited(base, 2)]
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    seen, real = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: seen.append(self) or real(self, *a, **k))
+    assert dict(rows(nearcopies.near_copies(df), "doc_id", "component_id")) == slow_groups(docs)
+    assert len(seen) == 2 and 0 < seen[1].count() < 30 * len(docs)

@@ -2,9 +2,9 @@
 
 Texts with the same set of shingles are one node.  In a first pass every node meets the most central node of
 those that it is linked to in a key, so a large group of copies is joined by a few checks a node: copies are near what
-they were made from, seldom near each other.  Sketches of the shingle sets tell which of these pairs to check.  A second pass takes the nodes that have pairs: it looks at
-all candidate pairs that are not in one component yet, and those whose sketches leave a similarity of NEAR possible are
-checked.  So the components are those of all candidate pairs that are similar enough, whatever the groups' sizes.
+they were made from, seldom near each other.  Sketches of the shingle sets tell which of these pairs to check.  A second
+pass takes the groups of linked nodes that hold several components: it looks at all candidate pairs that are not in one
+component yet, and those whose sketches leave a similarity of NEAR possible are checked.  So the components are those of all candidate pairs that are similar enough, whatever the groups' sizes.
 """
 
 from __future__ import annotations
@@ -113,19 +113,19 @@ def gathered(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]
     return [np.concatenate(x) for x in zip(*data)] if data else None
 
 
-def hub_pairs(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (u > v) of a partition's nodes: each with the most central one of what it is linked to within a key.
+def hub_groups(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[pa.RecordBatch]:
+    """What a partition's nodes are linked to within a key: rows (part, lead, sig, hub), a group by (part, lead).
 
     part: number of the fingerprint and of the choice of blocks; sim: SimHash of the shingle set, whose majority over
-    the linked nodes is their centre.  A pair comes only out of its first two blocks, so the pairs of all keys together
-    connect what is linked in any.
+    the linked nodes is their centre; hub: the node nearest to it, null where (sig, hub) is no pair to check.  A pair
+    comes only out of its first two blocks, so the pairs of all keys together connect what is linked in any; groups that
+    agree on two blocks before are left out.  lead: a fingerprint of the group's.
     """
     data = gathered(batches, "part", "fp", "sig", "sim")
     if data is None:
         return
     part, fp, sig, sim = data
     masks = [np.uint64(((1 << w) - 1) << low) for low, w in blocks(max_distance)]
-    out = []
     for own, mine, words, key_bits in groups_of(part, fp, max_distance):
         words, word = np.unique(words, return_inverse=True)
         parent = np.arange(len(words))
@@ -156,9 +156,18 @@ def hub_pairs(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[
         # Linked nodes that agree on two blocks before these are linked, through some hub, where those are the key.
         before = np.cumsum([(bits & masks[i]) == 0 for i in range(own[1])], axis=0)[-1] > 1
         new = (sig[rows] != hub) & ~(before & (np.bitwise_count(bits) <= max_distance))
-        out.append(np.stack([np.maximum(sig[rows], hub), np.minimum(sig[rows], hub)], axis=1)[new])
-    if out:
-        pairs = np.unique(np.concatenate(out), axis=0)
+        agreed = np.sum([np.logical_and.reduceat((bits & masks[i]) == 0, starts) for i in range(own[1])], axis=0)
+        told = new | np.repeat(agreed < 2, counts)
+        lead = np.repeat(fp[rows[starts]], counts)
+        columns = [pa.array(part[rows[told]], pa.int32()), pa.array(lead[told]), pa.array(sig[rows[told]]), pa.array(hub[told], mask=~new[told])]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "lead", "sig", "hub"])
+
+
+def hub_pairs(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (u > v) of hub_groups."""
+    data = gathered((b.filter(b.column("hub").is_valid()) for b in hub_groups(batches, max_distance)), "sig", "hub")
+    if data is not None:
+        pairs = np.unique(np.stack([np.maximum(*data), np.minimum(*data)], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
@@ -272,6 +281,19 @@ def dealt(nodes: DataFrame, max_distance: int, *columns: Column | str) -> DataFr
     return every.select((F.col("k") * len(rows) + F.col("choice")).alias("part"), "fp", *columns).repartition("part", key)
 
 
+def unsettled(groups: DataFrame, roots: DataFrame, nodes: DataFrame, max_distance: int) -> DataFrame:
+    """Rows for cross_pairs: the groups (part, lead, sig) that hold several components, a group in a partition.
+
+    roots: (node, root), as from components; other nodes are on their own.  Sketches go to these groups alone, not to
+    every key of a node.
+    """
+    placed = cut(groups.join(roots, F.col("sig") == F.col("node"), "left").select("part", "lead", "sig", F.coalesce("root", "sig").alias("root")))
+    mixed = placed.groupBy("part", "lead").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("part", "lead")
+    marks = nodes.select("sig", "fps", "n", packed(F.col("odd")).alias("odd"))
+    fp = F.get("fps", F.floor(F.col("part") / len(list(combinations(blocks(max_distance), 2)))).cast("int"))
+    return placed.join(mixed, ["part", "lead"]).join(marks, "sig").select("part", "lead", fp.alias("fp"), "sig", "root", "n", "odd").repartition("part", "lead")
+
+
 def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", prints: int = 6, max_distance: int = 4) -> DataFrame:
     """(id, component_id) for each distinct id that is not null: component_id is the smallest id of its near copies.
 
@@ -283,7 +305,8 @@ def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", prints: i
     marked = cut(add_marks(texts, prints).select("id", "th", "m.*"))
     nodes = cut(marked.groupBy("sig").agg(F.min(F.struct("id", "th")).alias("x"), *(F.first(c).alias(c) for c in ("fps", "n", "sim", "odd"))).select("sig", "x.id", "x.th", "fps", "n", "sim", "odd"))
 
-    central = dealt(nodes, max_distance, "sig", "sim").mapInArrow(lambda b: hub_pairs(b, max_distance), "u long, v long")
+    groups = cut(dealt(nodes, max_distance, "sig", "sim").mapInArrow(lambda b: hub_groups(b, max_distance), "part int, lead long, sig long, hub long"))
+    central = groups.where("hub is not null").select(F.greatest("sig", "hub").alias("u"), F.least("sig", "hub").alias("v"))
     first = cut(plausible(central.distinct(), nodes))
     told = cut(checked(first.where("may").select("u", "v"), texts, nodes))
     links = told.where("near").select("u", "v")
@@ -291,10 +314,7 @@ def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", prints: i
     if apart.isEmpty():
         second = links.limit(0)
     else:
-        # Two linked nodes that the first pass kept apart are connected by its pairs, of which one has failed.
-        around = ends_of(first)
-        placed = cut(nodes.join(around, "sig").join(components(links), F.col("sig") == F.col("node"), "left").select("sig", "fps", "n", F.coalesce("root", "sig").alias("root"), packed(F.col("odd")).alias("odd")))
-        rest = dealt(placed, max_distance, "sig", "root", "n", "odd").mapInArrow(lambda b: cross_pairs(b, max_distance), "u long, v long")
+        rest = unsettled(groups, components(links), nodes, max_distance).mapInArrow(lambda b: cross_pairs(b, max_distance), "u long, v long")
         second = checked(cut(rest.distinct()), texts, nodes).where("near").select("u", "v")
 
     of_id = marked.groupBy("id").agg(F.min("sig").alias("v"))
