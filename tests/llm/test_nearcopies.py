@@ -174,3 +174,31 @@ def test_the_second_pass_reads_few_rows(spark, monkeypatch):
     monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: seen.append(self) or real(self, *a, **k))
     assert dict(rows(nearcopies.near_copies(df), "doc_id", "component_id")) == slow_groups(docs)
     assert len(seen) == 2 and 0 < seen[1].count() < 30 * len(docs)
+
+
+def test_many_ids_find_their_rows_where_they_are(spark, monkeypatch):
+    """Ids beyond those that are broadcast one by one go as bitmaps, so no text is shuffled; ids far apart are joined."""
+    random.seed(17)
+    ids = sorted({*range(-70000, 70001, 97), -32769, -32768, -32767, -1, 0, 1, 32767, 32768, 32769, 2**40, -(2**63), 2**63 - 1})
+    docs = spark.createDataFrame([*((i, f"t{i}") for i in ids), (ids[0], "again"), (None, "none")], "doc_id long, text string")
+    wanted = [i for i in ids if random.random() < 0.6 or abs(i) > 2**39]
+    asked = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
+    want = sorted((i, t) for i, t in rows(docs, "doc_id", "text") if i in set(wanted))
+    monkeypatch.setattr(nearcopies, "FEW_TEXTS", 100)
+    found = nearcopies.rows_of(docs, "doc_id", asked)
+    assert sorted(rows(found, "doc_id", "text")) == want and found.columns == docs.columns
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in plan and "SortMergeJoin" not in plan and "text" not in "".join(x for x in plan.split("\n") if "hashpartitioning" in x)
+    monkeypatch.setattr(nearcopies, "MOST_BITMAPS", 3)
+    assert sorted(rows(nearcopies.rows_of(docs, "doc_id", asked), "doc_id", "text")) == want
+
+
+def test_bitmaps_give_the_same_groups(spark, monkeypatch):
+    """All of near copies with every set of ids as bitmaps, repeated rows among them; no exchange of the result carries texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0")).unionByName(docs.where("doc_id % 11 = 0").selectExpr(*("cast(null as long) as doc_id" if c == "doc_id" else c for c in docs.columns)))
+    want = sorted(rows(nearcopies.keep_one(docs), "doc_id", "text"), key=repr)
+    monkeypatch.setattr(nearcopies, "FEW_TEXTS", 0)
+    assert sorted(rows(nearcopies.keep_one(docs), "doc_id", "text"), key=repr) == want
+    plan = nearcopies.keep_one(docs.where("doc_id % 7 > 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

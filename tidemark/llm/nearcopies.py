@@ -28,8 +28,10 @@ SHINGLE = 5
 CHUNK = 200_000
 #: A sketch's bits, how many shingles it is made of at most (about), and how many standard deviations it may be off.
 SKETCH, SAMPLE, SIGMAS = 512, 300, 4.0
-#: Asked texts are found by a broadcast of their ids up to so many (some 50 bytes each), else by a shuffle of the texts.
+#: Rows are found by a broadcast of their ids up to so many (some 50 bytes each).
 FEW_TEXTS = 100_000
+#: More ids are broadcast as bitmaps, 4 KB for 32 768 numbers in a row, up to so many; ids further apart cost a shuffle of the rows.
+MOST_BITMAPS = 4096
 
 
 def shingles_of(data: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -81,15 +83,20 @@ def possible(size_a: np.ndarray, size_b: np.ndarray, apart: np.ndarray) -> np.nd
     return (level != level_of(size_b)) | (apart <= mean + SIGMAS * np.sqrt(np.maximum(spread, 0)) + 1)
 
 
+def sig_of(shingles: np.ndarray) -> int:
+    """Hash (unsigned) of a shingle set."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(shingles.tobytes())
+
+
 def add_marks(df: DataFrame, prints: int) -> DataFrame:
     """Add ``m``: fps (SimHashes of the distinct words), sig (hash of the shingle set), n (its size), sim and odd (see sketch_of)."""
 
     def compute(data: pd.Series) -> pd.DataFrame:
-        import xxhash
-
         def marks(text: bytes) -> tuple:
             shingles = shingles_of(text)
-            return fingerprints_of(text, 1, 42, prints, True), xxhash.xxh3_64_intdigest(shingles.tobytes()), len(shingles), *sketch_of(shingles)
+            return fingerprints_of(text, 1, 42, prints, True), sig_of(shingles), len(shingles), *sketch_of(shingles)
 
         # One text's shingles at a time.
         fps, sig, n, sim, odd = map(list, zip(*map(marks, data))) if len(data) else ([],) * 5
@@ -253,17 +260,34 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return side("u").unionByName(side("v")).distinct()
 
 
+def rows_of(df: DataFrame, id: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose id is in the one column of ids: distinct, not null, and cheap to read twice.
+
+    Texts stay where they are: ids are broadcast, many of them as bitmaps, which take as much room for one as for 32 768 in a row.
+    """
+    (name,), own = ids.columns, df[id].cast("long")
+    bucket, bits = unused(df, "bucket"), unused(df, "bits")
+    maps = ids.groupBy(F.bitmap_bucket_number(name).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(name)).alias(bits), F.count("*").alias("n"))
+    n_ids, n_maps = maps.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    if n_ids <= FEW_TEXTS or n_maps > MOST_BITMAPS:
+        return df.join(F.broadcast(ids) if n_ids <= FEW_TEXTS else ids, own == ids[name], "left_semi")
+    at = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substr(F.col(bits), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+    return df.join(F.broadcast(maps.drop("n")), F.bitmap_bucket_number(own) == F.col(bucket)).where(held).select(*df.columns)
+
+
 def checked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) with ``near``: whether their shingle sets are.  nodes: sig, and id and th of a text that has this set."""
+    """The pairs (u, v) with ``near``: whether their shingle sets are.  nodes: sig, and id of a text that has this set."""
 
-    def compute(data: pd.Series) -> pd.Series:
-        return pd.Series([shingles_of(x).view(np.int64) for x in data], dtype="object")
+    def compute(data: pd.Series) -> pd.DataFrame:
+        sets = [shingles_of(x) for x in data]
+        return pd.DataFrame({"sig": np.array([sig_of(x) for x in sets], np.uint64).view(np.int64), "set": pd.Series([x.view(np.int64) for x in sets], dtype="object")})
 
-    asked = cut(ends_of(pairs).join(nodes.select("sig", "id", "th"), "sig"))
-    asked = F.broadcast(asked) if asked.count() <= FEW_TEXTS else asked
-    found = texts.join(asked, ["id", "th"])
-    sets = found.select("sig", F.pandas_udf(compute, "array<long>")(text_of().cast("binary")).alias("set"))
-    sets = cut(sets.groupBy("sig").agg(F.first("set").alias("set")))
+    asked = cut(ends_of(pairs).join(nodes.select("sig", "id"), "sig").select("id").distinct())
+    # Another text of an asked id comes along, and no pair asks for its set.
+    found = rows_of(texts, "id", asked).select(F.pandas_udf(compute, "sig long, set array<long>")(text_of().cast("binary")).alias("x"))
+    sets = cut(found.groupBy("x.sig").agg(F.first("x.set").alias("set")))
     both = pairs.join(sets.select(F.col("sig").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("sig").alias("v"), F.col("set").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.select("u", "v", (common * NEAR[1] >= (F.size("a") + F.size("b") - common) * NEAR[0]).alias("near"))
@@ -301,9 +325,8 @@ def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", prints: i
     is a candidate whose shingle sets are near, or rows of one id.  Texts without words are copies of each other.
     """
     texts = df.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    texts = texts.withColumn("th", F.xxhash64(text_of()))
-    marked = cut(add_marks(texts, prints).select("id", "th", "m.*"))
-    nodes = cut(marked.groupBy("sig").agg(F.min(F.struct("id", "th")).alias("x"), *(F.first(c).alias(c) for c in ("fps", "n", "sim", "odd"))).select("sig", "x.id", "x.th", "fps", "n", "sim", "odd"))
+    marked = cut(add_marks(texts, prints).select("id", "m.*"))
+    nodes = cut(marked.groupBy("sig").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fps", "n", "sim", "odd"))))
 
     groups = cut(dealt(nodes, max_distance, "sig", "sim").mapInArrow(lambda b: hub_groups(b, max_distance), "part int, lead long, sig long, hub long"))
     central = groups.where("hub is not null").select(F.greatest("sig", "hub").alias("u"), F.least("sig", "hub").alias("v"))
@@ -336,13 +359,11 @@ def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", **how) -> Da
     A row that is repeated in every column stays once; rows of one id that differ somewhere all stay.  Rows with a null
     id all stay: nothing tells which document they are.
     """
-    smallest, n, kept_id = near_copies(df, id, text, **how), unused(df, "rows"), unused(df, "kept")
-    sizes = df.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("i")).agg(F.count("*").alias(n))
-    stay = cut(smallest.where(F.col(id) == F.col("component_id")).join(sizes, F.col(id) == F.col("i")).select(F.col("i").alias(kept_id), n))
-    count, most = stay.agg(F.count("*"), F.max(n)).first()
-    # Two numbers a text, at most FEW_TEXTS texts, or a shuffle.
-    kept = df.join(F.broadcast(stay) if count <= FEW_TEXTS else stay, df[id] == F.col(kept_id))
-    once = kept.where(F.col(n) == 1).select(*df.columns)
+    smallest, n = near_copies(df, id, text, **how), unused(df, "rows")
+    sizes = df.where(F.col(id).isNotNull()).groupBy(F.col(id).cast("long").alias("i")).agg(F.count("*").alias(n))
+    stay = cut(smallest.where(F.col(id) == F.col("component_id")).join(sizes, F.col(id) == F.col("i")).select("i", n))
+    out = rows_of(df, id, stay.where(F.col(n) == 1).select("i"))
     # Only rows of ids that have several can be repeated.
-    out = once.unionByName(kept.where(F.col(n) > 1).select(*df.columns).dropDuplicates()) if (most or 0) > 1 else once
+    several = stay.where(F.col(n) > 1).select("i")
+    out = out if several.isEmpty() else out.unionByName(rows_of(df, id, several).dropDuplicates())
     return out.unionByName(df.where(F.col(id).isNull()))
